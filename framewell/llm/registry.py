@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from framewell.llm.langid import op7_language_id
+from framewell.llm.mixing import op5_mixing
+from framewell.llm.packing import op4_packing
+from framewell.llm.secrets import OP1_SQL, op1_secret_scan
 from framewell.llm.simhash import op2_simhash_near_dedup
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_packing": op4_packing,
+    "op5_mixing": op5_mixing,
     "op7_language_id": op7_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": OP1_SQL}
