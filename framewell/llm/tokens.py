@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 #: Words whose ids a worker remembers; when full it begins anew.
 REMEMBERED = 1_000_000
+#: Signs that are neither letters nor digits nor take part in a composed character's base.
+SIGNS = "!#$%&()*+,-./:;?@[]^_`{|}~'\""
 _LOADED: dict[tuple[str, bool], WordIds] = {}
 
 
@@ -16,38 +20,62 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space, word by word.
+    """Ids of texts by a tokenizer that drops white space, lower-cases, and ends each word with a marked id.
 
-    For such a tokenizer a text's ids are those of its parts between blanks and line feeds in order, so each part is
-    encoded once and remembered; the result is what the tokenizer gives for the whole text (a test holds them equal).
-    An ASCII text that holds no special token is the same in lower case, for a tokenizer that lower-cases.
+    Such a tokenizer takes the parts between blanks and line feeds one by one, and ends a word where letters or digits
+    meet other signs. So a part's ids are those of its letters and of the signs after them; each is encoded once and
+    remembered. The result is what the tokenizer gives for the whole text (a test holds them equal). A text of Latin-1
+    characters that holds no special token is the same in lower case.
     """
 
     def __init__(self, path: str, plain_specials: bool) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
-        self.lowers = bool(self.ids("A b") == self.ids("a B"))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _learn(self, parts: list[str]) -> None:
+        """Adds parts to what is known: words of letters are encoded as one text and told apart by their marked ends."""
+        cores = {p: p.rstrip(SIGNS) for p in parts}
+        new = [w for w in dict.fromkeys(x for p, c in cores.items() for x in (c, p[len(c) :])) if w not in self.known]
+        words, rest = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(words):
+                data, at = ids.tobytes(), 0
+                for w, end in zip(words, (2 * ends).tolist(), strict=True):
+                    self.known[w] = data[at:end]
+                    at = end
+            else:
+                rest += words
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+            self.known[w] = np.array(e.ids, "<u2").tobytes()
+        for p, c in cores.items():
+            self.known[p] = self.known[c] + self.known[p[len(c) :]]
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 16-bit ids."""
-        if self.lowers and text.isascii() and "<|" not in text:
-            text = text.lower()
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
         parts, known = text.replace("\n", " ").split(" "), self.known
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
             new = [p for p in dict.fromkeys(parts) if p not in known]
-            if len(known) + len(new) > REMEMBERED:
+            if len(known) + 2 * len(new) > REMEMBERED:
                 known.clear()
                 new = list(dict.fromkeys(parts))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u2").tobytes()
+            self._learn(new)
             return b"".join(map(known.__getitem__, parts))
 
 
