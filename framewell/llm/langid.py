@@ -141,6 +141,26 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_identified(docs: DataFrame, model: dict, reject_bits: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a letter in their text whose best language takes under reject_bits bits a byte; a model
+    without languages keeps every text with a letter. Null texts go; other columns may be null."""
+    frozen = docs.sparkSession.sparkContext.broadcast(model)
+    place, langs = docs.columns.index(text_col), model["langs"]
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for text in b.column(place).to_pylist():
+                ok = bool(text) and _LETTER.search(text) is not None
+                if ok and langs:
+                    data = text.encode()
+                    ok = bool(code_lengths(data, *compile_model(frozen.value)).min() < reject_bits * len(data))
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.filter(~held_out()))

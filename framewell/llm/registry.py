@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from framewell.llm.digests import op6_fingerprints
 from framewell.llm.langid import op7_language_id
+from framewell.llm.media import op8_media_columns
 from framewell.llm.mixing import op5_mixing
 from framewell.llm.packing import op4_packing
 from framewell.llm.secrets import OP1_SQL, op1_secret_scan
+from framewell.llm.separators import op3_token_counts
 from framewell.llm.simhash import op2_simhash_near_dedup
+from framewell.llm.substrings import op10_substring_dedup
+from framewell.llm.wrappers import op9_html_extraction
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
+    "op8_media_columns": op8_media_columns,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_secret_scan": OP1_SQL}
