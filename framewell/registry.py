@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from framewell.queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "dedup_groups"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
