@@ -27,9 +27,9 @@ from framewell.session import materialise
 
 SPAN, GRAM = 20, 8
 SIDE = SPAN - GRAM
-#: Contexts in an automaton at most, and rows of contexts by document that are broadcast at most.
+#: Contexts in an automaton at most, and contexts that are broadcast to their documents at most.
 LIMIT = 1000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -228,7 +228,7 @@ def repeated_runs(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     large = left.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("gram", F.lit(True).alias("split"))
     asked = left.join(large, "gram", "left").groupBy("doc").agg(F.collect_list(F.struct("gram", "pos", "before", "after", F.coalesce("split", F.lit(False)).alias("split"))).alias("asked"))
     asked = materialise(asked, "asked")
-    small = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS and left.count() <= 8 * BROADCAST_ROWS else asked
+    small = F.broadcast(asked) if left.count() <= BROADCAST_ROWS else asked
     contexts = rows.join(small, F.col("key") == F.col("doc")).select("doc", "text", "asked").mapInArrow(_shards, "gram long, doc long, pos long, start long, words binary")
     dealt = contexts.repartition(F.coalesce("gram", F.xxhash64("doc", "start"))).sortWithinPartitions("gram", "doc", "pos")
     streamed = dealt.mapInArrow(_streamed, "doc long, start long, end long")
@@ -261,8 +261,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.join(order, rows["key"].eqNullSafe(order["_id"]) & (F.coalesce("text", F.lit("")) == order["_text"]))
         rows = rows.select(F.col("_key").alias("key"), "text", F.col("_id").alias("id"))
     else:
-        rows = rows.select("key", "text", F.col("key").alias("id"))
-    joined = rows.join(repeated_runs(rows.select("key", "text")), F.col("key") == F.col("doc"), "left").select("id", "text", "runs")
+        # the same rows as repeated_runs joins, so that one shuffle of the texts serves both joins
+        rows = rows.filter("key is not null")
+    joined = rows.join(repeated_runs(rows.select("key", "text")), F.col("key") == F.col("doc"), "left")
+    joined = joined.select(F.col("key" if whole else "id").alias("id"), "text", "runs")
 
     def run(batches):
         names, kinds = ["id", "n_words", "n_removed", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
