@@ -1,4 +1,7 @@
-"""Files as tables: listings, pictures, and a stream of new ones."""
+"""Files as tables: listings, pictures, and a stream of new ones.
+
+Spark's file sources pass over names that begin with a dot or an underscore, and so do these.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +21,8 @@ def _glob(extensions: list[str] | None) -> str:
 
 
 def _path(column: str = "path") -> Column:
-    """The listing's URI as a plain path, its escapes resolved."""
-    return F.url_decode(F.regexp_replace(F.regexp_replace(F.col(column), r"^file:/*", "/"), r"\+", "%2B"))
+    """A listed file's path without the local scheme; other stores keep theirs."""
+    return F.regexp_replace(F.col(column), r"^file:/*", "/")
 
 
 def listing(spark: SparkSession, roots: list[str], extensions: list[str] | None = None) -> DataFrame:
@@ -52,4 +55,6 @@ def pictures(spark: SparkSession, files: DataFrame) -> DataFrame:
 def decoded(spark: SparkSession, root: str) -> DataFrame:
     """(path, height, width, channels, mode, data) of the pictures under a folder that the JVM can decode."""
     rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root)
-    return rows.select(_path("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.mode", "image.data")
+    # the picture source escapes its paths, other than the listing
+    origin = F.url_decode(F.regexp_replace(_path("image.origin"), r"\+", "%2B"))
+    return rows.select(origin.alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.mode", "image.data")

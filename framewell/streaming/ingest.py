@@ -31,6 +31,6 @@ def into_catalog(stream: DataFrame, catalog: Catalog, checkpoint: str):
 
 def counts_by_window(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events, users and value by window and type, late rows waited for; the same for a stream and a table."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     grouped = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     return grouped.select(F.col("w.start").alias("window_start"), "event_type", "n", "value")
