@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.common import as_bytes, map_arrow
+from framewell.llm.common import as_bytes, map_arrow, text_batches
 
 ORDER = 3
 #: Distinct byte symbols kept, the rest share one; it bounds the compiled table to SYMBOLS ** 4 costs a language.
@@ -122,6 +122,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     A null text, a text without a letter, or a model without languages gives `und`, score 0, bits null. Ties go to the first
     language in order. Null ids and repeated rows keep their rows. The model is bounded by SYMBOLS, so it is broadcast.
     """
+    text_batches(docs.sparkSession)
     frozen = docs.sparkSession.sparkContext.broadcast(model)
     langs = model["langs"]
 
@@ -144,6 +145,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, model: dict, reject_bits: float, text_col: str = "text") -> DataFrame:
     """The rows of docs with a letter in their text whose best language takes under reject_bits bits a byte; a model
     without languages keeps every text with a letter. Null texts go; other columns may be null."""
+    text_batches(docs.sparkSession)
     frozen = docs.sparkSession.sparkContext.broadcast(model)
     place, langs = docs.columns.index(text_col), model["langs"]
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewell.llm.common import WORD, map_arrow, text_or_empty
+from framewell.llm.common import WORD, map_arrow, text_batches, text_or_empty
 from framewell.session import materialise
 
 #: Weights of the sources in code-point order, repeating.
@@ -202,7 +202,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     between words, and the words are joined as they stand in the text (from the first word's start to the last's end).
     docs is a table as read: its rows are numbered twice, and a scan numbers them alike each time.
     """
-    spark = docs.sparkSession
+    text_batches(docs.sparkSession)
     tagged = docs.withColumn("_mix_row", F.monotonically_increasing_id())
     rows = sized(tagged)
     drawn = draws(rows, source_targets(rows), seed)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framewell.llm.common import text_batches
 from framewell.llm.tokens import word_ids
 from framewell.session import materialise
 
@@ -40,6 +41,8 @@ def packets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     tells documents of a task apart that share an id. A null text is empty: it has the end id alone.
     """
 
+    text_batches(docs.sparkSession)
+
     def run(batches):
         coder, task = word_ids(tokenizer), TaskContext.get().partitionId()
         sent: dict[str | None, int] = {}

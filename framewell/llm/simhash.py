@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.common import as_bytes, map_arrow
+from framewell.llm.common import as_bytes, map_arrow, text_batches
 from framewell.plans.components import connected_components
 from framewell.session import materialise
 
@@ -129,6 +129,8 @@ def _shard_links(batches) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, print long) of every whole text; print is the signed view of the 64 bits. Null text has no words: zero."""
 
+    text_batches(docs.sparkSession)
+
     def work(batch):
         prints = np.array([fingerprint(x, shingle) for x in as_bytes(batch.column(1))], np.uint64)
         yield {"id": batch.column(0), "print": prints.view(np.int64)}

@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Words whose ids a worker remembers; when full it begins anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Signs that are neither letters nor digits nor take part in a composed character's base.
 SIGNS = "!#$%&()*+,-./:;?@[]^_`{|}~'\""
 _LOADED: dict[tuple[str, bool], WordIds] = {}
