@@ -19,7 +19,7 @@ from framewell.operators.neighbours import _matrix, blocks, distances, knn_join,
 from framewell.plans.components import connected_components
 from framewell.session import materialise
 
-LEVELS = 10
+LEVELS = 8
 
 
 def core_distances(vectors: DataFrame, k: int) -> DataFrame:
@@ -92,13 +92,14 @@ def density_labels(vectors: DataFrame, size: int, samples: int | None = None, le
         return rows.select("image_id", F.lit(-1).alias("cluster_id"))
     shares = [1 - (k + 1) / (LEVELS + 1) for k in range(LEVELS)]
     cuts = sorted({float(x) for x in tree.agg(F.percentile("weight", F.array(*map(F.lit, shares)))).first()[0] if x > 0}, reverse=True)
-    levels = None
-    for k, cut in enumerate(cuts):
-        joined = connected_components(tree.filter(F.col("weight") <= cut), "a", "b").select(F.lit(k).alias("level"), F.col("node").alias("image_id"), F.col("component").alias("cluster"))
-        levels = joined if levels is None else levels.unionByName(joined)
-    if levels is None:
+    if not cuts:
         return rows.select("image_id", F.lit(-1).alias("cluster_id"))
-    levels = materialise(levels, "levels")
+    # the components of all levels at once: an edge belongs to each level whose cut it does not pass
+    cut = F.array(*map(F.lit, cuts))
+    within = tree.select("a", "b", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(cuts) - 1)), lambda k: F.col("weight") <= F.element_at(cut, k + 1))).alias("level"))
+    label = connected_components(within.select(F.xxhash64("level", "a").alias("src"), F.xxhash64("level", "b").alias("dst")))
+    places = rows.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1))).alias("level")).withColumn("node", F.xxhash64("level", "image_id"))
+    levels = materialise(places.join(label, "node").select("level", "image_id", F.col("component").alias("cluster")), "levels")
     sizes = levels.groupBy("level", "cluster").agg(F.count("*").alias("n"), F.min("image_id").alias("member")).filter(F.col("n") >= size)
     levels = materialise(levels.join(sizes.select("level", "cluster"), ["level", "cluster"], "left_semi"), "levels")
     above = levels.select((F.col("level") + 1).alias("level"), "image_id", F.col("cluster").alias("parent"))
