@@ -164,12 +164,171 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(by_print, "print").select("id", "print", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; of rows that repeat an id one stays."""
-    first = near_duplicates(docs, id_col, text_col, shingle).filter(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is the smallest of its component in groups (id, component); of rows that repeat an id one stays."""
+    first = groups.filter(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
     return docs.dropDuplicates([id_col]).join(first, id_col, "left_semi").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# Similarity of 0.8 or more, for stages without a contract of their own.
+
+#: 64-bit words of a wide fingerprint, bits of a table's key.
+WIDE, KEY_BITS = 4, 16
+
+
+def wide_fingerprint(data: bytes, shingle: int = 5) -> np.ndarray:
+    """256 bits: each set where over half of the distinct shingles' hashes, spread by four odd multipliers, have it.
+
+    Two texts whose shingle sets have similarity J differ in a share of acos(2J / (1 + J)) / pi of the bits, about.
+    """
+    words = data.lower().split()
+    if not words:
+        return np.zeros(WIDE, np.uint64)
+    joined = b" ".join(words)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends, n = np.cumsum(size), max(1, len(words) - shingle + 1)
+    starts, stops = (ends - size)[:n].tolist(), (ends[-n:] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.array([digest(joined[i:j], 42) for i, j in zip(starts, stops, strict=True)], np.uint64))
+    out = np.empty(WIDE, np.uint64)
+    for k in range(WIDE):
+        spread = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+        spread = (spread ^ (spread >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        spread ^= spread >> np.uint64(29)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(spread), 1 << 16):
+            ones += np.unpackbits(spread[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(spread), bitorder="little").view("<u8")[0]
+    return out
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits of 256 that texts of this similarity have, about."""
+    return round(64 * WIDE * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def tables_for(similarity: float, rows: int, recall: float = 0.98) -> tuple[int, int]:
+    """(tables, bits of a key): keys get a bit more each time the rows double beyond a million, and tables to keep the recall."""
+    bits = max(KEY_BITS, (max(1, rows) - 1).bit_length() - 4)
+    same = (1 - wide_radius(similarity) / (64 * WIDE)) ** bits
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - same))), bits
+
+
+def _keys(tables: int, bits: int):
+    """mapInArrow work: (key, node, w0..w3), one row a table; a table's key is a sample of the bits, after its number."""
+    rng = np.random.default_rng(20)
+    places = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)])
+
+    def run(batches):
+        for b in batches:
+            words = np.stack([b.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WIDE)], axis=1)
+            ones = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+            for t in range(tables):
+                key = ones[:, places[t]].astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64)) + (np.int64(t) << bits)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", *[f"w{k}" for k in range(WIDE)]])
+
+    return run
+
+
+def join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Takes the links i - j into root, in which each place points to the first of its component."""
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+
+def _wide_links(radius: int):
+    """mapInArrow work over rows sorted by key: links from each node to the first of its component in the shard."""
+
+    def links(nodes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # the tree's points are places, their distance that of the words there
+        order = np.arange(len(nodes))
+        tree, todo = [0, {}], []
+        todo.append((tree, order[1:]))
+        while todo:
+            node, rest = todo.pop()
+            if len(rest):
+                far = np.bitwise_count(words[rest] ^ words[node[0]]).sum(axis=1)
+                for d in np.unique(far).tolist():
+                    mine = rest[far == d]
+                    node[1][d] = child = [int(mine[0]), {}]
+                    todo.append((child, mine[1:]))
+        root, left, right, held, todo = order.copy(), [], [], 0, [(tree, order)]
+        while todo:
+            (place, children), some = todo.pop()
+            far = np.bitwise_count(words[some] ^ words[place]).sum(axis=1).astype(np.int64)
+            near = some[(far <= radius) & (root[some] != root[place])]
+            left.append(near)
+            right.append(np.full(len(near), place))
+            held += len(near)
+            if held > 1_000_000:  # links are joined as they come, so a dense shard holds few of them
+                join(root, np.concatenate(left), np.concatenate(right))
+                left, right, held = [], [], 0
+            for d, child in children.items():
+                on = some[np.abs(far - d) <= radius]
+                if len(on):
+                    todo.append((child, on))
+        join(root, np.concatenate(left), np.concatenate(right)) if left else None
+        moved = root != order
+        return nodes[moved], nodes[root[moved]]
+
+    def told(key, nodes, words):
+        out = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+        bounds = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
+        for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
+            a, z = bounds[k], bounds[k + 1]
+            for column, x in zip(out, links(nodes[a:z], words[a:z]), strict=True):
+                column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["src", "dst"])
+
+    def run(batches):
+        key, nodes, words = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDE), np.uint64)
+        for b in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            key, nodes = np.append(key, columns[0]), np.append(nodes, columns[1])
+            words = np.concatenate((words, np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)))
+            end = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            yield told(key[:end], nodes[:end], words[:end])
+            key, nodes, words = key[end:], nodes[end:], words[end:]
+        if len(key):
+            yield told(key, nodes, words)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row a document: id, component (the smallest id reachable over links of the given similarity, itself included).
+
+    The similarity of two texts' sets of word shingles is told from wide fingerprints; equal fingerprints are one node.
+    Links are searched in tables whose keys are samples of the bits, each bucket a shard with a BK-tree of its own;
+    tables are as many as find a link of just this similarity with 98 per cent, closer ones more surely. A bucket
+    sends the links that connect its components, never its pairs. Null and empty texts are alike.
+    """
+    text_batches(docs.sparkSession)
+    names = [f"w{k}" for k in range(WIDE)]
+
+    def work(batch):
+        wide = np.stack([wide_fingerprint(x, shingle) for x in as_bytes(batch.column(1))] or [np.zeros(WIDE, np.uint64)])[: batch.num_rows]
+        yield {"id": batch.column(0), **{n: np.ascontiguousarray(wide[:, k]).view(np.int64) for k, n in enumerate(names)}}
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = map_arrow(rows, work, "id long, " + ", ".join(f"{n} long" for n in names))
+    own = materialise(own.select("id", F.xxhash64(*names).alias("node"), *names), "wide")
+    known = materialise(own.groupBy("node").agg(F.min("id").alias("low"), *[F.first(n).alias(n) for n in names]), "nodes")
+    tables, bits = tables_for(similarity, known.count())
+    keyed = known.select("node", *names).mapInArrow(_keys(tables, bits), "key long, node long, " + ", ".join(f"{n} long" for n in names))
+    dealt = keyed.repartition("key").sortWithinPartitions("key")
+    edges = dealt.mapInArrow(_wide_links(wide_radius(similarity)), "src long, dst long").distinct()
+    label = connected_components(edges).select("node", F.col("component").alias("rep"))
+    told = materialise(known.select("node", "low").join(label, "node", "left").select("node", "low", F.coalesce("rep", "node").alias("rep")), "known")
+    least = told.groupBy("rep").agg(F.min("low").alias("component"))
+    return own.select("id", "node").join(told.join(least, "rep").select("node", "component"), "node").select("id", "component")

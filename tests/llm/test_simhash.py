@@ -3,7 +3,8 @@ import random
 import numpy as np
 import xxhash
 
-from framewell.llm.simhash import bk_links, bk_tree, fingerprint, near_duplicates, op2_simhash_near_dedup, print_links
+from framewell.llm import simhash
+from framewell.llm.simhash import bk_links, bk_tree, fingerprint, keep_first, near_duplicates, op2_simhash_near_dedup, print_links, similar_documents
 
 WS = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -82,3 +83,63 @@ def test_query_against_brute_force(spark):
     want = classes([d.doc_id for d in docs], prints)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in op2_simhash_near_dedup(spark, sf).collect()}
     assert got == {d.doc_id: (f"{p:016x}", want[d.doc_id]) for d, p in zip(docs, prints)}
+
+
+def shingle_set(text, n=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else {""}
+
+
+def test_links_join_components():
+    for seed in range(100):
+        rng = random.Random(seed)
+        n = rng.randint(1, 50)
+        root, pairs = np.arange(n), [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 60))]
+        for k in range(0, len(pairs), 7):
+            simhash.join(root, *np.array(pairs[k : k + 7]).T)
+        parent = [*range(n)]
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        assert root.tolist() == [find(x) for x in range(n)]
+
+
+def test_similar_documents_are_grouped(spark):
+    rng = random.Random(4)
+    rows, group = [], {}
+    for g in range(40):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(80, 300))]
+        for k in range(rng.choice([1, 1, 3, 6])):
+            copy = list(words)
+            for _ in range(k and max(1, len(words) // 100)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(9999)}"
+            rows.append((len(rows) * 3 - 20, " ".join(copy), 0))
+            group[rows[-1][0]] = g
+    got = {r.id: r.component for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string, node int")).collect()}
+    first = {}
+    for i in sorted(group):
+        first.setdefault(group[i], i)
+    assert got == {i: first[g] for i, g in group.items()}
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "one two"), (5, "One  two"), (None, "one two"), (5, "One  two"), (6, "z " * 100_000)], "doc_id long, text string")
+    assert {(r.id, r.component) for r in similar_documents(odd).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (None, 4), (6, 6)}
+    kept = keep_first(odd, similar_documents(odd))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6] and kept.columns == odd.columns
+    assert similar_documents(odd.limit(0)).count() == 0
+    assert simhash.tables_for(0.8, 10**9)[1] > simhash.tables_for(0.8, 1000)[1] == 16
+
+
+def test_dense_shards_join_as_they_go():
+    words = np.random.default_rng(0).integers(0, 1 << 8, (1500, 1), dtype=np.uint64) * np.uint64(1 << 20)
+    words = np.unique(np.concatenate([words] * simhash.WIDE, axis=1), axis=0)
+    nodes = np.arange(len(words)) + 100
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int64)), pa.array(nodes), *(pa.array(words[:, k].view(np.int64)) for k in range(simhash.WIDE))], names=list("abcdef"))
+    out = [p for b in simhash._wide_links(4)([batch.slice(0, 40), batch.slice(40)]) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert {a for a, _ in out} == set(nodes[1:].tolist()) and {b for _, b in out} == {100}
