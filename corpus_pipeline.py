@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of documents whose shingles of five words are alike to 0.8 or more, the one with the smallest id stays."""
+    return simhash.keep_first(docs, simhash.similar_documents(docs, shingle=5, similarity=0.8))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
