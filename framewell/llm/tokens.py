@@ -41,23 +41,34 @@ class WordIds:
 
     def _learn(self, parts: list[str]) -> None:
         """Adds parts to what is known: words of letters are encoded as one text and told apart by their marked ends."""
-        cores = {p: p.rstrip(SIGNS) for p in parts}
-        new = [w for w in dict.fromkeys(x for p, c in cores.items() for x in (c, p[len(c) :])) if w not in self.known]
-        words, rest = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        known, words, signs, other = self.known, [], [], []
+        for p in parts:
+            if p.isalpha():
+                words.append(p)
+            else:
+                core = p.rstrip(SIGNS)
+                if core != p and core.isalpha():
+                    signs.append((p, core, p[len(core) :]))
+                else:
+                    other.append(p)
+        if signs:
+            words += {c for _, c, _ in signs if c not in known}.difference(words)
+            other += {e for _, _, e in signs if e not in known}.difference(other)
         if words:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(words):
                 data, at = ids.tobytes(), 0
                 for w, end in zip(words, (2 * ends).tolist(), strict=True):
-                    self.known[w] = data[at:end]
+                    known[w] = data[at:end]
                     at = end
             else:
-                rest += words
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            self.known[w] = np.array(e.ids, "<u2").tobytes()
-        for p, c in cores.items():
-            self.known[p] = self.known[c] + self.known[p[len(c) :]]
+                other += words
+        if other:
+            for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u2").tobytes()
+        for p, c, e in signs:
+            known[p] = known[c] + known[e]
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 16-bit ids."""
@@ -67,16 +78,17 @@ class WordIds:
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-        parts, known = text.replace("\n", " ").split(" "), self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            new = [p for p in dict.fromkeys(parts) if p not in known]
-            if len(known) + 2 * len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            self._learn(new)
-            return b"".join(map(known.__getitem__, parts))
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        parts = text.replace("\n", " ").split(" ")
+        ids = list(map(known.get, parts))
+        if None in ids:
+            lost = [k for k, x in enumerate(ids) if x is None]
+            self._learn(list({parts[k] for k in lost}))
+            for k in lost:
+                ids[k] = known[parts[k]]
+        return b"".join(ids)
 
 
 def word_ids(path: str | None = None, plain_specials: bool = False) -> WordIds:
