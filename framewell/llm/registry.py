@@ -10,7 +10,7 @@ from framewell.llm.packing import op4_packing
 from framewell.llm.secrets import OP1_SQL, op1_secret_scan
 from framewell.llm.separators import op3_token_counts
 from framewell.llm.simhash import op2_simhash_near_dedup
-from framewell.llm.substrings import op10_substring_dedup
+from framewell.llm.substrings import OP10_SQL, op10_substring_dedup
 from framewell.llm.wrappers import op9_html_extraction
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op10_substring_dedup": OP10_SQL}

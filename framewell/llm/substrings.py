@@ -284,3 +284,14 @@ def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, s, array_to_string(w[s:s+19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM s) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, s + o AS p FROM r, (SELECT unnest(range(20)) AS o)),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+k AS (SELECT u.doc_id, count(g.p) AS gone, string_agg(u.x, ' ' ORDER BY u.p) FILTER (g.p IS NULL) AS kept FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.p = u.p GROUP BY u.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.gone, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
