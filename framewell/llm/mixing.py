@@ -26,7 +26,7 @@ SHARE, TIMES = 1.5, 2
 BLOCK_WORDS = 256
 #: Words that an output shard holds about, and documents that meet in one group of the running sums about.
 SHARD_WORDS = 1 << 26
-GROUP_DOCS = 1 << 11
+GROUP_DOCS = 1 << 9
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, times: float = TIMES) -> list[float]:
@@ -108,18 +108,18 @@ def sized(docs: DataFrame, source_col: str = "source", text_col: str = "text", i
 
 
 def source_targets(rows: DataFrame) -> list[dict]:
-    """For each source by code point, null last: source, size, target. One row a source comes to the driver."""
-    found = [(r["source"], int(r["size"])) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()]
+    """For each source by code point, null last: source, size, docs, target. One row a source comes to the driver."""
+    found = [(r["source"], int(r["size"]), r["docs"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()]
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    return [{"source": s, "size": n, "target": t} for (s, n), t in zip(found, targets([n for _, n in found]), strict=True)]
+    return [{"source": s, "size": n, "docs": d, "target": t} for (s, n, d), t in zip(found, targets([n for _, n, _ in found]), strict=True)]
 
 
 def draws(rows: DataFrame, plan: list[dict], seed: int = 7, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """What the mix takes: (row, epoch, start, end, shard, place), words [start, end) of a document in an output shard.
 
     rows has row, key, source and size; the permuted order depends on the key (on row only between rows that
-    repeat it), so reruns agree however the input is split. Order a shard by (place, row): place is random and the same for one block's
-    parts. Documents without words are not taken. A row repeats for each epoch and each run of adjacent blocks cut
+    repeat it), so reruns agree however the input is split. Order a shard by (place, row): place is random and the same
+    for one block's parts. Documents without words are not taken. A row repeats for each epoch and each run of adjacent blocks cut
     by shards; per epoch no word is taken twice.
     """
     spark = rows.sparkSession
@@ -131,12 +131,12 @@ def draws(rows: DataFrame, plan: list[dict], seed: int = 7, block: int = BLOCK_W
     if not sum(quotas):
         return rows.select("row", F.lit(0).cast("long").alias("epoch"), *[F.lit(0).cast("long").alias(c) for c in ("start", "end", "shard", "place")]).limit(0)
 
-    # where each document begins in its source's permuted stream: sums within groups of a hash, and over the groups
-    groups = 1 << max(0, (rows.count() // GROUP_DOCS).bit_length())
+    # where each document begins in its source's permuted stream: sums within groups of a hash, and over the groups;
+    # a source has groups by its documents, so those of a hot one are no larger than others
+    known = spark.createDataFrame([(p["source"], k, -(-p["docs"] // GROUP_DOCS)) for k, p in enumerate(plan)], "_s string, rank int, _groups long")  # one row a source
     order = F.xxhash64("key", F.lit(seed))
-    hashed = rows.filter("size > 0").select("row", "key", "source", "size", order.alias("_h"), F.pmod(order, F.lit(groups)).alias("_g"))
-    known = spark.createDataFrame([(p["source"], k) for k, p in enumerate(plan)], "_s string, rank int")  # one row a source
-    hashed = hashed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s"))).select("row", "key", "rank", "size", "_h", "_g")
+    hashed = rows.filter("size > 0").join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s")))
+    hashed = hashed.select("row", "key", "rank", "size", order.alias("_h"), F.pmod(order, F.col("_groups")).alias("_g"))
     within = Window.partitionBy("rank", "_g").orderBy("_h", "key", "row")
     before = Window.partitionBy("rank").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     sums = hashed.groupBy("rank", "_g").agg(F.sum("size").alias("_n")).select("rank", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
