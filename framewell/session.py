@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def on_workers(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where the driver found it; a cluster without that folder gets it by --py-files."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
-    return (
+    return on_workers(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("framewell")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
