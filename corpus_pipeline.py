@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.llm import langid, mixing, packing, secrets, simhash
-from framewell.session import materialise
+from framewell.session import materialise, on_workers
 
 #: A text that costs so many bits a byte in its best language is no text in any of them (even bytes cost 8).
 REJECT_BITS = 7.5
@@ -45,12 +45,16 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
+def _ready(stage):
+    return lambda spark, docs, sf_dir: stage(on_workers(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("simhash_near_dedup", near_dedup),
-    ("secret_scan", redact_secrets),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
+    ("language_id", _ready(language_id)),
+    ("simhash_near_dedup", _ready(near_dedup)),
+    ("secret_scan", _ready(redact_secrets)),
+    ("mixing", _ready(mix_sources)),
+    ("packing", _ready(pack_sequences)),
 ]
 
 #: SQL can't express the language model, the trees or the tokenizer; tests hold the stages against brute force.
