@@ -11,12 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from framewell.config import CONFIG, min_cluster_size, sub_min_cluster_size
 from framewell.functions.vectors import l2_normalised
 from framewell.operators.neighbours import _matrix, blocks, distances, knn_join, knn_rescue, noise_rescue
 from framewell.plans.components import connected_components
+from framewell.plans.numbering import row_numbers
 from framewell.session import materialise
 
 LEVELS = 8
@@ -131,9 +131,8 @@ def density_labels(vectors: DataFrame, size: int, samples: int | None = None, le
         taken = materialise(under, "taken")
     members = levels.join(chosen, ["level", "cluster"]).groupBy("image_id").agg(F.min(F.struct("level", "cluster")).alias("c")).select("image_id", "c.*")
     members = materialise(members, "members")
-    # numbered over the clusters alone, which are few beside their members
-    names = members.groupBy("level", "cluster").agg(F.min("image_id").alias("first"))
-    names = names.withColumn("cluster_id", F.row_number().over(Window.orderBy("first"))).select("level", "cluster", "cluster_id")
+    names = row_numbers(members.groupBy("level", "cluster").agg(F.min("image_id").alias("first")), ["first"])
+    names = names.select("level", "cluster", (F.col("number") + 1).cast("int").alias("cluster_id"))
     told = members.join(names, ["level", "cluster"]).select("image_id", "cluster_id")
     return rows.select("image_id").join(told, "image_id", "left").select("image_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 

@@ -12,6 +12,7 @@ from framewell.config import CONFIG, bands_for, min_shared_bands
 from framewell.functions.hashes import band_values, hamming, shared_band_keys
 from framewell.operators.scan import first_per
 from framewell.plans.components import connected_components
+from framewell.plans.numbering import row_numbers
 from framewell.session import materialise
 
 
@@ -137,9 +138,7 @@ def merge_groups(old: DataFrame, new: DataFrame, canonical: DataFrame | None = N
     hit = old.join(new.select("image_id").distinct(), "image_id", "left_semi").select("group_id").distinct()
     kept = old.join(hit, "group_id", "left_anti")
     both = new.select(F.lit(0).alias("age"), "group_id", "image_id").unionByName(kept.select(F.lit(1).alias("age"), "group_id", "image_id"))
-    # numbered by the groups alone, which are far fewer than their members
-    sizes = both.groupBy("age", "group_id").agg(F.count("*").alias("n"))
-    numbered = sizes.withColumn("number", (F.row_number().over(Window.orderBy("age", "group_id")) - 1).cast("long"))
+    numbered = row_numbers(both.groupBy("age", "group_id").agg(F.count("*").alias("n")), ["age", "group_id"])
     rows = both.join(numbered, ["age", "group_id"])
     if canonical is None:
         return rows.select(F.col("number").alias("group_id"), "image_id", F.lit(1).alias("is_canonical"))
