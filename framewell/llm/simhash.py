@@ -177,8 +177,8 @@ def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 # Similarity of 0.8 or more, for stages without a contract of their own.
 
-#: 64-bit words of a wide fingerprint, bits of a table's key.
-WIDE, KEY_BITS = 4, 16
+#: 64-bit words of a wide fingerprint, bits of a table's key, nodes of a shard that needs no tree.
+WIDE, KEY_BITS, FEW = 4, 16, 8
 
 
 def wide_fingerprint(data: bytes, shingle: int = 5) -> np.ndarray:
@@ -282,10 +282,19 @@ def _wide_links(radius: int):
         return nodes[moved], nodes[root[moved]]
 
     def told(key, nodes, words):
-        out = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
-        bounds = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-        for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
-            a, z = bounds[k], bounds[k + 1]
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1)) if len(key) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(key)))
+        # a tree of so few nodes prunes nothing: such shards are compared side by side, all at once
+        few, root, left = np.repeat((sizes > 1) & (sizes <= FEW), sizes), np.arange(len(key)), []
+        for k in range(1, FEW):
+            i = np.flatnonzero(few[:-k] & (key[:-k] == key[k:])) if len(key) > k else root[:0]
+            left.append(np.stack((i, np.full(len(i), k)))[:, np.bitwise_count(words[i] ^ words[i + k]).sum(axis=1) <= radius])
+        i, k = np.concatenate(left, axis=1)
+        join(root, i, i + k)
+        moved = root != np.arange(len(root))
+        out = ([nodes[moved]], [nodes[root[moved]]])
+        for n in np.flatnonzero(sizes > FEW).tolist():
+            a, z = starts[n], starts[n] + sizes[n]
             for column, x in zip(out, links(nodes[a:z], words[a:z]), strict=True):
                 column.append(x)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["src", "dst"])

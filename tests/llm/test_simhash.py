@@ -143,3 +143,36 @@ def test_dense_shards_join_as_they_go():
     batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int64)), pa.array(nodes), *(pa.array(words[:, k].view(np.int64)) for k in range(simhash.WIDE))], names=list("abcdef"))
     out = [p for b in simhash._wide_links(4)([batch.slice(0, 40), batch.slice(40)]) for p in zip(*(c.to_pylist() for c in b.columns))]
     assert {a for a, _ in out} == set(nodes[1:].tolist()) and {b for _, b in out} == {100}
+
+
+def test_shards_with_and_without_a_tree_agree():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 3, 8, 9, 30, 1, 5]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    words = np.zeros((len(key), simhash.WIDE), np.uint64)
+    words[:, 0] = rng.integers(0, 1 << 5, len(key), dtype=np.uint64)
+    words[:, 2] = rng.integers(0, 1 << 3, len(key), dtype=np.uint64) << np.uint64(40)
+    nodes = rng.permutation(len(key)) * 11
+
+    def shards(few):
+        saved, simhash.FEW = simhash.FEW, few
+        batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes), *(pa.array(words[:, k].view(np.int64)) for k in range(simhash.WIDE))], names=list("abcdef"))
+        found = [p for b in simhash._wide_links(1)([batch.slice(0, 17), batch.slice(17, 0), batch.slice(17)]) for p in zip(*(c.to_pylist() for c in b.columns))]
+        simhash.FEW = saved
+        root = {int(n): int(n) for n in nodes}
+        for a, b in found:
+            root[a] = b
+        return root
+
+    for few in (2, 8):
+        got = shards(few)
+        for k in range(len(sizes)):
+            mine = np.flatnonzero(key == k)
+            near = {(i, j) for i in mine for j in mine if np.bitwise_count(words[i] ^ words[j]).sum() <= 1}
+            first = {i: i for i in mine}
+            for _ in mine:
+                for i, j in near:
+                    first[i] = min(first[i], first[j])
+            assert {int(nodes[i]): int(nodes[f]) for i, f in first.items()} == {int(nodes[i]): got[int(nodes[i])] for i in mine}
