@@ -40,8 +40,9 @@ def bucket_clashes(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", t
     Rows alone in their bucket need no comparison. A bucket's smallest and largest text say whether it holds
     several; both are combined before the shuffle, so a bucket with a third of all rows sends two texts a task.
     """
-    many = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
-    ids = materialise(prints.join(many, "fingerprint", "left_semi").select(F.col("id").alias("_cmp_id")).distinct(), "buckets")
+    many = materialise(prints.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint"), "many")
+    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+    ids = materialise(prints.join(many, "fingerprint", "left_semi").select(F.col("id").alias("_cmp_id")), "buckets")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(ids, rows["id"].eqNullSafe(F.col("_cmp_id")), "left_semi").select("text")
