@@ -35,6 +35,7 @@ def near_pairs(hashes: DataFrame, radius: int = CONFIG.hash_radius, bands: int =
 
     Pairs are searched between distinct hashes, by keys that such hashes surely share, and told apart by images last.
     """
+    hashes = materialise(hashes.select("image_id", "phash"), "hashes")
     distinct = hashes.select("phash").distinct()
     keyed = distinct.select("phash", F.explode(shared_band_keys(F.col("phash"), radius, bands)).alias("k")).select("phash", "k.combination", "k.key")
     other = keyed.withColumnRenamed("phash", "other")
@@ -92,14 +93,15 @@ def components(hashes: DataFrame, radius: int = CONFIG.hash_radius, bands: int =
 
     Equal hashes are one node. In each bucket only the links that connect it leave the task, never its pairs.
     """
-    known = materialise(hashes.groupBy("phash").agg(F.min("image_id").alias("low")), "hashes")
+    own = materialise(hashes.select("image_id", "phash"), "hashes")
+    known = materialise(own.groupBy("phash").agg(F.min("image_id").alias("low")), "nodes")
     keyed = known.select("phash", F.explode(shared_band_keys(F.col("phash"), radius, bands)).alias("k")).select("k.combination", "k.key", "phash")
     dealt = keyed.repartition("combination", "key").sortWithinPartitions("combination", "key")
     edges = dealt.mapInArrow(_bucket_links(radius), "src long, dst long").distinct()
     label = connected_components(edges).select(F.col("node").alias("phash"), F.col("component").alias("rep"))
     told = known.join(label, "phash", "left").select("phash", "low", F.coalesce("rep", "phash").alias("rep"))
     least = told.groupBy("rep").agg(F.min("low").alias("component"))
-    return hashes.select("image_id", "phash").join(told.join(least, "rep").select("phash", "component"), "phash").select("image_id", "component")
+    return own.join(told.join(least, "rep").select("phash", "component"), "phash").select("image_id", "component")
 
 
 def group_members(hashes: DataFrame, radius: int = CONFIG.hash_radius) -> DataFrame:
