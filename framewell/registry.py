@@ -1,4 +1,4 @@
-"""All queries over the reference's own operators, and their SQL."""
+"""All queries over the catalog's own operators, and their SQL."""
 
 from __future__ import annotations
 
