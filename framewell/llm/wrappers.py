@@ -3,8 +3,9 @@
 A page is a stream of tags and text slots. Runs that repeat beside each other become repeated groups, and the pages of
 a host are aligned one after the other: where the aligned streams agree they are merged, and what only one has becomes
 optional. The result, a union-free regular expression of tags, `#` (a text slot), `(...)+` and `(...)?`, is the
-host's wrapper. Its slots are then told apart by where they stand: in the article, or in a menu, a form and so on; and
-every page is read along its host's wrapper, keeping the text of the article's slots.
+host's wrapper. Every page is read along it, and the texts that the pages have in each of its slots are counted: a text
+that the pages share is the template's. That, and where a slot stands (in an element named an article, or in a menu, a
+form and so on), tells what is kept.
 
 Aligning is a merge, so it works in any grouping (the slots of a wrapper are the same for any): equal streams are
 counted once, a host's streams are merged in salted parts and the parts' wrappers with each other. No page is left
@@ -16,9 +17,11 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,10 @@ SALTS = 16
 DEEPEST = 150
 #: Characters of all wrappers together that are broadcast at most; more are joined by host.
 BROADCAST_CHARS = 32_000_000
+#: Share of the pages with a slot on which one text makes it the template's, and share of the host's pages inside an article.
+OFTEN, ALWAYS = 0.5, 0.9
+#: Different pages that must bear a text at least before it is taken for the template's.
+LEAST_PAGES = 3
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -253,72 +260,127 @@ def _place(tag: str, words: set[str], outer: int) -> int:
 
 
 class Node:
-    """A wrapper's element: where its text stands, whether it is a link, and its elements by label."""
-
-    __slots__ = ("children", "link", "place")
-
-    def __init__(self, place: int, link: bool) -> None:
-        self.place, self.link, self.children = place, link, {}
-
-    def child(self, label: str) -> Node:
-        if label not in self.children:
-            tag, *words = label.split()
-            self.children[label] = Node(_place(tag, {*words}, self.place), self.link or tag == "a")
-        return self.children[label]
-
-
-def compiled(items: tuple) -> Node:
-    """The wrapper as a tree of its labels: signs and groups don't change which slot a text falls into."""
-    root = Node(1, False)
-
-    def add(node: Node, items: tuple) -> None:
+    """A wrapper's element or text slot: its number, where its text stands, whether it is a link, and its items in order."""
+
+    __slots__ = ("at", "extra", "fixed", "items", "link", "number", "own", "place", "spans")
+
+    def __init__(self, place: int, link: bool, number: int = -1) -> None:
+        self.place, self.link, self.number = place, link, number
+        self.items, self.spans, self.at, self.extra = [], [], {}, {}
+        self.fixed, self.own = {}, False
+
+    def inside(self, label: str, number: int = -1) -> Node:
+        tag, *words = label.split()
+        return Node(self.place if label == "#" else _place(tag, {*words}, self.place), self.link or tag == "a", number)
+
+    def step(self, label: str, last: int) -> tuple[Node, int]:
+        """The item that a label ("#" for text) falls into after the item `last`, and its place: the next one inside the
+        repeat that `last` stands in, that repeat once more, a later one, or the first. What the wrapper lacks is unnumbered."""
+        at = self.at.get(label)
+        if at is None:
+            if label not in self.extra:
+                self.extra[label] = self.inside(label)
+            return self.extra[label], last
+        start, end = self.spans[last] if last >= 0 else (0, 0)
+        k = bisect_right(at, last)
+        if k == len(at) or at[k] >= end:
+            again = bisect_left(at, start)
+            if again < len(at) and at[again] < end:
+                k = again
+        place = at[k] if k < len(at) else at[0]
+        return self.items[place], place
+
+
+def compiled(items: tuple, facts: dict | None = None) -> Node:
+    """The wrapper as a tree of numbered items, with what is known of its text slots' texts (`slot_facts`)."""
+    root, slots = Node(1, False), []
+
+    def put(node: Node, items: tuple, span: tuple[int, int] | None) -> None:
         for item in items:
+            place = len(node.items)
             if item[0] == "g":
-                add(node, item[2])
-            elif item[0] == "e":
-                add(node.child(item[2]), item[3])
-
-    add(root, items)
+                put(node, item[2], (place, place + _width(item)) if "+" in item[1] else span)
+                continue
+            label = "#" if item[0] == "#" else item[2]
+            inner = node.inside(label, len(slots))
+            slots.append(inner)
+            node.items.append(inner)
+            node.spans.append(span or ((place, place + 1) if "+" in item[1] else (place, place)))
+            node.at.setdefault(label, []).append(place)
+            if item[0] == "e":
+                put(inner, item[3], None)
+
+    put(root, items, None)
+    for slot, text, share in (facts or {}).get("fixed", ()):
+        slots[slot].fixed[text] = share
+    for slot in (facts or {}).get("own", ()):
+        slots[slot].own = True
     return root
 
 
-def extract(html: str, wrapper: Node) -> str:
-    """The article's text of a page that follows the wrapper: blocks in page order, joined by one blank.
+def _width(item: tuple) -> int:
+    return sum(map(_width, item[2])) if item[0] == "g" else 1
 
-    A page without any text in an article keeps its other text outside menus and the like, but for blocks that are
-    mostly links.
-    """
-    path, blocks, run = [wrapper], {1: [], 2: []}, []
+
+def blocks_of(html: str, wrapper: Node):
+    """(block, its text slot, whether it is mostly links), in page order, of a page read along its wrapper."""
+    path, last, run, out = [wrapper], [-1], [], []
 
     def flush() -> None:
-        node = path[-1]
         if run:
-            block = " ".join(html_lib.unescape("".join(t for t, _ in run)).split())
-            if block and node.place > 0:
-                linked = sum(len(t) for t, link in run if link)
-                blocks[node.place].append((block, 2 * linked > sum(len(t) for t, _ in run)))
+            # what an inline element keeps out of the article is left out of its block
+            kept = [x for x in run if x[2].place > 0] or run
+            block = " ".join(html_lib.unescape("".join(t for t, _, _ in kept)).split())
+            if block:
+                linked = sum(len(t) for t, link, _ in kept if link)
+                out.append((block, kept[0][2], 2 * linked > sum(len(t) for t, _, _ in kept)))
             run.clear()
 
     for kind, what in events(html):
         if kind == "text":
-            if path[-1].place > 0:
-                run.append((what, path[-1].link))
+            here = path[-1]
+            slot = next((x[2] for x in run if (x[2].place > 0) == (here.place > 0)), None)
+            if slot is None:
+                if what.isspace():
+                    continue
+                slot, last[-1] = here.step("#", last[-1])
+            run.append((what, here.link, slot))
         elif kind == "break":
             flush()
         else:
-            inline = what.split(" ", 1)[0] in INLINE
+            if what.split(" ", 1)[0] not in INLINE:
+                flush()
             if kind == "open":
-                if not inline:
-                    flush()
-                path.append(path[-1].child(what))
+                node, last[-1] = path[-1].step(what, last[-1])
+                path.append(node)
+                last.append(-1)
             else:
-                if not inline:
-                    flush()
                 path.pop()
+                last.pop()
     flush()
+    return out
+
+
+def text_hash(block: str) -> int:
+    return xxhash.xxh64_intdigest(block.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def extract(html: str, wrapper: Node) -> str:
+    """The article's text of a page that follows the wrapper: blocks in page order, joined by one blank.
+
+    A text that its slot bears on at least half of the pages is the template's; inside an element that is named an
+    article only one on nearly all of the host's pages is. A page without any text in an article keeps its other text
+    outside menus and the like, but for blocks that are mostly links; one without that keeps what stands in slots whose
+    texts are the pages' own, whatever they are named.
+    """
+    blocks: dict[int, list] = {0: [], 1: [], 2: []}
+    for block, slot, linked in blocks_of(html, wrapper):
+        share = slot.fixed.get(text_hash(block), 0) if slot.fixed else 0
+        if share < (ALWAYS if slot.place == 2 else OFTEN) and (slot.place > 0 or slot.own):
+            blocks[max(0, slot.place)].append((block, linked))
     if blocks[2]:
         return " ".join(b for b, _ in blocks[2])
-    return " ".join(b for b, linked in blocks[1] if not linked)
+    return " ".join(b for b, linked in blocks[1] if not linked) or " ".join(b for b, linked in blocks[0] if not linked)
 
 
 def _merged(keys: list[str], column: str = "shape"):
@@ -362,39 +424,91 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return parts.select("host", "shape").repartition("host").sortWithinPartitions("host", "shape").mapInArrow(_merged(["host"]), "host string, shape string")
 
 
+def slot_facts(pages: DataFrame, reading) -> DataFrame:
+    """(host, facts): what the different pages of a host have in their wrapper's slots, as JSON for `compiled`.
+
+    fixed has (slot, text's hash, share of pages) for texts on LEAST_PAGES or more and OFTEN of the slot's pages; the share
+    is of the slot's pages or, inside an article, of the host's. own has the slots most of whose pages' texts no other page
+    has. A host without such a slot on half of its pages tells no template from article, and has no facts. Counted are
+    slots, texts and pages; copies of a page count once.
+    """
+
+    def told(page: str, wrapper: Node):
+        found = {(slot.number, text_hash(block)) for block, slot, _ in blocks_of(page, wrapper) if slot.number >= 0}
+        return [(-1, None), *((k, None) for k in {k for k, _ in found}), *found]
+
+    def places(batches):
+        for b, nodes in reading(batches):
+            out = [[], [], [], []]
+            for url, page, node in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), nodes, strict=True):
+                host, digest = host_of(url), text_hash(page or "")
+                for slot, text in told(page or "", node):
+                    for c, x in zip(out, (host, slot, text, digest), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["host", "slot", "text", "page"])
+
+    seen = pages.mapInArrow(places, "host string, slot int, text long, page long").distinct()
+    counted = materialise(seen.groupBy("host", "slot", "text").agg(F.count("*").alias("n")), "slots")
+    hosts = counted.filter("slot = -1").select("host", F.col("n").alias("of_host"))
+    slots = counted.filter("slot >= 0").groupBy("host", "slot").agg(
+        F.sum(F.when(F.col("text").isNull(), F.col("n"))).alias("of_slot"), F.count(F.when(F.col("text").isNotNull() & (F.col("n") == 1), 1)).alias("single"))
+    slots = slots.join(hosts, "host").withColumn("own", (F.col("of_slot") >= LEAST_PAGES) & (2 * F.col("single") >= F.col("of_slot")))
+    contrast = slots.groupBy("host").agg(F.max(F.col("own") & (2 * F.col("of_slot") >= F.col("of_host"))).alias("tells"), F.collect_list(F.when(F.col("own"), F.col("slot"))).alias("own")).filter("tells")
+    often = counted.filter((F.col("slot") >= 0) & F.col("text").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(slots.select("host", "slot", "of_slot", "of_host"), ["host", "slot"])
+    often = often.filter(F.col("n") >= OFTEN * F.col("of_slot"))
+    share = F.when(F.col("n") >= ALWAYS * F.col("of_host"), F.col("n") / F.col("of_host")).otherwise(F.lit(OFTEN))
+    fixed = often.groupBy("host").agg(F.collect_list(F.struct("slot", "text", share.alias("share"))).alias("fixed"))
+    facts = contrast.select("host", "own").join(fixed, "host", "left")
+    listed = F.transform("fixed", lambda x: F.concat(F.lit("["), x["slot"], F.lit(","), x["text"], F.lit(","), F.round(x["share"], 6), F.lit("]")))
+    return facts.select("host", F.concat(F.lit('{"own":'), F.to_json("own"), F.lit(',"fixed":['), F.coalesce(F.array_join(listed, ","), F.lit("")), F.lit("]}")).alias("facts"))
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: id, url, text, n_chars. Null pages have empty text; null ids and repeated rows keep their rows."""
     learned = materialise(wrappers(pages, url_col, html_col), "wrappers")
-    size = learned.agg(F.sum(F.length("shape"))).first()[0] or 0
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     names, kind = ["page_id", "url", "text", "n_chars"], pages.schema[id_col].dataType.simpleString()
 
-    def read(batches, wrapper_of):
-        known: dict[str, Node] = {}
-        for b in batches:
-            columns = [c.to_pylist() for c in b.columns]
-            text = []
-            for k, (url, page) in enumerate(zip(columns[1], columns[2], strict=True)):
-                host = host_of(url)
-                if host not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[host] = compiled(loads(wrapper_of(host, columns, k)))
-                text.append(extract(page or "", known[host]))
+    def along(learned: DataFrame):
+        """(rows with what their reader needs, the reader): batches and the wrapper of each of their rows."""
+
+        def reading(batches, wrapper_of):
+            known: dict[str, Node] = {}
+            for b in batches:
+                nodes, urls = [], b.column(1).to_pylist()
+                for k, url in enumerate(urls):
+                    host = host_of(url)
+                    if host not in known:
+                        if len(known) > 1000:
+                            known.clear()
+                        items, facts = wrapper_of(host, b, k)
+                        known[host] = compiled(loads(items), facts and json.loads(facts))
+                    nodes.append(known[host])
+                yield b, nodes
+
+        size = learned.agg(F.sum(F.length("shape") + F.length(F.coalesce("facts", F.lit(""))))).first()[0] or 0
+        if size <= BROADCAST_CHARS:
+            table = pages.sparkSession.sparkContext.broadcast({r["host"]: (r["shape"], r["facts"]) for r in learned.toLocalIterator()})
+            return rows, lambda batches: reading(batches, lambda host, *_: table.value[host])
+
+        def hosts(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([host_of(u) for u in b.column(1).to_pylist()], pa.string())], names=["page_id", "url", "html", "host"])
+
+        with_host = rows.mapInArrow(hosts, f"page_id {kind}, url string, html string, host string")
+        joined = with_host.join(learned, "host").select("page_id", "url", "html", "shape", "facts")
+        return joined, lambda batches: reading(batches, lambda _, b, k: (b.column(3)[k].as_py(), b.column(4)[k].as_py()))
+
+    with_wrapper, reading = along(learned.withColumn("facts", F.lit(None).cast("string")))
+    facts = slot_facts(with_wrapper, reading)
+    with_facts, told = along(materialise(learned.join(facts, "host", "left"), "facts"))
+
+    def read(batches):
+        for b, nodes in told(batches):
+            text = [extract(page or "", node) for page, node in zip(b.column(2).to_pylist(), nodes, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=names)
 
-    schema = f"page_id {kind}, url string, text string, n_chars long"
-    if size <= BROADCAST_CHARS:
-        table = pages.sparkSession.sparkContext.broadcast({r["host"]: r["shape"] for r in learned.toLocalIterator()})
-        return rows.mapInArrow(lambda batches: read(batches, lambda host, *_: table.value[host]), schema)
-
-    def hosts(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([host_of(u) for u in b.column(1).to_pylist()], pa.string())], names=["page_id", "url", "html", "host"])
-
-    with_host = rows.mapInArrow(hosts, f"page_id {kind}, url string, html string, host string")
-    joined = with_host.join(learned, "host").select("page_id", "url", "html", "shape")
-    return joined.mapInArrow(lambda batches: read(batches, lambda _, columns, k: columns[3][k]), schema)
+    return with_facts.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:

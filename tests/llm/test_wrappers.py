@@ -76,3 +76,23 @@ def test_query(spark):
     for r in got:
         body = pages[r.page_id].html.split("<article>", 1)[1].split("</article>")[0]
         assert r.text == " ".join(w.html_lib.unescape(re.sub(r"<[^>]*>", " ", body)).split()) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def test_template_texts_are_told_by_the_host_s_pages(spark):
+    words = "ash birch cedar elm fir hazel larch maple oak pine rowan yew".split()
+
+    def page(k, article):
+        own = " ".join(words[(k * 7 + i * i + k // 3) % 12] for i in range(9)) + f" {k}"
+        more = "<h2>Offer</h2>" if k % 2 else ""
+        named = ("<article>", "<p>Written for you.</p></article>") if article else ("<div>", "</div>")
+        return own, f"<body><div>All our trees</div>{more}{named[0]}<p>{own}</p>{named[1]}<div>Call 555 now</div></body>"
+
+    hosts = {"plain": lambda k: page(k, False), "named": lambda k: page(k, True), "form": lambda k: (page(k, False)[0], "<form>" + page(k, False)[1] + "</form>")}
+    rows = [(k, f"http://{h}/{k}", make(k)[1]) for h, make in hosts.items() for k in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for limit in (w.BROADCAST_CHARS, 0):
+        w.BROADCAST_CHARS, saved = limit, w.BROADCAST_CHARS
+        got = {r.url: r.text for r in w.main_text(df).collect()}
+        w.BROADCAST_CHARS = saved
+        assert got == {f"http://{h}/{k}": make(k)[0] for h, make in hosts.items() for k in range(12)}
+    assert all(w.extract(html, w.compiled(())) != got[url] for _, url, html in rows)
