@@ -3,8 +3,9 @@
 Each language has a context tree of order 3: counts of the byte that followed each context of 3, 2, 1 and 0 bytes.
 A byte seen in a context costs its share there; any other byte costs the context's escape (method C: distinct
 followers over total plus distinct) and then what it costs in the next shorter context, down to a uniform byte.
-The statistics are frozen after training, so the cost of every (context, byte) is a constant and the trees are
-compiled into one table; a text's code length is the exact sum over all its bytes.
+The statistics are frozen after training, so the cost of every (context, byte) is a constant. All 256 byte values are
+symbols; the costs are compiled into hash tables of the grams that training saw in any language, and what is in none
+goes on to the shorter context there. A text's code length is the exact sum over all its bytes.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from pyspark.sql import functions as F
 from framewell.llm.common import as_bytes, map_arrow, text_batches
 
 ORDER = 3
-#: Distinct byte symbols kept, the rest share one; it bounds the compiled table to SYMBOLS ** 4 costs a language.
-SYMBOLS = 40
 #: Training texts a language at most (in expectation; drawn by the text's hash from distinct texts).
 TRAIN_TEXTS = 2000
 #: What a text without a letter is given.
@@ -72,47 +71,91 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_t
     return {"id": uuid.uuid4().hex, "langs": langs, "grams": [(gram[lang == k].astype(np.uint32), n[lang == k]) for k in langs]}
 
 
-def compile_model(model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol of each byte, cost in bits [context of 3 and byte, language])."""
+class Codes:
+    """An open-addressing hash table from distinct codes under 2 ** 32 to their places."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.bits = max(4, int(2 * len(codes)).bit_length())
+        self.keys, self.rows = np.zeros(1 << self.bits, np.uint32), np.full(1 << self.bits, -1, np.int32)
+        todo = np.arange(len(codes), dtype=np.int32)
+        at = self._home(codes.astype(np.uint32))
+        while len(todo):
+            free = self.rows[at] < 0
+            self.rows[at[free]] = todo[free]
+            placed = self.rows[at] == todo
+            todo, at = todo[~placed], (at[~placed] + 1) & (len(self.rows) - 1)
+        held = self.rows >= 0
+        self.keys[held] = codes[self.rows[held]]
+
+    def _home(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code, -1 for one that is not in the table."""
+        at = self._home(codes)
+        out = self.rows[at]
+        todo = np.flatnonzero((self.keys[at] != codes) & (out >= 0))
+        at, codes = at[todo], codes[todo]
+        while len(todo):
+            at = (at + 1) & (len(self.rows) - 1)
+            out[todo] = rows = self.rows[at]
+            on = (self.keys[at] != codes) & (rows >= 0)
+            todo, at, codes = todo[on], at[on], codes[on]
+        return out
+
+
+def compile_model(model: dict) -> tuple[tuple, tuple, tuple]:
+    """Costs in bits, a column a language: (4-grams, their cost), (3-grams, their cost, their escape as a context) and
+    (cost of each 2-gram, its escape as a context). A gram is a context and the byte after it."""
     if model["id"] in _COMPILED:
         return _COMPILED[model["id"]]
-    seen = np.zeros(256)
-    for gram, n in model["grams"]:
-        seen += np.bincount(gram & 255, n, 256)
-    seen[32] = np.inf  # the start's symbol
-    top = np.argsort(-seen, kind="stable")[: SYMBOLS - 1]
-    top = top[seen[top] > 0]
-    symbol = np.full(256, SYMBOLS - 1, np.int32)
-    symbol[top] = np.arange(len(top))
-    cost = np.empty((SYMBOLS ** (ORDER + 1), len(model["langs"])), np.float32)
-    other = 256 - len(top)  # bytes behind the shared symbol
-    base = np.full(SYMBOLS, 1 / 256)
-    base[SYMBOLS - 1] = other / 256
+    n_langs, none = len(model["langs"]), np.empty(0, np.uint32)
+    fours = np.unique(np.concatenate([none, *(gram for gram, _ in model["grams"])]))
+    threes = np.unique(np.concatenate((fours >> 8, fours & 0xFFFFFF)))
+    cost4, cost3, escape3 = np.empty((len(fours), n_langs), np.float32), np.empty((len(threes), n_langs), np.float32), np.empty((len(threes), n_langs), np.float32)
+    cost2, escape2 = np.empty((1 << 16, n_langs), np.float32), np.empty((1 << 16, n_langs), np.float32)
+    context4, rest4 = np.searchsorted(threes, fours >> 8), np.searchsorted(threes, fours & 0xFFFFFF)
+
+    def shares(c, context, contexts):
+        """(share of each gram with the count c in its context, 0 for a count of 0; each context's escape)."""
+        total, kinds = np.bincount(context, c, contexts), np.bincount(context, c > 0, contexts)
+        both = np.maximum(total + kinds, 1)
+        return c / both[context], np.where(total > 0, kinds / both, 1.0)
+
     for k, (gram, n) in enumerate(model["grams"]):
-        code = np.zeros(len(gram), np.int64)
-        for i in range(ORDER, -1, -1):
-            code = code * SYMBOLS + symbol[(gram >> (8 * i)) & 255]
-        full = np.bincount(code, n, SYMBOLS ** (ORDER + 1)).reshape((SYMBOLS,) * (ORDER + 1))
-        p = base
-        for order in range(ORDER + 1):
-            c = full.sum(axis=tuple(range(ORDER - order))) if order < ORDER else full
-            total, kinds = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
-            escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-            p = np.where(c > 0, c / np.maximum(total + kinds, 1), escape * p)
-        p[..., SYMBOLS - 1] /= other
-        cost[:, k] = -np.log2(p.ravel())
+        two = np.arange(1 << 16)
+        p, escape = shares(np.bincount(gram & 255, n, 256), np.zeros(256, np.int64), 1)
+        p = np.where(p > 0, p, escape[0] / 256)
+        own, escape = shares(np.bincount(gram & 0xFFFF, n, 1 << 16), two >> 8, 256)
+        p = np.where(own > 0, own, escape[two >> 8] * p[two & 255])
+        own, escape = shares(np.bincount(np.searchsorted(threes, gram & 0xFFFFFF), n, len(threes)), threes >> 8, 1 << 16)
+        cost2[:, k], escape2[:, k] = -np.log2(p), -np.log2(escape)
+        p = np.where(own > 0, own, escape[threes >> 8] * p[threes & 0xFFFF])
+        own, escape = shares(np.bincount(np.searchsorted(fours, gram), n, len(fours)), context4, len(threes))
+        cost3[:, k], escape3[:, k] = -np.log2(p), -np.log2(escape)
+        cost4[:, k] = -np.log2(np.where(own > 0, own, escape[context4] * p[rest4]))
     _COMPILED.clear()
-    _COMPILED[model["id"]] = symbol, cost
-    return symbol, cost
+    _COMPILED[model["id"]] = out = (Codes(fours), cost4), (Codes(threes), cost3, escape3), (cost2, escape2)
+    return out
 
 
-def code_lengths(data: bytes, symbol: np.ndarray, cost: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def code_lengths(data: bytes, fours: tuple, threes: tuple, twos: tuple, block: int = 1 << 20) -> np.ndarray:
     """Bits of the whole text under each language."""
-    s, bits = symbol[_grams(data)], np.zeros(cost.shape[1])
+    (grams, cost4), (contexts, cost3, escape3), (cost2, escape2) = fours, threes, twos
+    s, bits = _grams(data), np.zeros(cost4.shape[1])
     for at in range(0, len(data), block):
-        x = s[at : at + block + ORDER]
-        where = ((x[:-3] * SYMBOLS + x[1:-2]) * SYMBOLS + x[2:-1]) * SYMBOLS + x[3:]
-        bits += cost[where].sum(axis=0, dtype=np.float64)
+        x = s[at : at + block + ORDER].astype(np.uint32)
+        code = x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
+        row = grams.find(code)
+        bits += cost4[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        code = code[row < 0]
+        if len(code):
+            row = contexts.find(code >> 8)
+            bits += escape3[row[row >= 0]].sum(axis=0, dtype=np.float64)
+            row = contexts.find(code & 0xFFFFFF)
+            bits += cost3[row[row >= 0]].sum(axis=0, dtype=np.float64)
+            code = code[row < 0]
+            bits += escape2[code >> 8 & 0xFFFF].sum(axis=0, dtype=np.float64) + cost2[code & 0xFFFF].sum(axis=0, dtype=np.float64)
     return bits
 
 
@@ -120,7 +163,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """One row a document: id, lang_pred, score (posterior under even priors), bits_per_byte of the best language.
 
     A null text, a text without a letter, or a model without languages gives `und`, score 0, bits null. Ties go to the first
-    language in order. Null ids and repeated rows keep their rows. The model is bounded by SYMBOLS, so it is broadcast.
+    language in order. Null ids and repeated rows keep their rows. The model is bounded by the training sample, so it is broadcast.
     """
     text_batches(docs.sparkSession)
     frozen = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -62,3 +63,26 @@ def test_held_out_accuracy(spark):
     held = [r for r in rows if r.held_out]
     assert all(0 <= r.score <= 1 for r in rows)
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.98
+
+
+def unspaced(seed, first, n=60):
+    """A text without blanks in one of two languages of three-byte characters, 300 of them from first on."""
+    rng = random.Random(seed)
+    return "".join(chr(first + min(rng.randrange(300), rng.randrange(300))) for _ in range(n))
+
+
+def test_rare_bytes_keep_their_own_symbols(spark):
+    import corpus_pipeline as cp
+
+    common = [(i, " ".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz ABC 0123456789 .,;:!?-()/ the of and".split() + [*"abcdefghijklmnopqrstuvwxyz0123456789.,;:!?-()/"], k=200)), "en") for i in range(400)]
+    rare = [(1000 + k * 100 + i, unspaced(k * 100 + i, first), lang) for k, (lang, first) in enumerate([("ja", 0x4E00), ("zh", 0x6C00)]) for i in range(40)]
+    model = langid.train(spark.createDataFrame(common + rare, "doc_id long, text string, lang string"))
+    lang = model["langs"].index("zh")
+    probe = unspaced(9999, 0x6C00)
+    want = plain_bits([t.encode() for _, t, x in rare if x == "zh"], probe.encode())
+    assert langid.code_lengths(probe.encode(), *langid.compile_model(model))[lang] == pytest.approx(want, rel=1e-5)
+    fresh = [(5000 + k * 100 + i, unspaced(7000 + k * 100 + i, first), lang) for k, (lang, first) in enumerate([("ja", 0x4E00), ("zh", 0x6C00)]) for i in range(20)]
+    docs = spark.createDataFrame(common + rare + fresh, "doc_id long, text string, lang string")
+    got = {r.id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rare + fresh)
+    assert langid.keep_identified(docs, model, cp.REJECT_BITS).count() == docs.count()
