@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewell.llm.common import as_bytes, map_arrow, text_batches
@@ -164,10 +164,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(by_print, "print").select("id", "print", "component")
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component in groups (id, component); of rows that repeat an id one stays."""
-    first = groups.filter(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    return docs.dropDuplicates([id_col]).join(first, id_col, "left_semi").select(*docs.columns)
+def _text_key(text_col: str) -> list[Column]:
+    """128 bits of the text in two columns, text_a and text_b."""
+    return [F.xxhash64(F.col(text_col)).alias("text_a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("text_b")]
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of `similar_documents`: the one with the smallest id, null ids last, and of rows
+    that repeat the id the one whose text's hash is smallest, then whose columns are."""
+    row = ["_id", "text_a", "text_b"]
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("_id"), "text_a", "text_b")).alias("k")).select(*[F.col(f"k.{c}").alias(f"{c}_") for c in row])
+    whole = docs.select(F.col(id_col).cast("long").alias("_id"), *_text_key(text_col), F.struct(*docs.columns).alias("row"))
+    once = whole.groupBy(*row).agg(F.min("row").alias("row"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in row]
+    return once.join(first, same[0] & same[1] & same[2], "left_semi").select("row.*")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -315,7 +325,8 @@ def _wide_links(radius: int):
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row a document: id, component (the smallest id reachable over links of the given similarity, itself included).
+    """One row a document: id, component (the smallest id reachable over links of the given similarity, itself included),
+    group (the component's own key, there without any id too), text_a and text_b (128 bits of the text).
 
     The similarity of two texts' sets of word shingles is told from wide fingerprints; equal fingerprints are one node.
     Links are searched in tables whose keys are samples of the bits, each bucket a shard with a BK-tree of its own;
@@ -327,11 +338,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def work(batch):
         wide = np.stack([wide_fingerprint(x, shingle) for x in as_bytes(batch.column(1))] or [np.zeros(WIDE, np.uint64)])[: batch.num_rows]
-        yield {"id": batch.column(0), **{n: np.ascontiguousarray(wide[:, k]).view(np.int64) for k, n in enumerate(names)}}
+        yield {"id": batch.column(0), "text_a": batch.column(2), "text_b": batch.column(3), **{n: np.ascontiguousarray(wide[:, k]).view(np.int64) for k, n in enumerate(names)}}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    own = map_arrow(rows, work, "id long, " + ", ".join(f"{n} long" for n in names))
-    own = materialise(own.select("id", F.xxhash64(*names).alias("node"), *names), "wide")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *_text_key(text_col))
+    own = map_arrow(rows, work, "id long, text_a long, text_b long, " + ", ".join(f"{n} long" for n in names))
+    own = materialise(own.select("id", "text_a", "text_b", F.xxhash64(*names).alias("node"), *names), "wide")
     known = materialise(own.groupBy("node").agg(F.min("id").alias("low"), *[F.first(n).alias(n) for n in names]), "nodes")
     tables, bits = tables_for(similarity, known.count())
     keyed = known.select("node", *names).mapInArrow(_keys(tables, bits), "key long, node long, " + ", ".join(f"{n} long" for n in names))
@@ -340,4 +351,5 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     label = connected_components(edges).select("node", F.col("component").alias("rep"))
     told = materialise(known.select("node", "low").join(label, "node", "left").select("node", "low", F.coalesce("rep", "node").alias("rep")), "known")
     least = told.groupBy("rep").agg(F.min("low").alias("component"))
-    return own.select("id", "node").join(told.join(least, "rep").select("node", "component"), "node").select("id", "component")
+    named = told.join(least, "rep").select("node", "component", F.col("rep").alias("group"))
+    return own.select("id", "text_a", "text_b", "node").join(named, "node").select("id", "component", "group", "text_a", "text_b")

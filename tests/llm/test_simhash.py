@@ -176,3 +176,13 @@ def test_shards_with_and_without_a_tree_agree():
                 for i, j in near:
                     first[i] = min(first[i], first[j])
             assert {int(nodes[i]): int(nodes[f]) for i, f in first.items()} == {int(nodes[i]): got[int(nodes[i])] for i in mine}
+
+
+def test_each_group_keeps_one_row_whatever_its_ids(spark):
+    words = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdef"]
+    rows = [(None, words[0], "x"), (None, words[1], "x"), (None, words[1], "w"), (7, words[2], "x"), (7, words[3], "x"), (2, words[3], "x"), (None, words[3], "x"), (1, words[4], "z"), (1, words[4], "y"), (None, None, "x")]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        kept = keep_first(docs, similar_documents(docs))
+        want = [(None, words[0], "x"), (None, words[1], "w"), (7, words[2], "x"), (2, words[3], "x"), (1, words[4], "y"), (None, None, "x")]
+        assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want)) and kept.columns == docs.columns
