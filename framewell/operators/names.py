@@ -7,32 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewell.functions.paths import basename, stem, suffix
-from framewell.session import materialise
 
+_NUMBERED = r"(?s)^(.*)_([1-9][0-9]{0,17})$"
 
-def unique_names(rows: DataFrame, taken: DataFrame | None = None, path: str = "path", rounds: int = 64) -> DataFrame:
+
+def unique_names(rows: DataFrame, taken: DataFrame | None = None, path: str = "path") -> DataFrame:
     """rows with unique_name: the file's name, or stem_1.ext, stem_2.ext ... for later ones by path.
 
-    A suffixed name that another file bears already, or that `taken` (column name) holds, moves on to the next number;
-    rounds end when all names differ. Names are settled inside their name's own rows, so rounds are few.
+    Numbers whose name another file bears already, or that `taken` (column name) holds, are passed over: a name's files
+    take its free numbers in turn, 0 being the name itself. Two names never give the same numbered one, so what is not
+    free is known beforehand, and any number of collisions is settled at once.
     """
-    name = basename(F.col(path))
+
+    def numbered(name, k):
+        return F.concat(stem(name), F.lit("_"), k, suffix(name))
+
     turn = Window.partitionBy("_name").orderBy(path)
-    named = materialise(rows.withColumn("_name", name).withColumn("_k", (F.row_number().over(turn) - 1).cast("long")), "names")
-    numbered = F.when(F.col("_k") == 0, F.col("_name")).otherwise(F.concat(stem(F.col("_name")), F.lit("_"), F.col("_k"), suffix(F.col("_name"))))
-    held = taken.select(F.col("name").alias("_held")).distinct() if taken is not None else None
-    while rounds:
-        now = named.withColumn("_now", numbered)
-        # of several that bear a name, the one whose own name it is keeps it, then the first by path
-        order = Window.partitionBy("_now").orderBy(F.col("_k") > 0, path)
-        marked = now.withColumn("_lost", F.row_number().over(order) > 1)
-        if held is not None:
-            marked = marked.join(held, F.col("_now") == F.col("_held"), "left").withColumn("_lost", F.col("_lost") | F.col("_held").isNotNull()).drop("_held")
-        marked = materialise(marked, "names")
-        if marked.filter("_lost").isEmpty():
-            break
-        # all later numbers of that name move with it, so that no two meet again
-        first = marked.filter("_lost").groupBy("_name").agg(F.min("_k").alias("_from"))
-        named = marked.join(first, "_name", "left").withColumn("_k", F.col("_k") + F.when(F.col("_k") >= F.col("_from"), 1).otherwise(0)).drop("_now", "_lost", "_from")
-        rounds -= 1
-    return marked.withColumn("unique_name", F.col("_now")).drop("_name", "_k", "_now", "_lost")
+    named = rows.withColumn("_name", basename(F.col(path))).withColumn("_at", (F.row_number().over(turn) - 1).cast("long"))
+    own = rows.select(basename(F.col(path)).alias("_bears")).filter("_bears is not null").distinct()
+    held = taken.select(F.col("name").alias("_bears")).filter("_bears is not null").distinct() if taken is not None else own.limit(0)
+    of = F.concat(F.regexp_extract(stem(F.col("_bears")), _NUMBERED, 1), suffix(F.col("_bears")))
+    number = F.regexp_extract(stem(F.col("_bears")), _NUMBERED, 2).try_cast("long")
+    later = own.union(held).distinct().select("_bears", of.alias("_name"), number.alias("_number")).filter(numbered(F.col("_name"), F.col("_number")) == F.col("_bears"))
+    used = later.select("_name", "_number").union(held.select("_bears", F.lit(0).cast("long")))
+    # a used number is told by the free ones below it: as many files of the name come before it
+    below = F.col("_number") - F.row_number().over(Window.partitionBy("_name").orderBy("_number")) + 1
+    used = used.join(own.withColumnRenamed("_bears", "_name"), "_name", "left_semi").select("_name", below.alias("_at"), F.lit(1).alias("_used"))
+    passed = Window.partitionBy("_name").orderBy("_at", F.desc("_used")).rowsBetween(Window.unboundedPreceding, 0)
+    both = named.withColumn("_used", F.lit(0)).unionByName(used, allowMissingColumns=True).withColumn("_k", F.col("_at") + F.sum("_used").over(passed))
+    return both.filter("_used = 0").withColumn("unique_name", F.when(F.col("_k") == 0, F.col("_name")).otherwise(numbered(F.col("_name"), F.col("_k")))).drop("_name", "_at", "_used", "_k")

@@ -253,3 +253,11 @@ def test_thumbnails_are_made_once(spark):
     every, new = thumbs.get_or_create(asked, have, lambda df: df.withColumn("blob", F.when(F.col("path") != "/c", F.encode("path", "utf-8"))))
     assert rows(new, "path") == [("/b",)] and rows(every, "path") == [("/a",), ("/b",)]
     assert stats.db_stats(spark.createDataFrame([], "size long"), spark.createDataFrame([], "is_canonical int"), spark.createDataFrame([], "cluster_id int")).first().total_size == 0
+
+
+def test_names_pass_over_any_number_of_used_ones(spark):
+    paths = ["/1/IMG.jpg", "/2/IMG.jpg", "/3/IMG.jpg", *[f"/0/IMG_{k}.jpg" for k in range(1, 101)], "/1/x", "/2/x"]
+    taken = ["x", *[f"x_{k}" for k in range(1, 90) if k != 70], "IMG_102.jpg"]
+    got = names.unique_names(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame([(t,) for t in taken], "name string"))
+    told = {r.path: r.unique_name for r in got.collect()}
+    assert told == {p: p[3:] for p in paths} | {"/2/IMG.jpg": "IMG_101.jpg", "/3/IMG.jpg": "IMG_103.jpg", "/1/x": "x_70", "/2/x": "x_90"}
