@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from framewell.llm.common import as_bytes, map_arrow, text_batches
 from framewell.plans.components import connected_components
+from framewell.plans.joins import skew_join, small
 from framewell.session import materialise
 
 RADIUS = 2
@@ -141,11 +142,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def print_links(prints: DataFrame) -> DataFrame:
     """(src, dst) links between distinct fingerprints of column print, enough of them to connect every component."""
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in FAMILIES])
-    shards = prints.select("print").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(len(FAMILIES) - 1))).alias("family"), "print")
+    # dealt to all tasks again, since few short rows become 28 times as many
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = prints.select("print").distinct().repartition(tasks, "print")
+    shards = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(len(FAMILIES) - 1))).alias("family"), "print")
     shard = F.col("print").bitwiseAND(F.element_at(masks, F.col("family") + 1))
     # hashed by shard, so each shard's rows meet in one task; a shard has 65,536 rows at most
     dealt = shards.repartition("family", shard).sortWithinPartitions("family", shard, "print")
-    return dealt.mapInArrow(_shard_links, "src long, dst long").distinct()
+    return dealt.mapInArrow(_shard_links, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -155,13 +159,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id. Repeated rows stay. Other columns are not read. An empty table gives an empty result.
     """
     own = materialise(fingerprints(docs, id_col, text_col, shingle), "prints")
-    lowest = own.groupBy("print").agg(F.min("id").alias("low"))
-    label = connected_components(print_links(own)).select(F.col("node").alias("print"), F.col("component").alias("rep"))
-    known = lowest.join(label, "print", "left").select("print", "low", F.coalesce("rep", "print").alias("rep"))
+    lowest = materialise(own.groupBy("print").agg(F.min("id").alias("low"), F.count("*").alias("rows")), "lowest")
+    label = connected_components(print_links(lowest)).select(F.col("node").alias("print"), F.col("component").alias("rep"))
+    known = lowest.join(label, "print", "left").select("print", "low", "rows", F.coalesce("rep", "print").alias("rep"))
     known = materialise(known, "known")
-    least = known.groupBy("rep").agg(F.min("low").alias("component"))
-    by_print = known.join(least, "rep").select("print", "component")
-    return own.join(by_print, "print").select("id", "print", "component")
+    least = known.groupBy("rep").agg(F.min("low").alias("component"), F.count("*").alias("prints"))
+    by_print = skew_join(known, least, "rep", "prints").select("print", "component", "rows")
+    return skew_join(own, by_print, "print", "rows").select("id", "print", "component")
 
 
 def _text_key(text_col: str) -> list[Column]:
@@ -172,12 +176,22 @@ def _text_key(text_col: str) -> list[Column]:
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group of `similar_documents`: the one with the smallest id, null ids last, and of rows
     that repeat the id the one whose text's hash is smallest, then whose columns are."""
-    row = ["_id", "text_a", "text_b"]
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("_id"), "text_a", "text_b")).alias("k")).select(*[F.col(f"k.{c}").alias(f"{c}_") for c in row])
-    whole = docs.select(F.col(id_col).cast("long").alias("_id"), *_text_key(text_col), F.struct(*docs.columns).alias("row"))
-    once = whole.groupBy(*row).agg(F.min("row").alias("row"))
-    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in row]
-    return once.join(first, same[0] & same[1] & same[2], "left_semi").select("row.*")
+    row = ["id", "text_a", "text_b"]
+    once = materialise(groups.groupBy("group", *row).agg(F.count("*").alias("n")), "rows")
+    first = once.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), *row)).alias("k"), F.count("*").alias("of"))
+    told = skew_join(once, first, "group", "of").select(*[F.col(c).alias(f"_{c}") for c in row], "n", F.struct(F.col("id").isNull().alias("last"), *row).eqNullSafe(F.col("k")).alias("stays"))
+    told = materialise(told, "told")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), *_text_key(text_col))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_a") == F.col("_text_a")) & (F.col("text_b") == F.col("_text_b"))
+    # what goes is less than what stays, and rows that repeat an id and a text are few: both are looked up by broadcast
+    # where they are, and the texts stay where they are
+    apart = told.filter(~F.col("stays") | (F.col("n") > 1)).select(*[f"_{c}" for c in row])
+    alone = rows.join(small(materialise(apart, "apart")), same, "left_anti").select("row.*")
+    several = materialise(told.filter(F.col("stays") & (F.col("n") > 1)).select(*[f"_{c}" for c in row]), "several")
+    if several.isEmpty():
+        return alone
+    repeated = rows.join(small(several), same, "left_semi").groupBy(*row).agg(F.min("row").alias("row")).select("row.*")
+    return alone.unionByName(repeated)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -189,24 +203,33 @@ def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 #: 64-bit words of a wide fingerprint, bits of a table's key, nodes of a shard that needs no tree.
 WIDE, KEY_BITS, FEW = 4, 16, 8
+#: Standard deviations beyond the expected distance up to which nodes are candidates.
+MARGIN = 3.0
+#: Nodes of a shard from which on it first meets its middle alone, growth of what a round asks for a node, and sets
+#: that one task compares with a node's.
+MIDDLE, GROWTH, COMPARED = 512, 8, 500
 
 
-def wide_fingerprint(data: bytes, shingle: int = 5) -> np.ndarray:
-    """256 bits: each set where over half of the distinct shingles' hashes, spread by four odd multipliers, have it.
-
-    Two texts whose shingle sets have similarity J differ in a share of acos(2J / (1 + J)) / pi of the bits, about.
-    """
+def shingle_hashes(data: bytes, shingle: int = 5) -> np.ndarray:
+    """The set of a text's word shingles (fewer words: the whole sequence) as sorted XXH64; empty without words."""
     words = data.lower().split()
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends, n = np.cumsum(size), max(1, len(words) - shingle + 1)
     starts, stops = (ends - size)[:n].tolist(), (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([digest(joined[i:j], 42) for i, j in zip(starts, stops, strict=True)], np.uint64))
-    out = np.empty(WIDE, np.uint64)
-    for k in range(WIDE):
+    return np.unique(np.array([digest(joined[i:j], 42) for i, j in zip(starts, stops, strict=True)], np.uint64))
+
+
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
+    """256 bits: each set where over half of the distinct shingles' hashes, spread by four odd multipliers, have it.
+
+    Two texts whose shingle sets have similarity J differ in a share of acos(2J / (1 + J)) / pi of the bits, about.
+    """
+    out = np.zeros(WIDE, np.uint64)
+    for k in range(WIDE if len(hashes) else 0):
         spread = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1)
         spread = (spread ^ (spread >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         spread ^= spread >> np.uint64(29)
@@ -217,9 +240,10 @@ def wide_fingerprint(data: bytes, shingle: int = 5) -> np.ndarray:
     return out
 
 
-def wide_radius(similarity: float) -> int:
-    """Differing bits of 256 that texts of this similarity have, about."""
-    return round(64 * WIDE * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+def wide_radius(similarity: float, margin: float = 0.0) -> int:
+    """Differing bits of 256 that texts of this similarity have, about, and so many standard deviations more."""
+    share = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    return round(64 * WIDE * share + margin * (64 * WIDE * share * (1 - share)) ** 0.5)
 
 
 def tables_for(similarity: float, rows: int, recall: float = 0.98) -> tuple[int, int]:
@@ -230,126 +254,248 @@ def tables_for(similarity: float, rows: int, recall: float = 0.98) -> tuple[int,
 
 
 def _keys(tables: int, bits: int):
-    """mapInArrow work: (key, node, w0..w3), one row a table; a table's key is a sample of the bits, after its number."""
+    """mapInArrow work: the row with its key in each table before it; a key is a sample of the bits, after the table's
+    number. The row's first columns are node, size and the words."""
     rng = np.random.default_rng(20)
     places = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)])
 
     def run(batches):
         for b in batches:
-            words = np.stack([b.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WIDE)], axis=1)
+            words = np.stack([b.column(k + 2).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WIDE)], axis=1)
             ones = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
             for t in range(tables):
                 key = ones[:, places[t]].astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64)) + (np.int64(t) << bits)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", *[f"w{k}" for k in range(WIDE)]])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", *b.schema.names])
 
     return run
 
 
-def join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Takes the links i - j into root, in which each place points to the first of its component."""
-    while len(i):
-        a, b = root[i], root[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root != root[root]).any():
-            root[:] = root[root]
+class Shards:
+    """Nodes of shards in order: key, node, size of the shingle set, words, component, and the candidate (distance, node)
+    up to which a node has been compared."""
 
+    def __init__(self, columns: list[np.ndarray]) -> None:
+        self.key, self.node, self.size = columns[:3]
+        self.words = np.stack([c.view(np.uint64) for c in columns[3 : 3 + WIDE]], axis=1)
+        self.component, self.far, self.other = columns[3 + WIDE :]
 
-def _wide_links(radius: int):
-    """mapInArrow work over rows sorted by key: links from each node to the first of its component in the shard."""
+    def distance(self, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        return np.bitwise_count(self.words[i] ^ self.words[j]).sum(axis=-1, dtype=np.int64)
+
+    def fit(self, i: np.ndarray, j: np.ndarray | int, similarity: float) -> np.ndarray:
+        """Whether nodes of so large sets can be alike, and are not known to be in one component."""
+        a, b = self.size[i], self.size[j]
+        return (np.minimum(a, b) >= similarity * np.maximum(a, b)) & (self.component[i] != self.component[j])
+
+
+def tree_of(shards: Shards, places: np.ndarray) -> list:
+    """BK-tree of the places: [place, {distance: subtree}]."""
+    tree = [int(places[0]), {}]
+    todo = [(tree, places[1:])]
+    while todo:
+        node, rest = todo.pop()
+        if len(rest):
+            far = shards.distance(rest, node[0])
+            for d in np.unique(far).tolist():
+                mine = rest[far == d]
+                node[1][d] = child = [int(mine[0]), {}]
+                todo.append((child, mine[1:]))
+    return tree
+
+
+def nearest(q: np.ndarray, far: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among the k smallest (far, other) of their q."""
+    order = np.lexsort((other, far, q))
+    q = q[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.empty(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return order[rank < k]
+
+
+def _candidates(radius: int, similarity: float, k: int, middles: bool):
+    """mapInArrow work over rows sorted by key: (node, other, far), for each node of a shard the k nearest of other
+    components beyond those it has been compared with. With `middles` the nodes of a large shard get the node nearest
+    to its majority bits instead, and a row without other, which tells that more may be near."""
+
+    def beyond(s: Shards, q, o, far):
+        on = (far > s.far[q]) | ((far == s.far[q]) & (s.node[o] > s.other[q]))
+        q, o, far = q[on], o[on], far[on]
+        best = nearest(q, far, s.node[o], k)
+        return q[best], o[best], far[best]
+
+    def by_tree(s: Shards, a: int, z: int):
+        """Pairs of [a, z) by a BK-tree of all nodes but those of the largest component, which need no comparison with each other."""
+        places = np.arange(a, z)
+        names, of, many = np.unique(s.component[a:z], return_inverse=True, return_counts=True)
+        large = of == many.argmax()
+        if len(names) == 1:
+            return [places[:0]] * 3
+        found, held, todo = [], 0, [(tree_of(s, places[~large]), places)]
+
+        def settle():
+            q, o, far = (np.concatenate(x) for x in zip(*found, strict=True))
+            return [beyond(s, q, o, far)]
 
-    def links(nodes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # the tree's points are places, their distance that of the words there
-        order = np.arange(len(nodes))
-        tree, todo = [0, {}], []
-        todo.append((tree, order[1:]))
-        while todo:
-            node, rest = todo.pop()
-            if len(rest):
-                far = np.bitwise_count(words[rest] ^ words[node[0]]).sum(axis=1)
-                for d in np.unique(far).tolist():
-                    mine = rest[far == d]
-                    node[1][d] = child = [int(mine[0]), {}]
-                    todo.append((child, mine[1:]))
-        root, left, right, held, todo = order.copy(), [], [], 0, [(tree, order)]
         while todo:
             (place, children), some = todo.pop()
-            far = np.bitwise_count(words[some] ^ words[place]).sum(axis=1).astype(np.int64)
-            near = some[(far <= radius) & (root[some] != root[place])]
-            left.append(near)
-            right.append(np.full(len(near), place))
-            held += len(near)
-            if held > 1_000_000:  # links are joined as they come, so a dense shard holds few of them
-                join(root, np.concatenate(left), np.concatenate(right))
-                left, right, held = [], [], 0
+            far = s.distance(some, place)
+            on = (far <= radius) & s.fit(some, place, similarity)
+            q, o, d = some[on], np.full(on.sum(), place), far[on]
+            back = large[q - a]
+            found.append((np.append(q, o[back]), np.append(o, q[back]), np.append(d, d[back])))
+            held += len(found[-1][0])
+            if held > 1_000_000:  # the nearest stay as pairs come, so a dense shard holds few of them
+                found = settle()
+                held = len(found[0][0]) - 1_000_000
             for d, child in children.items():
                 on = some[np.abs(far - d) <= radius]
                 if len(on):
                     todo.append((child, on))
-        join(root, np.concatenate(left), np.concatenate(right)) if left else None
-        moved = root != order
-        return nodes[moved], nodes[root[moved]]
-
-    def told(key, nodes, words):
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1)) if len(key) else np.empty(0, np.int64)
-        sizes = np.diff(np.append(starts, len(key)))
+        return settle()[0]
+
+    def by_middle(s: Shards, a: int, z: int):
+        ones = np.zeros(64 * WIDE, np.int64)
+        for at in range(a, z, 1 << 14):
+            ones += np.unpackbits(np.ascontiguousarray(s.words[at : min(z, at + (1 << 14))]).view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        middle = np.packbits(2 * ones > z - a, bitorder="little").view("<u8")
+        places = np.arange(a, z)
+        hub = a + int(np.bitwise_count(s.words[a:z] ^ middle).sum(axis=1, dtype=np.int64).argmin())
+        far = s.distance(places, hub)
+        on = (far <= radius) & s.fit(places, hub, similarity)
+        return places[on], np.full(on.sum(), hub), far[on]
+
+    def told(s: Shards):
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(s.key)) + 1)) if len(s.key) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(s.key)))
         # a tree of so few nodes prunes nothing: such shards are compared side by side, all at once
-        few, root, left = np.repeat((sizes > 1) & (sizes <= FEW), sizes), np.arange(len(key)), []
-        for k in range(1, FEW):
-            i = np.flatnonzero(few[:-k] & (key[:-k] == key[k:])) if len(key) > k else root[:0]
-            left.append(np.stack((i, np.full(len(i), k)))[:, np.bitwise_count(words[i] ^ words[i + k]).sum(axis=1) <= radius])
-        i, k = np.concatenate(left, axis=1)
-        join(root, i, i + k)
-        moved = root != np.arange(len(root))
-        out = ([nodes[moved]], [nodes[root[moved]]])
+        few, pairs = np.repeat((sizes > 1) & (sizes <= FEW), sizes), []
+        for step in range(1, FEW):
+            i = np.flatnonzero(few[:-step] & (s.key[:-step] == s.key[step:])) if len(s.key) > step else np.empty(0, np.int64)
+            far = s.distance(i, i + step)
+            on = (far <= radius) & s.fit(i, i + step, similarity)
+            pairs += [(i[on], i[on] + step, far[on]), (i[on] + step, i[on], far[on])]
+        out, more = [beyond(s, *(np.concatenate(x) for x in zip(*pairs, strict=True)))], []
         for n in np.flatnonzero(sizes > FEW).tolist():
-            a, z = starts[n], starts[n] + sizes[n]
-            for column, x in zip(out, links(nodes[a:z], words[a:z]), strict=True):
-                column.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["src", "dst"])
+            a, z = int(starts[n]), int(starts[n] + sizes[n])
+            if middles and sizes[n] > MIDDLE:
+                out.append(by_middle(s, a, z))
+                more.append(s.node[a:z])
+            else:
+                out.append(by_tree(s, a, z))
+        q, o, far = (np.concatenate(x) for x in zip(*out, strict=True))
+        more = np.concatenate([*more, np.empty(0, np.int64)])
+        none = pa.nulls(len(more), pa.int64())
+        columns = [pa.chunked_array([pa.array(x), y], pa.int64()).combine_chunks() for x, y in ((s.node[q], pa.array(more)), (s.node[o], none), (far, none))]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "other", "far"])
 
     def run(batches):
-        key, nodes, words = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDE), np.uint64)
+        held = None
         for b in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            key, nodes = np.append(key, columns[0]), np.append(nodes, columns[1])
-            words = np.concatenate((words, np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)))
-            end = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            yield told(key[:end], nodes[:end], words[:end])
-            key, nodes, words = key[end:], nodes[end:], words[end:]
-        if len(key):
-            yield told(key, nodes, words)
+            held = columns if held is None else [np.append(x, y) for x, y in zip(held, columns, strict=True)]
+            end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if end:
+                yield told(Shards([x[:end] for x in held]))
+                held = [x[end:] for x in held]
+        if held is not None and len(held[0]):
+            yield told(Shards(held))
 
     return run
 
 
+def _verified(pairs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(src, dst): the pairs (node, other) whose whole sets of shingles have the similarity.
+
+    Sets of the nodes that pairs name come from one text each (a node's texts have one set). The pairs of a node that
+    many others name are dealt to several tasks, each with its set.
+    """
+    pairs = pairs.groupBy(F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high")).agg(F.min("node").alias("a"))
+    pairs = materialise(pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")), "pairs")
+    need = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "named")
+    texts = own.join(small(need), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+
+    def sets(batch):
+        yield {"of": batch.column(0), "grams": pa.array([shingle_hashes(x, shingle).tobytes() for x in as_bytes(batch.column(1))], pa.binary())}
+
+    grams = materialise(map_arrow(texts, sets, "of long, grams binary"), "sets")
+    hot = materialise(pairs.groupBy(F.col("b").alias("_hot")).agg(F.count("*").alias("n")).filter(F.col("n") > COMPARED), "hubs")
+    parts = F.coalesce(F.ceil(F.col("n") / COMPARED), F.lit(1))
+    dealt = pairs.join(small(hot), F.col("b") == F.col("_hot"), "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
+    mine = dealt.join(grams, F.col("a") == F.col("of")).select("b", "part", "a", "grams")
+    its = dealt.select("b", "part").distinct().join(grams, F.col("b") == F.col("of")).select("b", "part", F.lit(None).cast("long").alias("a"), "grams")
+    met = mine.unionByName(its).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            out: list[list] = [[], []]
+            for b, a, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                some = np.frombuffer(data, np.uint64)
+                if a is None:
+                    held = some
+                    continue
+                both = len(np.intersect1d(held, some, assume_unique=True))
+                if both >= similarity * (len(held) + len(some) - both) - 1e-9:
+                    out[0].append(a)
+                    out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["src", "dst"])
+
+    return met.mapInArrow(run, "src long, dst long")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row a document: id, component (the smallest id reachable over links of the given similarity, itself included),
     group (the component's own key, there without any id too), text_a and text_b (128 bits of the text).
 
-    The similarity of two texts' sets of word shingles is told from wide fingerprints; equal fingerprints are one node.
-    Links are searched in tables whose keys are samples of the bits, each bucket a shard with a BK-tree of its own;
-    tables are as many as find a link of just this similarity with 98 per cent, closer ones more surely. A bucket
-    sends the links that connect its components, never its pairs. Null and empty texts are alike.
+    Texts with equal sets of word shingles are one node. Two nodes are linked if their sets have the similarity; that is
+    told from the whole sets, and only for candidates. These are searched by wide fingerprints in tables whose keys are
+    samples of the bits, each bucket a shard with a BK-tree of its own; tables are as many as find a link of just this
+    similarity with 98 per cent, closer ones more surely. In rounds, each node asks for its nearest candidates of other
+    components, more from round to round, and leaves when it has been compared with all; so a group of copies is joined
+    by few comparisons, and no candidate is left out. Null and empty texts are alike.
     """
     text_batches(docs.sparkSession)
     names = [f"w{k}" for k in range(WIDE)]
 
     def work(batch):
-        wide = np.stack([wide_fingerprint(x, shingle) for x in as_bytes(batch.column(1))] or [np.zeros(WIDE, np.uint64)])[: batch.num_rows]
-        yield {"id": batch.column(0), "text_a": batch.column(2), "text_b": batch.column(3), **{n: np.ascontiguousarray(wide[:, k]).view(np.int64) for k, n in enumerate(names)}}
+        texts = batch.column(1)
+        found = [shingle_hashes(x, shingle) for x in as_bytes(texts)]
+        wide = np.stack([*map(wide_bits, found), np.zeros(WIDE, np.uint64)])[:-1]
+        nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+        yield {"id": batch.column(0), "text": texts, "text_a": batch.column(2), "text_b": batch.column(3), "node": nodes, "size": np.array([*map(len, found)], np.int64), **{n: np.ascontiguousarray(wide[:, k]).view(np.int64) for k, n in enumerate(names)}}
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *_text_key(text_col))
-    own = map_arrow(rows, work, "id long, text_a long, text_b long, " + ", ".join(f"{n} long" for n in names))
-    own = materialise(own.select("id", "text_a", "text_b", F.xxhash64(*names).alias("node"), *names), "wide")
-    known = materialise(own.groupBy("node").agg(F.min("id").alias("low"), *[F.first(n).alias(n) for n in names]), "nodes")
+    own = map_arrow(rows, work, "id long, text string, text_a long, text_b long, node long, size long, " + ", ".join(f"{n} long" for n in names))
+    own = materialise(own, "wide")
+    known = materialise(own.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("rows"), *[F.first(n).alias(n) for n in ("size", *names)]), "nodes")
     tables, bits = tables_for(similarity, known.count())
-    keyed = known.select("node", *names).mapInArrow(_keys(tables, bits), "key long, node long, " + ", ".join(f"{n} long" for n in names))
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
-    edges = dealt.mapInArrow(_wide_links(wide_radius(similarity)), "src long, dst long").distinct()
-    label = connected_components(edges).select("node", F.col("component").alias("rep"))
-    told = materialise(known.select("node", "low").join(label, "node", "left").select("node", "low", F.coalesce("rep", "node").alias("rep")), "known")
-    least = told.groupBy("rep").agg(F.min("low").alias("component"))
-    named = told.join(least, "rep").select("node", "component", F.col("rep").alias("group"))
-    return own.select("id", "text_a", "text_b", "node").join(named, "node").select("id", "component", "group", "text_a", "text_b")
+    radius, columns = wide_radius(similarity, MARGIN), ["node", "size", *names]
+    more = ["component", "seen_far", "seen"]
+    live, edges, label, k = known.filter("size > 0").select(*columns), None, None, 1
+    while True:
+        first = edges is None
+        keyed = live.mapInArrow(_keys(tables, bits), ", ".join(f"{n} long" for n in ("key", *columns, *([] if first else more))))
+        dealt = keyed.repartition("key").sortWithinPartitions("key")
+        if first:  # constant columns are not shuffled
+            dealt = dealt.select("*", F.col("node").alias("component"), F.lit(-1).cast("long").alias("seen_far"), F.lit(0).cast("long").alias("seen"))
+        found = dealt.mapInArrow(_candidates(radius, similarity, k, first), "node long, other long, far long")
+        pick = F.when(F.col("other").isNotNull(), F.struct("far", "other"))
+        asked = found.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(pick)), 1, k).alias("picks"), F.max(F.col("other").isNull()).alias("open"))
+        asked = materialise(asked, "asked")
+        links = materialise(_verified(asked.select("node", F.explode("picks").alias("p")).select("node", "p.other"), own, shingle, similarity), "links")
+        if edges is None or not links.isEmpty():
+            edges = links if edges is None else edges.unionByName(links)
+            label = materialise(connected_components(edges), "label")
+        # one that got all it asked for asks on from there; one that met a large shard's middle alone asks anew
+        last, anew = F.get("picks", F.lit(k - 1)), F.col("open")
+        still = asked.filter(anew | (F.size("picks") == k)).select("node", F.when(anew, F.lit(-1)).otherwise(last["far"]).cast("long").alias("seen_far"), F.when(anew, F.lit(0)).otherwise(last["other"]).cast("long").alias("seen"))
+        live = live.select(*columns).join(still, "node").join(label, "node", "left").select(*columns, F.coalesce("component", "node").alias("component"), "seen_far", "seen")
+        live = materialise(live, "live")
+        if live.isEmpty():
+            break
+        k *= GROWTH
+    told = known.select("node", "low", "rows").join(label.withColumnRenamed("component", "rep"), "node", "left").select("node", "low", "rows", F.coalesce("rep", "node").alias("rep"))
+    told = materialise(told, "known")
+    least = told.groupBy("rep").agg(F.min("low").alias("component"), F.count("*").alias("nodes"))
+    named = skew_join(told, least, "rep", "nodes").select("node", "component", F.col("rep").alias("group"), "rows")
+    return skew_join(own.select("id", "text_a", "text_b", "node"), named, "node", "rows").select("id", "component", "group", "text_a", "text_b")

@@ -90,26 +90,6 @@ def shingle_set(text, n=5):
     return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else {""}
 
 
-def test_links_join_components():
-    for seed in range(100):
-        rng = random.Random(seed)
-        n = rng.randint(1, 50)
-        root, pairs = np.arange(n), [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 60))]
-        for k in range(0, len(pairs), 7):
-            simhash.join(root, *np.array(pairs[k : k + 7]).T)
-        parent = [*range(n)]
-
-        def find(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in pairs:
-            a, b = find(a), find(b)
-            parent[max(a, b)] = min(a, b)
-        assert root.tolist() == [find(x) for x in range(n)]
-
-
 def test_similar_documents_are_grouped(spark):
     rng = random.Random(4)
     rows, group = [], {}
@@ -134,48 +114,80 @@ def test_similar_documents_are_grouped(spark):
     assert simhash.tables_for(0.8, 10**9)[1] > simhash.tables_for(0.8, 1000)[1] == 16
 
 
-def test_dense_shards_join_as_they_go():
-    words = np.random.default_rng(0).integers(0, 1 << 8, (1500, 1), dtype=np.uint64) * np.uint64(1 << 20)
-    words = np.unique(np.concatenate([words] * simhash.WIDE, axis=1), axis=0)
-    nodes = np.arange(len(words)) + 100
+def shard_batch(key, node, size, words, component, far, other):
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int64)), pa.array(nodes), *(pa.array(words[:, k].view(np.int64)) for k in range(simhash.WIDE))], names=list("abcdef"))
-    out = [p for b in simhash._wide_links(4)([batch.slice(0, 40), batch.slice(40)]) for p in zip(*(c.to_pylist() for c in b.columns))]
-    assert {a for a, _ in out} == set(nodes[1:].tolist()) and {b for _, b in out} == {100}
+    columns = [key, node, size, *(words[:, k].view(np.int64) for k in range(simhash.WIDE)), component, far, other]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=list("abcdefghij"))
 
 
-def test_shards_with_and_without_a_tree_agree():
-    import pyarrow as pa
-
+def test_candidates_of_shards_against_brute_force(monkeypatch):
     rng = np.random.default_rng(3)
-    sizes = [1, 2, 3, 8, 9, 30, 1, 5]
+    sizes = [1, 2, 3, 8, 9, 30, 1, 5, 60]
     key = np.repeat(np.arange(len(sizes)), sizes)
-    words = np.zeros((len(key), simhash.WIDE), np.uint64)
-    words[:, 0] = rng.integers(0, 1 << 5, len(key), dtype=np.uint64)
-    words[:, 2] = rng.integers(0, 1 << 3, len(key), dtype=np.uint64) << np.uint64(40)
-    nodes = rng.permutation(len(key)) * 11
-
-    def shards(few):
-        saved, simhash.FEW = simhash.FEW, few
-        batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes), *(pa.array(words[:, k].view(np.int64)) for k in range(simhash.WIDE))], names=list("abcdef"))
-        found = [p for b in simhash._wide_links(1)([batch.slice(0, 17), batch.slice(17, 0), batch.slice(17)]) for p in zip(*(c.to_pylist() for c in b.columns))]
-        simhash.FEW = saved
-        root = {int(n): int(n) for n in nodes}
-        for a, b in found:
-            root[a] = b
-        return root
-
-    for few in (2, 8):
-        got = shards(few)
-        for k in range(len(sizes)):
-            mine = np.flatnonzero(key == k)
-            near = {(i, j) for i in mine for j in mine if np.bitwise_count(words[i] ^ words[j]).sum() <= 1}
-            first = {i: i for i in mine}
-            for _ in mine:
-                for i, j in near:
-                    first[i] = min(first[i], first[j])
-            assert {int(nodes[i]): int(nodes[f]) for i, f in first.items()} == {int(nodes[i]): got[int(nodes[i])] for i in mine}
+    n = len(key)
+    words = np.zeros((n, simhash.WIDE), np.uint64)
+    words[:, 0] = rng.integers(0, 1 << 5, n, dtype=np.uint64)
+    words[:, 2] = rng.integers(0, 1 << 3, n, dtype=np.uint64) << np.uint64(40)
+    node, size, component = rng.permutation(n) * 11, rng.integers(50, 70, n), rng.integers(0, 4, n)
+    far, other = rng.integers(-1, 3, n), rng.permutation(n) * 11
+    batch = shard_batch(key, node, size, words, component, far, other)
+    place = {int(x): i for i, x in enumerate(node)}
+    for few, k in ((2, 10**6), (8, 10**6), (8, 3)):
+        monkeypatch.setattr(simhash, "FEW", few)
+        parts = [batch.slice(0, 17), batch.slice(17, 0), batch.slice(17)]
+        got = [tuple(r.values()) for b in simhash._candidates(2, 0.8, k, False)(parts) for r in b.to_pylist()]
+        want = []
+        for i in range(n):
+            near = sorted((int(np.bitwise_count(words[i] ^ words[j]).sum()), int(node[j])) for j in range(n) if key[i] == key[j] and component[i] != component[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]))
+            want += [(int(node[i]), o, d) for d, o in near if d <= 2 and (d, o) > (far[i], other[i])][:k]
+        assert sorted(got) == sorted(want) and want
+    monkeypatch.setattr(simhash, "MIDDLE", 20)
+    got = [tuple(r.values()) for b in simhash._candidates(2, 0.8, 1, True)([batch]) for r in b.to_pylist()]
+    assert sorted(a for a, o, _ in got if o is None) == sorted(node[(key == 5) | (key == 8)].tolist())
+    assert all(len({o for a, o, _ in got if o is not None and key[place[a]] == x}) == 1 for x in (5, 8))
+
+
+def alike(texts):
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    return {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+
+
+def components(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_links_are_those_of_the_whole_sets(spark, monkeypatch):
+    """Groups around the threshold: nothing below 0.8 is joined, and links at 0.8 or more are found, however the rounds go."""
+    rng, texts = random.Random(8), {}
+    for g in range(12):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 400))]
+        for k in range(25):
+            copy = list(words)
+            for _ in range(k and rng.randint(1, max(2, len(words) // 25))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(9999)}"
+            texts[len(texts)] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs = alike(texts)
+    close = [p for p, s in pairs.items() if s >= 0.8]
+    want = components(texts, close)
+    for middle in (512, 9):
+        monkeypatch.setattr(simhash, "MIDDLE", middle)
+        got = {r.id: r.component for r in similar_documents(docs).collect()}
+        assert all(want[i] == want[c] for i, c in got.items())  # joined by links of 0.8 or more alone
+        assert sum(got[i] == got[j] for i, j in close) >= 0.97 * len(close)
+    edge = [(i, j) for (i, j) in close if pairs[i, j] < 0.85]
+    assert len(edge) > 50 and sum(got[i] == got[j] for i, j in edge) >= 0.95 * len(edge)
 
 
 def test_each_group_keeps_one_row_whatever_its_ids(spark):
