@@ -1,11 +1,12 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source is one stream of words, its documents in an order that a hash permutes, cut into blocks of equal
-length. A source's target gives an exact quota of blocks: all of them as often as the target holds the source
-whole, and for the rest as many as fit. The tree's root holds all quotas; each node splits its quotas between its
-halves by one draw without replacement (seeded by the node), down to one leaf an output shard. A leaf's share of
-a source is a run of that source's permuted blocks, so the shards' blocks are disjoint; each shard is shuffled by
-itself. Words, not documents, are counted: a block may begin and end inside a document.
+Every source is one stream of words, its documents in an order that a hash permutes, cut into blocks of equal length
+(at most 1 % of the source). A source's target gives an exact quota of blocks: all of them as often as the target
+holds the source whole, and for the rest as many as it takes, the last one cut to the words still wanted. The tree's
+root holds all quotas; each node splits its quotas between its halves by one draw without replacement (seeded by the
+node), down to one leaf an output shard. A leaf's share of a source is a run of that source's permuted blocks, so the
+shards' blocks are disjoint; what the documents have in a shard's blocks are its pieces, and each shard shuffles its
+pieces by itself. Words, not documents, are counted: a block may begin and end inside a document.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ from framewell.session import materialise
 WEIGHTS = (5, 2, 1)
 #: The mix's size over that of all sources, and the most often that a source is taken.
 SHARE, TIMES = 1.5, 2
-BLOCK_WORDS = 256
-#: Words that an output shard holds about, and documents that meet in one group of the running sums about.
-SHARD_WORDS = 1 << 26
+#: Words of a block, unless 1 % of its source is less or MOST_BLOCKS is passed, and blocks of a mix about: numpy's
+#: draws are exact for populations below 10 ** 9.
+BLOCK_WORDS, MOST_BLOCKS = 2048, 8 * 10**8
+#: Words that an output shard holds about, shards at least and at most, and numbers of the tree's leaves (a source, a
+#: shard) that are broadcast at most: with more sources there are fewer shards.
+SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS, LEAF_NUMBERS = 1 << 18, 16, 1 << 16, 8 * 10**6
+#: Documents that meet in one group of the running sums about.
 GROUP_DOCS = 1 << 9
 
 
@@ -82,7 +87,7 @@ def leaf_quotas(quotas: list[int], leaves: int, leaf: int, seed: int) -> tuple[l
         left_size = total * mid // leaves - total * low // leaves
         rng, left, rest, todo = np.random.default_rng([seed, low, high]), [], sum(held), left_size
         for n in held:  # one source after the other, each draw given those before: together a multivariate draw
-            k = int(rng.hypergeometric(n, rest - n, todo)) if rest < 10**9 else _large_draw(rng, n, rest - n, todo)
+            k = int(rng.hypergeometric(n, rest - n, todo))
             left.append(k)
             rest, todo = rest - n, todo - k
         if leaf < mid:
@@ -92,19 +97,15 @@ def leaf_quotas(quotas: list[int], leaves: int, leaf: int, seed: int) -> tuple[l
     return before, held
 
 
-def _large_draw(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """The hypergeometric draw by its normal limit, for populations beyond the exact generator's 10 ** 9."""
-    n = good + bad
-    mean = draws * good / n
-    sd = (mean * (bad / n) * ((n - draws) / max(1, n - 1))) ** 0.5
-    return min(good, draws, max(0, draws - bad, round(rng.normal(mean, sd))))
+def _sizes(docs: DataFrame, source_col: str, text_col: str, id_col: str) -> list:
+    size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
+    return [F.col(id_col).cast("long").alias("key"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("tie")]
 
 
 def sized(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(row, key, source, size), written once: row tells repeated rows apart, key is the id, size counts a text's words (null: 0)."""
-    size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
-    row = F.col("_mix_row") if "_mix_row" in docs.columns else F.monotonically_increasing_id()
-    return materialise(docs.select(row.alias("row"), F.col(id_col).alias("key"), F.col(source_col).alias("source"), size.alias("size")), "sized")
+    """(row, key, source, size, tie), written once: row tells repeated rows apart, key is the id, size counts a text's
+    words (null: 0), tie is the text's hash."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), *_sizes(docs, source_col, text_col, id_col)), "sized")
 
 
 def source_targets(rows: DataFrame) -> list[dict]:
@@ -114,101 +115,144 @@ def source_targets(rows: DataFrame) -> list[dict]:
     return [{"source": s, "size": n, "docs": d, "target": t} for (s, n, d), t in zip(found, targets([n for _, n, _ in found]), strict=True)]
 
 
-def draws(rows: DataFrame, plan: list[dict], seed: int = 7, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+class Plan:
+    """A mix's numbers by source: blocks and their length, how often the source is taken whole, words and blocks of the rest."""
+
+    def __init__(self, plan: list[dict], seed: int, block: int | None = None, shards: int | None = None) -> None:
+        size, target = (np.array([p[k] for p in plan], dtype) for k, dtype in (("size", np.int64), ("target", np.float64)))
+        most = block or max(BLOCK_WORDS, int(-(-2 * size.sum() // MOST_BLOCKS)))
+        self.seed, self.size = seed, size
+        self.block = np.clip(size // 100, 1, most) if block is None else np.full(len(size), block)
+        self.count = -(-size // self.block)
+        self.whole = np.where(size > 0, target // np.maximum(size, 1), 0).astype(np.int64)
+        self.rest = np.rint(target - self.whole * size).astype(np.int64)
+        # the stream's last block is short; where it falls among the rest's blocks, the rest may need one more
+        self.missing = self.count * self.block - size
+        self.short = np.array([int(self.turn(np.array([c - 1]), np.array([k]), int(w))[0]) if c else 0 for k, (c, w) in enumerate(zip(self.count, self.whole, strict=True))], np.int64)
+        self.part = -(-self.rest // self.block)
+        self.part += self.before(self.part, np.arange(len(plan))) < self.rest
+        self.quotas = (self.whole * self.count + self.part).tolist()
+        words = int((self.whole * size + self.rest).sum())
+        self.shards = shards or max(1, min(max(LEAST_SHARDS, -(-words // SHARD_WORDS)), MOST_SHARDS, LEAF_NUMBERS // max(1, len(plan))))
+
+    def turn(self, index: np.ndarray, rank: np.ndarray, epoch: int) -> np.ndarray:
+        """The place of blocks in their source's permutation of an epoch."""
+        return permuted(index, self.count[rank], rank * 64 + epoch + 1 + self.seed)
+
+    def before(self, turn: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Words of the rest's blocks that come before a place."""
+        return turn * self.block[rank] - np.where(self.short[rank] < turn, self.missing[rank], 0)
+
+
+def draws(rows: DataFrame, plan: Plan) -> DataFrame:
     """What the mix takes: (row, epoch, start, end, shard, place), words [start, end) of a document in an output shard.
 
-    rows has row, key, source and size; the permuted order depends on the key (on row only between rows that
-    repeat it), so reruns agree however the input is split. Order a shard by (place, row): place is random and the same
-    for one block's parts. Documents without words are not taken. A row repeats for each epoch and each run of adjacent blocks cut
-    by shards; per epoch no word is taken twice.
+    rows has row, key, source, size and tie; the permuted order depends on key, size and tie (on row only between rows
+    that are the same in these), so reruns agree however the input is split. A shard is read by (place, epoch, start):
+    place is random. Documents without words are not taken. Per epoch no word is taken twice.
     """
-    spark = rows.sparkSession
-    whole = [0 if not p["size"] else int(p["target"] // p["size"]) for p in plan]
-    count = [-(-p["size"] // block) for p in plan]
-    part = [0 if not p["size"] else min(c, round((p["target"] - w * p["size"]) / block)) for p, w, c in zip(plan, whole, count, strict=True)]
-    quotas = [w * c + k for w, c, k in zip(whole, count, part, strict=True)]
-    leaves = max(1, -(-sum(quotas) * block // shard_words))
-    if not sum(quotas):
-        return rows.select("row", F.lit(0).cast("long").alias("epoch"), *[F.lit(0).cast("long").alias(c) for c in ("start", "end", "shard", "place")]).limit(0)
+    spark, seed = rows.sparkSession, plan.seed
+    if not sum(plan.quotas):
+        return rows.select("row", *[F.lit(0).cast("long").alias(c) for c in ("epoch", "start", "end", "shard", "place")]).limit(0)
 
     # where each document begins in its source's permuted stream: sums within groups of a hash, and over the groups;
     # a source has groups by its documents, so those of a hot one are no larger than others
-    known = spark.createDataFrame([(p["source"], k, -(-p["docs"] // GROUP_DOCS)) for k, p in enumerate(plan)], "_s string, rank int, _groups long")  # one row a source
-    order = F.xxhash64("key", F.lit(seed))
+    known = spark.createDataFrame([(p["source"], k, -(-p["docs"] // GROUP_DOCS)) for k, p in enumerate(plan.sources)], "_s string, rank int, _groups long")  # one row a source
+    order = F.xxhash64("key", "size", "tie", F.lit(seed))
     hashed = rows.filter("size > 0").join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s")))
-    hashed = hashed.select("row", "key", "rank", "size", order.alias("_h"), F.pmod(order, F.col("_groups")).alias("_g"))
-    within = Window.partitionBy("rank", "_g").orderBy("_h", "key", "row")
+    hashed = hashed.select("row", "key", "tie", "rank", "size", order.alias("_h"), F.pmod(order, F.col("_groups")).alias("_g"))
+    within = Window.partitionBy("rank", "_g").orderBy("_h", "key", "size", "tie", "row")
     before = Window.partitionBy("rank").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     sums = hashed.groupBy("rank", "_g").agg(F.sum("size").alias("_n")).select("rank", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     placed = hashed.withColumn("_run", F.sum("size").over(within) - F.col("size")).join(sums, ["rank", "_g"])
     placed = placed.select("row", "rank", "size", (F.col("_run") + F.col("_off")).alias("at"))
 
     # shares of the leaves: each leaf walks its own path
+    quotas, leaves = plan.quotas, plan.shards
+
     def walk(batch):
         for leaf in batch.column(0).to_pylist():
             first, held = leaf_quotas(quotas, leaves, leaf, seed)
             yield {"leaf": [leaf] * len(held), "rank": list(range(len(held))), "first": first, "held": held}
 
     paths = materialise(map_arrow(spark.range(leaves), walk, "leaf long, rank int, first long, held long"), "leaves")
-    # a leaf's first blocks by source: a few numbers a shard, which each task needs to place its blocks
-    firsts: dict[int, list[int]] = {}
-    for r in paths.orderBy("rank", "leaf").select("rank", "first").toLocalIterator():
-        firsts.setdefault(r["rank"], []).append(r["first"])
-    table = spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in firsts.items()})
-    n_blocks, n_whole, n_part = (np.array(x, np.int64) for x in (count, whole, part))
+    # a leaf's first blocks by source, LEAF_NUMBERS at most: each task needs them to place its blocks
+    firsts = np.empty((len(quotas), leaves), np.int64)
+    for r in paths.select("rank", "leaf", "first").toLocalIterator():
+        firsts[r["rank"], r["leaf"]] = r["first"]
+    table = spark.sparkContext.broadcast((plan, firsts))
 
     def take(batch):
+        p, first_of = table.value
         row, rank, size, at = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+        block = p.block[rank]
         first, last = at // block, (at + size - 1) // block
         many = last - first + 1
         doc = np.repeat(np.arange(len(row)), many)
         index = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[doc]
-        start = np.maximum(index * block, at[doc]) - at[doc]
-        end = np.minimum((index + 1) * block, at[doc] + size[doc]) - at[doc]
-        for epoch in range(int(n_whole.max(initial=0)) + 1):
-            turn = permuted(index, n_blocks[rank[doc]], rank[doc] * 64 + epoch + 1 + seed)
-            on = turn < np.where(epoch < n_whole[rank[doc]], n_blocks[rank[doc]], np.where(epoch == n_whole[rank[doc]], n_part[rank[doc]], 0))
-            draw = turn + epoch * n_blocks[rank[doc]]
-            shard = np.zeros(len(doc), np.int64)
+        rank, block = rank[doc], block[doc]
+        for epoch in range(int(p.whole.max(initial=0)) + 1):
+            turn = p.turn(index, rank, epoch)
+            # of the rest's last block only the words still wanted
+            wanted = np.where(epoch < p.whole[rank], block, np.where(epoch == p.whole[rank], np.clip(p.rest[rank] - p.before(turn, rank), 0, block), 0))
+            start = np.maximum(index * block, at[doc]) - at[doc]
+            end = np.minimum(index * block + wanted, at[doc] + size[doc]) - at[doc]
+            on = end > start
+            draw, shard = turn + epoch * p.count[rank], np.zeros(len(doc), np.int64)
             for k in np.unique(rank):
-                mine = rank[doc] == k
-                shard[mine] = np.searchsorted(table.value[k], draw[mine], side="right") - 1
+                mine = rank == k
+                shard[mine] = np.searchsorted(first_of[k], draw[mine], side="right") - 1
             with np.errstate(over="ignore"):
-                place = ((draw * 64 + rank[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed)).view(np.int64) >> 1
+                place = ((at[doc] + start) * 64 + rank + epoch * 31).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed)
+                place = ((place ^ (place >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
             yield {"row": row[doc][on], "epoch": np.full(on.sum(), epoch), "start": start[on], "end": end[on], "shard": shard[on], "place": place[on]}
 
     return map_arrow(placed, take, "row long, epoch long, start long, end long, shard long, place long")
 
 
-def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", seed: int = 7) -> tuple[DataFrame, DataFrame, list[dict]]:
+def planned(rows: DataFrame, seed: int = 7, block: int | None = None, shards: int | None = None) -> Plan:
+    """The plan of a mix of sized rows. block: words of a block (by default by source); shards: their number (by default by size)."""
+    sources = source_targets(rows)
+    plan = Plan(sources, seed, block, shards)
+    plan.sources = sources
+    return plan
+
+
+def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", seed: int = 7, block: int | None = None, shards: int | None = None) -> tuple[DataFrame, DataFrame, Plan]:
     """(sized rows, draws, plan). Null sources are one source, the last; empty texts have size 0 and are not taken."""
     rows = sized(docs, source_col, text_col, id_col)
-    plan = source_targets(rows)
-    return rows, draws(rows, plan, seed), plan
+    plan = planned(rows, seed, block, shards)
+    return rows, draws(rows, plan), plan
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """layout lists a document's pieces as epoch:start:end:shard:turn, turn being the piece's place in its shuffled shard."""
     rows, drawn, plan = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    taken = drawn.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"))
-    known = spark.createDataFrame([(p["source"], p["size"], p["target"]) for p in plan], "_s string, source_size long, target double")
+    turn = F.row_number().over(Window.partitionBy("shard").orderBy("place", "epoch", "start", "row")) - 1
+    pieces = drawn.select("row", F.col("end") - F.col("start"), F.struct("epoch", "start", "end", "shard", turn.alias("turn")).alias("piece")).toDF("row", "words", "piece")
+    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list("piece")).alias("pieces"))
+    known = spark.createDataFrame([(p["source"], p["size"], p["target"]) for p in plan.sources], "_s string, source_size long, target double")
     joined = rows.join(taken, "row", "left").join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s")))
-    return joined.select(F.col("key").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    layout = F.array_join(F.transform("pieces", lambda p: F.concat_ws(":", *[p[c].cast("string") for c in ("epoch", "start", "end", "shard", "turn")])), ",")
+    return joined.select(F.col("key").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce(layout, F.lit("")).alias("layout"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The documents that the mix takes, as rows of docs: a document's words of one epoch are one row, its text those words.
+def mixed_documents(docs: DataFrame, seed: int = 7, block: int | None = None, shards: int | None = None) -> DataFrame:
+    """The documents that the mix takes, as rows of docs, shard by shard and shuffled inside each: what a shard takes of a
+    document in one epoch is one row, its text those words.
 
-    doc_id repeats for each epoch that takes part of the document; n_chars follows the text. A block boundary cuts
-    between words, and the words are joined as they stand in the text (from the first word's start to the last's end).
-    docs is a table as read: its rows are numbered twice, and a scan numbers them alike each time.
+    doc_id repeats for each epoch and shard that take part of the document; n_chars follows the text. A block boundary
+    cuts between words, and the words are joined as they stand in the text (from the first word's start to the last's
+    end). The rows are numbered and written once, so other columns may have any names and types.
     """
     text_batches(docs.sparkSession)
-    tagged = docs.withColumn("_mix_row", F.monotonically_increasing_id())
-    rows = sized(tagged)
-    drawn = draws(rows, source_targets(rows), seed)
-    each = drawn.groupBy("row", "epoch").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
-    joined = tagged.join(each, tagged["_mix_row"] == each["row"])
-    names = [c for c in docs.columns if c not in ("text", "n_chars")]
+    names = docs.columns
+    inner = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("row"), *_sizes(docs, "source", "text", "doc_id"), *inner), "numbered")
+    plan = planned(numbered, seed, block, shards)
+    drawn = draws(numbered.select("row", "key", "source", "size", "tie"), plan)
+    each = drawn.groupBy("row", "epoch", "shard").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"), F.min("place").alias("place"))
+    text, others = f"c{names.index('text')}", [f"c{k}" for k, c in enumerate(names) if c not in ("text", "n_chars")]
 
     def cut(batch):
         import re
@@ -227,8 +271,11 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            text = pa.array(cut(b), pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], text, pa.array([len(t) for t in text.to_pylist()], pa.int64())], names=[*names, "text", "n_chars"])
-
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["text string", "n_chars long"])
-    return joined.select("text", "runs", *names).mapInArrow(run, schema).select(*docs.columns)
+            text = cut(b)
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*b.schema.names[2:], "text", "n_chars"])
+
+    schema = ", ".join(["shard long", "place long", *[f"{c} {numbered.schema[c].dataType.simpleString()}" for c in others], "text string", "n_chars long"])
+    rows = numbered.select("row", text, *others).join(each, "row").select(text, "runs", "shard", "place", *others).mapInArrow(run, schema)
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "place")
+    told = {"text": "text", "n_chars": "n_chars"}
+    return rows.select(*[F.col(told.get(c, f"c{k}")).alias(c) for k, c in enumerate(names)])

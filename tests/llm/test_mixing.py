@@ -33,29 +33,69 @@ def test_tree_splits_quotas_exactly():
     for first, held in paths:
         assert first == at
         at = [a + h for a, h in zip(at, held)]
-    assert mixing._large_draw(np.random.default_rng(1), 7 * 10**9, 3 * 10**9, 10**9) == pytest.approx(7 * 10**8, rel=0.01)
 
 
-def test_draws_are_disjoint_and_on_target(spark, monkeypatch):
+def replayed(sized, plan, block=None):
+    """The splitting tree played out in plain loops: (row, epoch) to words taken, and (row, epoch, start) to shard."""
+    from pyspark.sql import functions as F
+
+    order = sized.withColumn("h", F.xxhash64("key", "size", "tie", F.lit(plan.seed)))
+    groups = {p["source"]: -(-p["docs"] // mixing.GROUP_DOCS) for p in plan.sources}
+    streams = defaultdict(list)
+    for r in sorted(order.filter("size > 0").collect(), key=lambda r: (r.h % groups[r.source], r.h, r.key is not None, r.key or 0, r.size, r.tie, r.row)):
+        streams[r.source] += [(r.row, w) for w in range(r.size)]
+    quotas, queues = [], []
+    for k, p in enumerate(plan.sources):
+        words, b = streams[p["source"]], int(plan.block[k])
+        blocks = [words[i : i + b] for i in range(0, len(words), b)]
+        queue, left = [], round(p["target"])
+        for epoch in range(3):
+            place = mixing.permuted(np.arange(len(blocks)), len(blocks), k * 64 + epoch + 1 + plan.seed) if blocks else []
+            for i in np.argsort(place):
+                if left > 0:
+                    queue.append((epoch, blocks[i][:left]))
+                    left -= len(queue[-1][1])
+        quotas.append(len(queue))
+        queues.append(queue)
+    taken, shard_of = Counter(), {}
+    for leaf in range(plan.shards):
+        before, held = mixing.leaf_quotas(quotas, plan.shards, leaf, plan.seed)
+        for queue, first, n in zip(queues, before, held):
+            for epoch, words in queue[first : first + n]:
+                for row, w in words:
+                    taken[row, epoch] += 1
+                    shard_of[row, epoch, w] = leaf
+    return taken, shard_of
+
+
+def test_draws_are_those_of_the_tree_played_out(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP_DOCS", 16)
-    rows = [(i, " ".join(["w"] * (i * 37 % 900)), f"s{i % 7 if i % 3 else 0}") for i in range(400)] + [(5, None, None), (6, "a b", None), (None, "x y z", "s1"), (6, "a b", None), (7, "big " * 30_000, "s2")]
+    rows = [(i, " ".join(["w"] * (i * 37 % 90)), f"s{i % 7 if i % 3 else 0}") for i in range(200)] + [(5, None, None), (6, "a b", None), (None, "x y z", "s1"), (6, "a b", None), (7, "big " * 3000, "s2"), (8, "one", "lone")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, size int")
-    sized, drawn, plan = mixing.mixed(df)
-    drawn = mixing.draws(sized, plan, shard_words=20_000, block=64)
-    size = {r.row: (r.source, r.size) for r in sized.collect()}
-    seen, taken, shards = defaultdict(list), Counter(), Counter()
-    for r in drawn.collect():
-        assert 0 <= r.start < r.end <= size[r.row][1]
-        seen[r.row, r.epoch].append((r.start, r.end))
-        taken[size[r.row][0]] += r.end - r.start
-        shards[r.shard] += r.end - r.start
-    for runs in seen.values():
-        runs.sort()
-        assert all(a[1] <= b[0] for a, b in zip(runs, runs[1:]))
-    assert plan[-1]["source"] is None
-    for p in plan:
-        assert abs(taken[p["source"]] - p["target"]) <= 128
-    assert len(shards) == max(shards) + 1 > 4 and max(shards.values()) < 23_000
+    for block, shards in ((64, 9), (None, 4)):
+        sized, drawn, plan = mixing.mixed(df, block=block, shards=shards)
+        taken, shard_of = replayed(sized, plan)
+        got, seen = Counter(), {}
+        for r in drawn.collect():
+            got[r.row, r.epoch] += r.end - r.start
+            for w in range(r.start, r.end):
+                assert (r.row, r.epoch, w) not in seen
+                seen[r.row, r.epoch, w] = r.shard
+        assert got == taken and seen == shard_of and len(set(seen.values())) == shards
+        source = {r.row: r.source for r in sized.collect()}
+        by = Counter()
+        for (row, _), n in got.items():
+            by[source[row]] += n
+        assert plan.sources[-1]["source"] is None
+        assert all(by[p["source"]] == round(p["target"]) for p in plan.sources)
+
+
+def test_small_sources_meet_their_targets():
+    for sizes in ([200, 200, 200], [300, 5000, 90], [1, 2, 3], [7, 0, 900]):
+        targets = mixing.targets(sizes)
+        plan = mixing.Plan([{"size": s, "target": t} for s, t in zip(sizes, targets)], 7)
+        words = plan.whole * plan.size + plan.rest
+        assert np.abs(words - targets).max() <= 0.5 and (plan.part <= plan.count).all()
 
 
 def test_query_contract_and_reruns(spark):
@@ -63,15 +103,30 @@ def test_query_contract_and_reruns(spark):
     got = sorted(mixing.op5_mixing(spark, sf).collect())
     assert got == sorted(mixing.op5_mixing(spark, sf).collect())
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    total, taken = Counter(), Counter()
+    total, taken, turns = Counter(), Counter(), defaultdict(list)
     for r in got:
         d = docs[r.doc_id]
         assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", d.text or "")) and 0 <= r.taken <= 2 * r.size
+        pieces = [tuple(map(int, p.split(":"))) for p in r.layout.split(",") if p]
+        assert r.taken == sum(p[2] - p[1] for p in pieces)
+        for p in pieces:
+            turns[p[3]].append(p[4])
         total[d.source] += r.size
         taken[d.source] += r.taken
     for r in got:
         s = docs[r.doc_id].source
-        assert r.source_size == total[s] and abs(taken[s] - r.target) <= 256
+        assert r.source_size == total[s] and abs(taken[s] - r.target) <= 0.5
+    assert len(turns) >= mixing.LEAST_SHARDS and all(sorted(t) == list(range(len(t))) for t in turns.values())
+
+
+def test_reruns_agree_however_rows_are_split(spark):
+    rows = [(i % 5, f"t{i % 11} " * (i % 13 + 1), f"s{i % 2}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = []
+    for parts in (1, 7):
+        sized, drawn, _ = mixing.mixed(df.repartition(parts), block=16)
+        told.append(sorted(map(tuple, drawn.join(sized, "row").select("key", "size", "tie", "epoch", "start", "end", "shard", "place").collect())))
+    assert told[0] == told[1]
 
 
 def test_mixed_documents_and_empty_table(spark):
@@ -85,3 +140,14 @@ def test_mixed_documents_and_empty_table(spark):
     want = {r.doc_id: r.taken for r in mixing.op5_mixing(spark, "/root/testdata/sf0.001").collect() if r.taken}
     assert dict(words) == want
     assert mixing.mixed(docs.limit(0))[1].count() == 0
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_columns_may_have_any_names(spark):
+    names = ["row", "runs", "epoch", "_mix_row", "shard", "place", "size", "key", "tie", "c0", "start"]
+    rows = [(i, f"a{i} b c " * 30, "s", *[i] * len(names)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    out = mixing.mixed_documents(docs).collect()
+    assert all(r[n] == r.doc_id for r in out for n in names) and {r.doc_id for r in out} == set(range(20))
+    plain = mixing.mixed_documents(docs.select("doc_id", "text", "source")).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted((r.doc_id, r.text) for r in plain)
