@@ -27,12 +27,17 @@ TRAIN_TEXTS = 2000
 UNDETERMINED = "und"
 #: The posterior counts a text as this many bytes at most, so that long texts don't all score 1.
 SCORE_BYTES = 48
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _COMPILED: dict[str, tuple] = {}
 
 
+def has_letter(text: str) -> bool:
+    """Whether it holds a letter of any script; numbers such as powers, fractions and numerals are none."""
+    return any(m[0].isalpha() for m in _WORD.finditer(text))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 2 when divided by 4; a null id is held out as well."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))
@@ -172,7 +177,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     def work(batch):
         pred, score, rate = [], [], []
         for text in batch.column(1).to_pylist():
-            if not text or not langs or not _LETTER.search(text):
+            if not text or not langs or not has_letter(text):
                 pred.append(UNDETERMINED), score.append(0.0), rate.append(None)
                 continue
             data = text.encode()
@@ -196,7 +201,7 @@ def keep_identified(docs: DataFrame, model: dict, reject_bits: float, text_col:
         for b in batches:
             keep = []
             for text in b.column(place).to_pylist():
-                ok = bool(text) and _LETTER.search(text) is not None
+                ok = bool(text) and has_letter(text)
                 if ok and langs:
                     data = text.encode()
                     ok = bool(code_lengths(data, *compile_model(frozen.value)).min() < reject_bits * len(data))

@@ -38,7 +38,7 @@ def packets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """(task, source, doc, doc_id, start, length, doc_tokens, upto, ids), written once.
 
     A queue's order is by task, then as read; upto counts the queue's ids in its task up to the packet's end. doc
-    tells documents of a task apart that share an id. A null text is empty: it has the end id alone.
+    tells documents apart that share an id. A null text is empty: it has the end id alone.
     """
 
     text_batches(docs.sparkSession)
@@ -55,7 +55,7 @@ def packets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
                 for start in range(0, n, packet):
                     length = min(packet, n - start)
                     sent[source] = sent.get(source, 0) + length
-                    for column, x in zip(out, (task, source, number, doc_id, start, length, n, sent[source], ids[2 * start : 2 * (start + length)]), strict=True):
+                    for column, x in zip(out, (task, source, task << 33 | number, doc_id, start, length, n, sent[source], ids[2 * start : 2 * (start + length)]), strict=True):
                         column.append(x)
                 if len(out[0]) >= 4096:
                     yield _batch(out)
@@ -124,7 +124,8 @@ def sequence_bounds(total: int, window: int = WINDOW) -> tuple[int, list[int]]:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None, weights: dict | None = None, window: int = WINDOW) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids (binary, unsigned 16 bits), doc_tokens, sequence_id, offset, ids_crc32.
+    """One row a piece: doc_id, start, length, ids (binary, unsigned 16 bits), doc_tokens, sequence_id, offset, ids_crc32,
+    document (a number of its own for each row of docs, which tells pieces of rows with equal ids apart).
 
     Null ids and repeated rows are packed like others; a null source is a queue of its own, the last. Each id lies in
     one piece; an empty table gives no piece. window is a power of two; a sequence is shorter only at the end, and
@@ -134,11 +135,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     full, bounds = sequence_bounds(total, window)
 
     def run(batches):
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
+        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "ids_crc32", "document"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
         for b in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, start, length, n, at, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, start, length, n, at, ids, doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 done = 0
                 while done < length:
                     here = at + done
@@ -151,14 +152,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
                     size = min(room, length - done)
                     piece = ids[2 * done : 2 * (done + size)]
                     crc = zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4").tobytes())
-                    for column, x in zip(out, (doc_id, start + done, size, piece, n, seq, offset, crc), strict=True):
+                    for column, x in zip(out, (doc_id, start + done, size, piece, n, seq, offset, crc, doc), strict=True):
                         column.append(x)
                     done += size
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    rows = stream.select("doc_id", "start", "length", "doc_tokens", "at", "ids")
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    rows = stream.select("doc_id", "start", "length", "doc_tokens", "at", "ids", "doc")
+    return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, ids_crc32 long, document long")
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "document")

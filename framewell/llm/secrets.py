@@ -1,9 +1,10 @@
 """Secret scans over a trigram inverted index, with DataFrame functions alone.
 
-From each rule's expression a Boolean query over trigrams is derived. The index holds postings (trigram, document)
-for the trigrams those queries name; it is dealt by document, so a trigram that every document has makes no hot
-group. Intersecting the postings of a document and evaluating the queries gives its candidate rules, and only those
-expressions run over its text. A rule without mandatory trigrams runs over every text.
+From each rule's expression a Boolean query over trigrams is derived. The index holds posting lists for the trigrams
+that those queries name, keyed by (range of documents, trigram): a range has about RANGE documents, so the list of a
+trigram that every document has is no longer than that. In each range the lists are intersected and united as the
+queries say; the documents left are a rule's candidates, and only those are verified by its expression. A rule without
+mandatory trigrams runs over every text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewell.llm.common import text_or_empty
-from framewell.llm.trigrams import satisfied, trigram_query, trigrams
+from framewell.llm.trigrams import matching, trigram_query, trigrams
+from framewell.plans.joins import small
+from framewell.session import materialise
 
 
 @dataclass(frozen=True)
@@ -47,51 +50,75 @@ MORE = (
 RULES = BASE + MORE
 
 
+#: Documents of a range about, candidates that are broadcast at most, and elements that running values pass one by one.
+RANGE, BROADCAST_ROWS, RUN = 4096, 1_000_000, 64
+_SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
+
+
 def postings(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, trigram): the place in the vocabulary of each trigram that the lower-cased text has, once a document."""
+    """(key, trigram): the place in the vocabulary of each trigram that the lower-cased text has; key is the id's hash."""
     low = F.lower(text_or_empty(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), low.alias("low"))
+    rows = docs.select(F.xxhash64(id_col).alias("key"), low.alias("low"))
     has = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(k)) for k, t in enumerate(vocabulary)]))
-    return rows.select("id", F.explode(has).alias("trigram"))
+    return rows.select("key", F.explode(has).alias("trigram"))
+
+
+def posting_lists(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(range, trigram, keys): the inverted index. Rows that repeat an id are one entry."""
+    ranges = max(1, -(-docs.count() // RANGE))
+    found = postings(docs, vocabulary, id_col, text_col)
+    return found.groupBy(F.pmod("key", F.lit(ranges)).alias("range"), "trigram").agg(F.collect_set("key").alias("keys"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rules): bits of the rules whose trigram queries the document's postings satisfy; none: no row."""
+    """(key, rules): the places of the rules whose trigram queries the document satisfies; none: no row."""
     queries = {k: q for k, q in ((k, trigram_query(r.pattern)) for k, r in enumerate(rules)) if q is not True}
     vocabulary = sorted(set().union(*map(trigrams, queries.values()), set()))
-    if len(vocabulary) > 63:
-        raise ValueError("the rules name over 63 trigrams; scan with them in several calls")
     if not vocabulary:
-        return docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("rules")).limit(0)
-    lists = postings(docs, vocabulary, id_col, text_col)
-    met = lists.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, trigram)")).alias("met"))
-    has = {t: F.col("met").bitwiseAND(F.lit(1 << k)) != 0 for k, t in enumerate(vocabulary)}
-    bits = [F.when(satisfied(q, has), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, q in queries.items()]
-    all_bits = bits[0]
-    for b in bits[1:]:
-        all_bits = all_bits.bitwiseOR(b)
-    return met.select("id", all_bits.alias("rules")).filter("rules <> 0")
+        return docs.select(F.lit(0).cast("long").alias("key"), F.array(F.lit(0)).alias("rules")).limit(0)
+    index = posting_lists(docs, vocabulary, id_col, text_col)
+    lists = index.groupBy("range").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("lists"))
+    of = {t: F.coalesce(F.try_element_at("lists", F.lit(k)), F.array().cast("array<long>")) for k, t in enumerate(vocabulary)}
+
+    def named(rule: int, query: object) -> Column:
+        return F.transform(matching(query, of), lambda key: F.struct(F.lit(rule).alias("rule"), key.alias("key")))
+
+    found = lists.select(F.explode(F.concat(*[named(k, q) for k, q in queries.items()])).alias("f"))
+    return found.groupBy("f.key").agg(F.collect_set("f.rule").alias("rules"))
+
+
+def _running(values: Column, step, start: int = 0) -> Column:
+    """For each element what `step` makes of all before it. Values pass through RUN elements at a time and then through the
+    runs' results, so long arrays are not copied for each of their elements."""
+    none = F.array().cast("array<int>")
+
+    def through(part: Column, first: Column) -> Column:
+        pair = F.struct(first.alias("at"), none.alias("out"))
+        return F.aggregate(part, pair, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int"))), lambda k: F.slice(values, k * RUN + 1, RUN))
+    ends = F.transform(parts, lambda p: F.aggregate(p, F.lit(None).cast("int"), lambda acc, x: F.when(acc.isNull(), x).otherwise(step(acc, x))))
+    return F.flatten(F.zip_with(parts, through(ends, F.lit(start)), through))
 
 
 def _rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """Its spans in the text, in order: leftmost non-overlapping matches, then those whose group is long enough."""
-    kind = "array<struct<start:int,ord:int,end:int,kind:string>>"
-    parts = F.arrays_zip(
-        F.split(text, rule.regex, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)).alias("part"),
+    found = F.struct(
+        F.split(text, rule.regex, -1).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)).alias("hits"),
+        F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)).alias("parts"),
     )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind"))).cast(kind)
-        return F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-        )
+    def spans(f: Column) -> Column:
+        gaps = F.slice(f["gaps"], 1, F.size(f["hits"]))
+        both = F.zip_with(gaps, f["hits"], lambda g, h: F.length(g) + F.length(h))
+        zipped = F.arrays_zip(_running(both, lambda at, x: at + x).alias("at"), gaps.alias("gap"), f["hits"].alias("hit"), f["parts"].alias("part"))
+        long = F.filter(zipped, lambda x: F.length(x["part"]) >= rule.least)
+        start = lambda x: x["at"] + F.length(x["gap"])
+        return F.transform(long, lambda x: F.struct(start(x).alias("start"), F.lit(order).alias("ord"), (start(x) + F.length(x["hit"])).alias("end"), F.lit(rule.kind).alias("kind"))).cast(_SPANS)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-    return F.when(text.rlike(rule.regex), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
+    # the arrays are made once, as the only element of an array that is transformed
+    return F.when(text.rlike(rule.regex), F.flatten(F.transform(F.array(found), spans))).otherwise(F.array().cast(_SPANS))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -100,14 +127,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     A null text is an empty one. A null id is an id like any other; rows that repeat an id are scanned each on its own.
     The spans come by start, then by rule as listed, then by end; a text without one has an empty array.
     """
-    found = candidates(docs, rules, id_col, text_col).withColumnRenamed("id", "_scan_id").withColumnRenamed("rules", "_scan_rules")
-    full = sum(1 << k for k, r in enumerate(rules) if trigram_query(r.pattern) is True)
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    rows = rows.join(found, rows["_id"].eqNullSafe(found["_scan_id"]), "left")
-    run = F.coalesce("_scan_rules", F.lit(0)).bitwiseOR(F.lit(full).cast("long"))
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    each = [F.when(run.bitwiseAND(F.lit(1 << k).cast("long")) != 0, _rule_spans(F.col("_text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
-    return rows.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("_id").alias("id"), F.col("_text").alias("text"), F.array_sort(F.concat(*each)).alias("spans"))
+    found = materialise(candidates(docs, rules, id_col, text_col).select(F.col("key").alias("_scan_key"), F.col("rules").alias("_scan_rules")), "candidates")
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep])
+    # where candidates are few enough the texts stay where they are
+    rows = rows.join(small(found, BROADCAST_ROWS), F.xxhash64("_id") == F.col("_scan_key"), "left")
+    each = []
+    for k, r in enumerate(rules):
+        spans = _rule_spans(F.col("_text"), r, k)
+        full = trigram_query(r.pattern) is True
+        each.append(spans if full else F.when(F.array_contains("_scan_rules", F.lit(k)), spans).otherwise(F.array().cast(_SPANS)))
+    return rows.select(*[F.col(f"`_keep_{c}`").alias(c) for c in keep], F.col("_id").alias("id"), F.col("_text").alias("text"), F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -115,14 +144,22 @@ def spans_text(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with a mark in place of each run of overlapping spans; the spans come by start."""
-
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+    """The text with a mark in place of each run of overlapping spans; the spans come by start.
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    Each RUN spans are cut from the part of the text that they stand in, so no span searches the text from its start.
+    """
+    seen = _running(F.transform(spans, lambda s: s["end"]), lambda at, x: F.greatest(at, x))  # where the text is told up to
+    cuts = F.zip_with(spans, seen, lambda s, at: F.struct(s["start"].alias("start"), at.alias("at")))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int")), lambda k: F.slice(cuts, k * RUN + 1, RUN))
+
+    def piece(run: Column) -> Column:
+        first, last = F.get(run, F.lit(0)), F.get(run, F.size(run) - 1)
+        part = F.struct(first["at"].alias("from"), F.substring(text, first["at"] + 1, F.greatest(last["start"] - first["at"], F.lit(0))).alias("body"), run.alias("cuts"))
+        cut = lambda p: F.array_join(F.transform(p["cuts"], lambda c: F.when(c["start"] >= c["at"], F.concat(F.substring(p["body"], c["at"] - p["from"] + 1, c["start"] - c["at"]), F.lit(mark))).otherwise("")), "")
+        return F.array_join(F.transform(F.array(part), cut), "")
+
+    rest = F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(F.transform(runs, piece), ""), rest))
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -108,13 +108,11 @@ def trigrams(query: object) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
 
 
-def satisfied(query: object, has: dict[str, Column]) -> Column:
-    """The query over flags of the trigrams that a text has."""
-    if query is True:
-        return F.lit(True)
+def matching(query: object, lists: dict[str, Column]) -> Column:
+    """The documents that satisfy a query other than True, from the posting list of each trigram: lists are intersected and united."""
     if isinstance(query, str):
-        return has[query]
-    first, *rest = [satisfied(q, has) for q in query[1]]
+        return lists[query]
+    first, *rest = [matching(q, lists) for q in query[1]]
     for q in rest:
-        first = first & q if query[0] == "and" else first | q
+        first = F.array_intersect(first, q) if query[0] == "and" else F.array_union(first, q)
     return first

@@ -47,9 +47,9 @@ def test_code_lengths_are_exact(spark):
 def test_odd_rows(spark):
     train = spark.createDataFrame([(1, "hello there you", "en"), (2, None, "en"), (3, "hola que tal", None), (4, "hola que tal estas", "es"), (4, "hola que tal estas", "es")], "doc_id long, text string, lang string")
     model = langid.train(train)
-    rows = [(1, None, "x"), (None, "hello you", "x"), (2, "", "x"), (3, "123 !!", "x"), (4, "que tal " * 100_000, "x"), (4, "que tal", "x"), (5, "日本", "x")]
+    rows = [(1, None, "x"), (None, "hello you", "x"), (2, "", "x"), (3, "123 !!", "x"), (4, "que tal " * 100_000, "x"), (4, "que tal", "x"), (5, "日本", "x"), (6, "² ½ ① Ⅷ 3", "x")]
     got = [(r.id, r.lang_pred) for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, score string"), model).collect()]
-    assert got[:6] == [(1, "und"), (None, "en"), (2, "und"), (3, "und"), (4, "es"), (4, "es")] and got[6][1] in ("en", "es")
+    assert got[:6] == [(1, "und"), (None, "en"), (2, "und"), (3, "und"), (4, "es"), (4, "es")] and got[6][1] in ("en", "es") and got[7] == (6, "und")
     empty = langid.train(train.limit(0))
     assert {r.lang_pred for r in langid.predict(train, empty).collect()} == {"und"}
     assert langid.predict(train.limit(0), model).count() == 0

@@ -55,9 +55,6 @@ def test_trigram_queries_hold_for_every_match():
     assert trigrams(trigram_query("AKIA[A-Z0-9]+")) == {"aki", "kia"}
     query = trigram_query(secrets.BASE[0].pattern)
 
-    def holds(q, text):
-        return q is True or (q in text if isinstance(q, str) else (all if q[0] == "and" else any)(holds(p, text) for p in q[1]))
-
     for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
         assert holds(query, f"{word}=abcdef")
     assert not holds(query, "pass word sec ret")
@@ -65,15 +62,31 @@ def test_trigram_queries_hold_for_every_match():
         assert re.search(pattern, text) and holds(trigram_query(pattern), text)
 
 
-def test_index_gives_all_matches(spark):
+def holds(q, text):
+    return q is True or (q in text if isinstance(q, str) else (all if q[0] == "and" else any)(holds(p, text) for p in q[1]))
+
+
+def test_index_gives_all_matches(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
-    kept = {r.id: r.rules for r in secrets.candidates(df).collect()}
-    for r in df.collect():
-        if any(s.startswith("assign") for s in plain(r.text)):
-            assert kept[r.doc_id] & 1
+    monkeypatch.setattr(secrets, "RANGE", 50)
+    kept = {r.key: set(r.rules) for r in secrets.candidates(df).collect()}
+    queries = {k: trigram_query(r.pattern) for k, r in enumerate(secrets.RULES)}
+    for r in df.withColumn("key", F.xxhash64("doc_id")).collect():
+        want = {k for k, q in queries.items() if q is not True and holds(q, (r.text or "").lower())}
+        assert kept.get(r.key, set()) == want or any(ord(c) > 127 for c in r.text)
+        assert not any(s.startswith("assign") for s in plain(r.text)) or 0 in kept[r.key]
     assert len(kept) < df.count()
 
 
+def test_any_number_of_rules_and_trigrams(spark):
+    words = ["".join(random.Random(k).choices("abcdefghijklmnop", k=7)) for k in range(80)]
+    rules = tuple(secrets.Rule(f"k{n:02d}", w) for n, w in enumerate(words))
+    assert len(set().union(*(trigrams(trigram_query(w)) for w in words))) > 200
+    df = spark.createDataFrame([(1, " ".join(words[70:])), (2, words[3]), (3, "none")], "doc_id long, text string")
+    got = {r.id: [s.kind for s in r.spans] for r in secrets.scan(df, rules).collect()}
+    assert got == {1: [f"k{n}" for n in range(70, 80)], 2: ["k03"], 3: []}
+
+
 def test_redaction_and_empty_table(spark):
     df = spark.createDataFrame([(1, "é token=abcdef0 and AKIA" + "B" * 20 + "."), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r.id: r.out for r in secrets.scan(df).select("id", secrets.redacted(F.col("text"), F.col("spans")).alias("out")).collect()}
@@ -81,6 +94,20 @@ def test_redaction_and_empty_table(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_redaction_of_many_and_overlapping_spans(spark):
+    rng, rows = random.Random(2), []
+    for i, n in enumerate([1, 2, 63, 64, 65, 128, 129, 700]):
+        text = "".join(rng.choices("abé😀 ", k=n * 9))
+        rows.append((i, text, sorted((a, rng.randrange(3), min(len(text), a + rng.randint(1, 12)), "k") for a in (rng.randrange(len(text)) for _ in range(n)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:int,ord:int,end:int,kind:string>>")
+    for r in df.withColumn("out", secrets.redacted(F.col("text"), F.col("spans"))).collect():
+        want, at = "", 0
+        for s in r.spans:
+            want += r.text[at : s.start] + "[SECRET]" if s.start >= at else ""
+            at = max(at, s.end)
+        assert r.out == want + r.text[at:]
+
+
 def test_query_has_native_plan_and_digest(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     df = secrets.op1_secret_scan(spark, sf)
