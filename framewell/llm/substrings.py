@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewell.llm.common import as_bytes
+from framewell.plans.joins import small
 from framewell.session import materialise
 
 SPAN, GRAM = 20, 8
@@ -33,7 +34,8 @@ BROADCAST_ROWS = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_SCHEMA = "gram long, ctx long, doc long, pos int, before int, after int"
+_SCHEMA = "key long, wide boolean, gram long, ctx long, doc long, pos int, before int, after int"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -122,7 +124,12 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 def _contexts(batches):
-    """Anchors of each document; of a batch's equal contexts the earliest. The others are runs to remove: gram and ctx null."""
+    """Anchors of each document; of a batch's equal contexts the earliest. The others are runs to remove: gram and ctx null.
+
+    key is what brings rows together: a run, or, where a batch holds a run in several contexts (wide), the run in its
+    context, so that a run that stands in a large part of all documents is dealt by its contexts. Such a batch leaves one
+    row without a context for the run, which tells its other rows that there are several.
+    """
     for b in batches:
         docs, found = b.column(0).to_numpy(zero_copy_only=False), [anchors(t.split()) for t in as_bytes(b.column(1))]
         if not len(docs):
@@ -137,10 +144,20 @@ def _contexts(batches):
         # equal rows of one document are the same place, told twice by repeated rows
         same = np.append(False, (gram[1:] == gram[:-1]) & (ctx[1:] == ctx[:-1]) & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1]))
         kept = ~again & ~same
+        one, its = gram[kept], ctx[kept]
+        first = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+        many = np.diff(np.append(first, len(one)))
+        wide = np.repeat(many > 1, many)
+        with np.errstate(over="ignore"):
+            key = np.where(wide, _mixed(one ^ its * _BASE), one)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(gram[kept].view(np.int64)), pa.array(ctx[kept].view(np.int64)), pa.array(doc[kept]), *(pa.array(x[kept].astype(np.int32)) for x in (pos, before, after))],
-            names=["gram", "ctx", "doc", "pos", "before", "after"],
+            [pa.array(key.view(np.int64)), pa.array(wide), pa.array(one.view(np.int64)), pa.array(its.view(np.int64)), pa.array(doc[kept]), *(pa.array(x[kept].astype(np.int32)) for x in (pos, before, after))],
+            names=_NAMES,
         )
+        told = one[first[many > 1]]
+        if len(told):
+            grams, none = pa.array(told.view(np.int64)), [pa.nulls(len(told), k) for k in (pa.int64(), pa.int64(), *[pa.int32()] * 3)]
+            yield pa.RecordBatch.from_arrays([grams, pa.array(np.zeros(len(told), bool)), grams, *none], names=_NAMES)
         # runs of one document, merged
         doc, start, end = doc[again], (pos - before)[again], (pos + after)[again]
         order = np.lexsort((start, doc))
@@ -151,8 +168,8 @@ def _contexts(batches):
             last = np.append(first[1:], len(doc)) - 1
             none = pa.nulls(len(first), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, pa.array(doc[first]), pa.array(start[first].astype(np.int32)), pa.array(np.zeros(len(first), np.int32)), pa.array((end[last] - start[first]).astype(np.int32))],
-                names=["gram", "ctx", "doc", "pos", "before", "after"],
+                [none, pa.array(np.zeros(len(first), bool)), none, none, pa.array(doc[first]), pa.array(start[first].astype(np.int32)), pa.array(np.zeros(len(first), np.int32)), pa.array((end[last] - start[first]).astype(np.int32))],
+                names=_NAMES,
             )
 
 
@@ -216,20 +233,21 @@ def repeated_runs(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     spark = rows.sparkSession
     found = rows.select("key", "text").mapInArrow(_contexts, _SCHEMA)
     # runs that are known already keep to themselves in the shuffle
-    shard = Window.partitionBy(F.coalesce("gram", F.xxhash64("doc", "pos")))
+    shard = Window.partitionBy(F.coalesce("key", F.xxhash64("doc", "pos")))
+    marked = F.count(F.when(F.col("gram").isNotNull() & F.col("doc").isNull(), 1)).over(shard) > 0
     told = found.select(
         "*",
-        (F.lag("ctx").over(shard.orderBy("ctx", "doc", "pos")) == F.col("ctx")).alias("again"),
-        (F.min("ctx").over(shard) != F.max("ctx").over(shard)).alias("several"),
-    ).filter("gram is null or again or several")
+        (F.lag("ctx").over(shard.orderBy("gram", "ctx", "doc", "pos")) == F.col("ctx")).alias("again"),
+        (F.col("wide") | marked | (F.min("ctx").over(shard) != F.max("ctx").over(shard))).alias("several"),
+    ).filter("doc is not null and (gram is null or again or several)")
     told = materialise(told.select("gram", "doc", "pos", "before", "after", (F.col("gram").isNull() | F.coalesce("again", F.lit(False))).alias("gone")), "contexts")
     runs = told.filter("gone").select("doc", (F.col("pos") - F.col("before")).cast("long").alias("start"), (F.col("pos") + F.col("after")).cast("long").alias("end"))
     left = told.filter("not gone")
     large = left.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("gram", F.lit(True).alias("split"))
+    large = small(materialise(large, "large"))
     asked = left.join(large, "gram", "left").groupBy("doc").agg(F.collect_list(F.struct("gram", "pos", "before", "after", F.coalesce("split", F.lit(False)).alias("split"))).alias("asked"))
     asked = materialise(asked, "asked")
-    small = F.broadcast(asked) if left.count() <= BROADCAST_ROWS else asked
-    contexts = rows.join(small, F.col("key") == F.col("doc")).select("doc", "text", "asked").mapInArrow(_shards, "gram long, doc long, pos long, start long, words binary")
+    contexts = rows.join(F.broadcast(asked) if left.count() <= BROADCAST_ROWS else asked, F.col("key") == F.col("doc")).select("doc", "text", "asked").mapInArrow(_shards, "gram long, doc long, pos long, start long, words binary")
     dealt = contexts.repartition(F.coalesce("gram", F.xxhash64("doc", "start"))).sortWithinPartitions("gram", "doc", "pos")
     streamed = dealt.mapInArrow(_streamed, "doc long, start long, end long")
     return runs.unionByName(streamed).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
@@ -285,7 +303,6 @@ def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 
-
 OP10_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, s, array_to_string(w[s:s+19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
