@@ -22,7 +22,7 @@ from framewell.llm.common import as_bytes
 SAMPLE, RATE, CHUNK, KEYFRAME = 64, 8000, 32, 16
 CODEC = b"raw "
 #: Boxes that hold boxes.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -71,8 +71,8 @@ def store(payload: bytes) -> bytes:
     return head + data + box(b"moov", movie, track)
 
 
-def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple = ()):
-    """(path, start, end) of every box's content, outer boxes first. Sizes that leave their box end the walk with an error."""
+def boxes(data: bytes, at: int = 0, end: int | None = None, path: tuple = ()):
+    """(path, first byte, start of the content, end) of every box, outer boxes first. Sizes that leave what holds them are an error."""
     end = len(data) if end is None else end
     while at < end:
         if end - at < 8:
@@ -87,25 +87,32 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple = ()):
             size = end - at
         if size < head or at + size > end:
             raise ValueError("a box leaves what holds it")
-        yield (*path, kind), at + head, at + size
+        yield (*path, kind), at, at + head, at + size
         if kind in NESTED:
-            yield from walk(data, at + head, at + size, (*path, kind))
+            yield from boxes(data, at + head, at + size, (*path, kind))
         at += size
 
 
+def walk(data: bytes):
+    """(path, start, end) of every box's content."""
+    for path, _, start, end in boxes(data):
+        yield path, start, end
+
+
 def _numbers(data: bytes, at: int, kind: str, count: int) -> np.ndarray:
     return np.frombuffer(data, kind, count, at).astype(np.int64)
 
 
 class Track:
-    """The first track's codec, timescale, duration and samples: offset and size of each, and which are keyframes."""
+    """One track's codec, timescale, duration and samples: offset and size of each, and which are keyframes.
 
-    def __init__(self, data: bytes) -> None:
-        at = {}
-        for path, start, _ in walk(data):
-            at.setdefault(path[-1], start)
+    at: where the contents of the track's own boxes begin. Samples of fragments follow those of the sample table.
+    """
+
+    def __init__(self, data: bytes, at: dict[bytes, int], fragments: list[tuple] = (), defaults: dict[int, tuple] | None = None) -> None:
         u32 = lambda where: struct.unpack_from(">I", data, where)[0]
         self.codec = data[at[b"stsd"] + 12 : at[b"stsd"] + 16].decode("latin-1").strip()
+        self.id = u32(at[b"tkhd"] + (20 if data[at[b"tkhd"]] == 1 else 12)) if b"tkhd" in at else 0
         long = data[at[b"mdhd"]] == 1
         self.timescale = u32(at[b"mdhd"] + (20 if long else 12))
         self.ticks = struct.unpack_from(">Q" if long else ">I", data, at[b"mdhd"] + (24 if long else 16))[0]
@@ -119,8 +126,55 @@ class Track:
         begin = np.cumsum(self.sizes) - self.sizes
         first = np.cumsum(many) - many
         chunk = np.repeat(np.arange(len(chunks)), many)[:n]
+        if len(chunk) < n:
+            raise ValueError("chunks hold fewer samples than there are")
         self.offsets = chunks[chunk] + begin - begin[first[chunk]] if n else np.empty(0, np.int64)
         self.keyframes = _numbers(data, at[b"stss"] + 8, ">u4", u32(at[b"stss"] + 4)) - 1 if b"stss" in at else np.arange(n)
+        self._read_fragments(data, fragments, (defaults or {}).get(self.id, (0, 0, 0)))
+
+    def _read_fragments(self, data: bytes, fragments, default: tuple[int, int, int]) -> None:
+        """The samples of movie fragments: (first byte of the fragment, tfhd, [trun, ...]) in file order."""
+        u32 = lambda where: struct.unpack_from(">I", data, where)[0]
+        offsets, sizes, keys, lasted = [], [], [], 0
+        for begin, head, runs in fragments:
+            flags, at = u32(head) & 0xFFFFFF, head + 4
+            if u32(at) != self.id:
+                continue
+            at += 4
+            base, (duration, size, sample) = begin, default
+            if flags & 1:
+                base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+            at += 4 * bool(flags & 2)
+            if flags & 8:
+                duration, at = u32(at), at + 4
+            if flags & 16:
+                size, at = u32(at), at + 4
+            if flags & 32:
+                sample = u32(at)
+            here = base
+            for run in runs:
+                told, n, at = u32(run) & 0xFFFFFF, u32(run + 4), run + 8
+                if told & 1:
+                    here, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+                first = None
+                if told & 4:
+                    first, at = u32(at), at + 4
+                fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if told & bit]
+                table = _numbers(data, at, ">u4", n * len(fields)).reshape(n, len(fields))
+                column = {bit: table[:, k] for k, bit in enumerate(fields)}
+                each = column.get(0x200, np.full(n, size, np.int64))
+                flag = column.get(0x400, np.full(n, sample, np.int64)).copy()
+                if first is not None and n:
+                    flag[0] = first
+                lasted += int(column.get(0x100, np.full(n, duration, np.int64)).sum())
+                offsets.append(here + np.cumsum(each) - each)
+                sizes.append(each)
+                keys.append(flag & 0x10000 == 0)
+                here += int(each.sum())
+        if sizes:
+            self.keyframes = np.append(self.keyframes, len(self.sizes) + np.flatnonzero(np.concatenate(keys)))
+            self.offsets, self.sizes = np.concatenate([self.offsets, *offsets]), np.concatenate([self.sizes, *sizes])
+            self.ticks = self.ticks or lasted
 
     @property
     def keyframe_ranges(self) -> np.ndarray:
@@ -136,28 +190,57 @@ class Track:
         return b"".join(data[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True))
 
 
-_COLUMNS = {"codec": pa.string(), "duration_s": pa.float64(), "n_samples": pa.int64(), "n_keyframes": pa.int64(), "keyframe_ranges": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
-_COLUMNS_SQL = "codec string, duration_s double, n_samples long, n_keyframes long, keyframe_ranges array<struct<start: long, end: long>>"
+def tracks(data: bytes) -> list[Track]:
+    """The tracks of a file in its order, each from its own boxes alone."""
+    own: list[dict[bytes, int]] = []
+    fragments: list[tuple] = []
+    defaults, begin = {}, 0
+    for path, first, start, _ in boxes(data):
+        kind = path[-1]
+        if kind == b"trak":
+            own.append({})
+        elif b"trak" in path:
+            own[-1].setdefault(kind, start)
+        elif kind == b"trex":
+            track, _, duration, size, flags = struct.unpack_from(">5I", data, start + 4)
+            defaults[track] = (duration, size, flags)
+        elif kind == b"moof":
+            begin = first
+        elif kind == b"tfhd":
+            fragments.append((begin, start, []))
+        elif kind == b"trun":
+            fragments[-1][2].append(start)
+    return [Track(data, at, fragments, defaults) for at in own]
+
+
+_COLUMNS = {"track": pa.int64(), "codec": pa.string(), "duration_s": pa.float64(), "n_samples": pa.int64(), "n_keyframes": pa.int64(), "keyframe_ranges": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+_COLUMNS_SQL = "track long, codec string, duration_s double, n_samples long, n_keyframes long, keyframe_ranges array<struct<start: long, end: long>>"
 
 
 def media_columns(table: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """(id, codec, duration_s, n_samples, n_keyframes, keyframe_ranges) of a binary column of ISO media files.
+    """(id, track, codec, duration_s, n_samples, n_keyframes, keyframe_ranges) of a binary column of ISO media files: one
+    row a track, numbered from 1 in the file's order; fragmented files too.
 
-    A null, empty or broken file gives nulls; ids and repeated rows stay as they are.
+    A null, empty or broken file, and one without tracks, gives one row of nulls. Ids and repeated rows
+    stay as they are.
     """
 
+    def told(data: bytes) -> list[tuple]:
+        try:
+            out = []
+            for k, t in enumerate(tracks(data), 1):
+                ranges = [{"start": s, "end": e} for s, e in t.keyframe_ranges.tolist()]
+                out.append((k, t.codec, t.ticks / t.timescale, len(t.sizes), len(ranges), ranges))
+            return out or [(None,) * 6]
+        except (KeyError, ValueError, IndexError, struct.error, ZeroDivisionError):
+            return [(None,) * 6]
+
     def run(batches):
         for b in batches:
-            out = []
-            for data in as_bytes(b.column(1)):
-                try:
-                    t = Track(data)
-                    ranges = [{"start": s, "end": e} for s, e in t.keyframe_ranges.tolist()]
-                    out.append((t.codec, t.ticks / t.timescale, len(t.sizes), len(ranges), ranges))
-                except (KeyError, ValueError, IndexError, struct.error, ZeroDivisionError):
-                    out.append((None,) * 5)
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), k) for c, k in zip(columns, _COLUMNS.values(), strict=True)]], names=["id", *_COLUMNS])
+            found = [*map(told, as_bytes(b.column(1)))]
+            place = pa.array(np.repeat(np.arange(len(found)), [*map(len, found)]))
+            columns = list(zip(*(row for rows in found for row in rows), strict=True)) or [[]] * len(_COLUMNS)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(place), *[pa.array(list(c), k) for c, k in zip(columns, _COLUMNS.values(), strict=True)]], names=["id", *_COLUMNS])
 
     kind = table.schema[id_col].dataType.simpleString()
     return table.select(F.col(id_col).alias("id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, f"id {kind}, {_COLUMNS_SQL}")
@@ -185,7 +268,7 @@ def op8_media_columns(spark, sf_dir: str) -> DataFrame:
         for b in batches:
             out = []
             for doc_id, n, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                t = Track(data)
+                t = tracks(data)[0]
                 back = t.payload(data)
                 ranges = t.keyframe_ranges
                 feature = f"{t.codec};{t.ticks / t.timescale:.6f}s;{len(t.sizes)} samples;{len(ranges)} keyframes;ranges {zlib.crc32(ranges.astype('<i8').tobytes()):08x}"

@@ -12,7 +12,7 @@ from framewell.llm import media
 def test_round_trip(n):
     payload = np.random.default_rng(n).integers(0, 256, n, np.uint8).tobytes()
     data = media.store(payload)
-    track = media.Track(data)
+    track = media.tracks(data)[0]
     assert track.payload(data) == payload
     assert (track.codec, track.timescale, track.ticks) == ("raw", 8000, n)
     ranges = track.keyframe_ranges
@@ -31,12 +31,43 @@ def test_boxes_of_other_writers():
     )
     mdhd = media.full(b"mdhd", b"\0" * 16, struct.pack(">IQ", 1000, 40), b"\0" * 4, version=1)
     data = media.box(b"free") + mdat + media.box(b"moov", media.box(b"trak", media.box(b"mdia", mdhd, media.box(b"minf", table))))
-    track = media.Track(data)
+    track = media.tracks(data)[0]
     assert (track.codec, track.timescale, track.ticks) == ("avc1", 1000, 40)
     assert track.keyframe_ranges.tolist() == [[at + 100, at + 120], [at + 30, at + 70]]
     assert track.payload(data) == payload[100:120] + payload[:120]
 
 
+def track_of(kind, number, offsets, sizes, sync=None):
+    n = len(sizes)
+    table = media.box(
+        b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(kind, b"\0" * 28)), media.full(b"stts", struct.pack(">III", 1, n, 10)),
+        *([media.full(b"stss", struct.pack(f">I{len(sync)}I", len(sync), *sync))] if sync else []), media.full(b"stsc", struct.pack(">I3I", 1, 1, 1, 1) if n else struct.pack(">I", 0)),
+        media.full(b"stsz", struct.pack(f">II{n}I", 0, n, *sizes)), media.full(b"stco", struct.pack(f">I{n}I", n, *offsets)),
+    )
+    mdhd = media.full(b"mdhd", b"\0" * 8, struct.pack(">II", 100, 10 * n), b"\0" * 4)
+    return media.box(b"trak", media.full(b"tkhd", b"\0" * 8, struct.pack(">I", number), b"\0" * 68), media.box(b"mdia", mdhd, media.box(b"minf", table)))
+
+
+def test_each_track_is_read_from_its_own_boxes(spark):
+    data = media.box(b"moov", track_of(b"mp4a", 1, [900, 910], [5, 6]), track_of(b"avc1", 2, [100, 200, 300, 400, 500], [9, 8, 7, 6, 5], [1, 5]))
+    audio, video = media.tracks(data)
+    assert (audio.codec, audio.id, audio.keyframe_ranges.tolist()) == ("mp4a", 1, [[900, 905], [910, 916]])
+    assert (video.codec, video.id, video.keyframe_ranges.tolist()) == ("avc1", 2, [[100, 109], [500, 505]])
+    got = media.media_columns(spark.createDataFrame([(7, data)], "id long, media binary")).collect()
+    assert [(r.id, r.track, r.codec, r.duration_s, r.n_samples, r.n_keyframes) for r in got] == [(7, 1, "mp4a", 0.2, 2, 2), (7, 2, "avc1", 0.5, 5, 2)]
+
+
+def test_fragments():
+    head = media.box(b"moov", track_of(b"avc1", 4, [], []), media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 4, 1, 10, 7, 0x10000))))
+    run = media.full(b"trun", struct.pack(">IiI3I", 3, 60, 0, 20, 30, 40), flags=0x205)
+    more = media.full(b"trun", struct.pack(">I", 2))
+    moof = media.box(b"moof", media.full(b"mfhd", b"\0" * 4), media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 4), flags=0x20000), run, more), media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 9)), more))
+    (track,) = media.tracks(head + moof)
+    at = len(head) + 60
+    assert track.offsets.tolist() == [at, at + 20, at + 50, at + 90, at + 97] and track.sizes.tolist() == [20, 30, 40, 7, 7]
+    assert track.keyframe_ranges.tolist() == [[at, at + 20]] and (track.ticks, track.timescale) == (50, 100)
+
+
 def test_broken_files_give_nulls(spark):
     good = media.store(b"\1" * 128)
     rows = [(1, good), (None, good), (2, None), (3, b""), (4, good[:-40]), (5, b"\0\0\0\4moov"), (6, b"not media at all"), (1, good)]
