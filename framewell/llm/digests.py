@@ -60,42 +60,50 @@ def bucket_clashes(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", t
     return each.withColumn("place", F.row_number().over(Window.partitionBy("fingerprint").orderBy("canonical")) - 1)
 
 
+def separating(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_of=digest):
+    """digest_of where it keeps all canonical texts of docs apart, told by their bytes (prints: id, fingerprint by digest_of);
+    otherwise a digest with a second one after it in the buckets that hold several texts, compared by bytes as well."""
+    clashes = bucket_clashes(docs, prints, id_col, text_col, digest_of).select("fingerprint").distinct()
+    if clashes.isEmpty():
+        return digest_of
+    few = [r["fingerprint"] for r in clashes.limit(BROADCAST_ROWS + 1).collect()]
+    # with so many clashes every text gets the second digest
+    bad = frozenset(few) if len(few) <= BROADCAST_ROWS else None
+
+    def longer(data: bytes) -> str:
+        told = digest_of(data)
+        return f"{told}+{hashlib.sha256(data).hexdigest()}" if bad is None or told in bad else told
+
+    return longer
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_of=digest) -> DataFrame:
     """(id, fingerprint) of every whole text; null is empty. Equal canonical texts, and only those, have equal fingerprints."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest_of(canonical(t or "")) for t in b.column(1).to_pylist()], pa.string())], names=["id", "fingerprint"])
+    def told(by):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([by(canonical(t or "")) for t in b.column(1).to_pylist()], pa.string())], names=["id", "fingerprint"])
 
-    prints = materialise(rows.mapInArrow(run, "id long, fingerprint string"), "digests")
-    clashes = bucket_clashes(docs, prints, id_col, text_col, digest_of)
-    if clashes.isEmpty():
-        return prints
-    bad = F.broadcast(clashes.select("fingerprint").distinct()) if clashes.count() <= BROADCAST_ROWS else clashes.select("fingerprint").distinct()
-    hit = rows.join(prints.join(bad, "fingerprint", "left_semi").select(F.col("id").alias("_i")).distinct(), F.col("id").eqNullSafe(F.col("_i")), "left_semi")
-
-    def own(batches):
-        for b in batches:
-            texts = [canonical(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest_of(t) for t in texts], pa.string()), pa.array(texts, pa.binary())], names=["id", "fingerprint", "canonical"])
+        return materialise(rows.mapInArrow(run, "id long, fingerprint string"), "digests")
 
-    told = hit.mapInArrow(own, "id long, fingerprint string, canonical binary").join(clashes, ["fingerprint", "canonical"])
-    told = told.select("id", F.concat("fingerprint", F.when(F.col("place") > 0, F.concat(F.lit("+"), F.col("place"))).otherwise("")).alias("fingerprint"))
-    return prints.join(bad, "fingerprint", "left_anti").select("id", "fingerprint").unionByName(told)
+    prints = told(digest_of)
+    exact = separating(docs, prints, id_col, text_col, digest_of)
+    return prints if exact is digest_of else told(exact)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, task long, kind string, text string"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
-def _compared(doc_id, text: str, after: str, mine: bytes, its: bytes) -> tuple:
+def _compared(doc_id, text: str, after: str, mine: bytes, its: bytes, digest_of) -> tuple:
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
     changed = canonical(edited)
-    a, b = digest(mine), digest(changed)
+    a, b = digest_of(mine), digest_of(changed)
     # equal digests are one bucket; there the bytes decide
-    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, float(a == b and mine == changed), float(a == digest(its) and mine == its)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, float(a == b and mine == changed), float(a == digest_of(its) and mine == its)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -104,7 +112,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_of=digest) -> DataFrame:
     """One row a document, compared with its edited text and with the next document by ascending id (the first after the last).
 
     Null ids come first; rows that repeat an id follow each other by text, nulls first. A null text is empty; a
@@ -123,7 +131,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 if last is None:
                     out.append((doc_id, *[None] * 6, task, "head", text))
                 else:
-                    out.append((*_compared(*last[:2], text, last[2], mine), task, "done", None))
+                    out.append((*_compared(*last[:2], text, last[2], mine, digest_of), task, "done", None))
                 last = (doc_id, text, mine)
             yield _batch(out)
             out = []
@@ -143,17 +151,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def close(batches):
         for b in batches:
             rows = zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
-            yield _batch([(*_compared(i, t, n, canonical(t), canonical(n)), 0, "done", None) for i, t, n in rows])
+            yield _batch([(*_compared(i, t, n, canonical(t), canonical(n), digest_of), 0, "done", None) for i, t, n in rows])
 
     closed = tails.join(heads, "next").select("doc_id", "text", "after").mapInArrow(close, _SCHEMA)
     return seen.filter("kind = 'done'").unionByName(closed).select(*_NAMES[:7])
 
 
+def exact_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_of=digest) -> DataFrame:
+    """`with_next` by a digest that keeps all texts of docs apart."""
+    told = materialise(with_next(docs, id_col, text_col, digest_of), "fingerprints")
+    exact = separating(docs, told.select(F.col("doc_id").alias("id"), "fingerprint"), id_col, text_col, digest_of)
+    return told if exact is digest_of else with_next(docs, id_col, text_col, exact)
+
+
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    told = materialise(with_next(docs), "fingerprints")
-    clashes = bucket_clashes(docs, told.select(F.col("doc_id").alias("id"), "fingerprint"))
-    if clashes.isEmpty():
-        return told
-    exact = fingerprints(docs).withColumnRenamed("fingerprint", "_exact").distinct()
-    return told.join(exact, told["doc_id"].eqNullSafe(exact["id"])).withColumn("fingerprint", F.col("_exact")).select(*told.columns)
+    return exact_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))

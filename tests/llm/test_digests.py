@@ -38,7 +38,13 @@ def test_unequal_bytes_in_one_bucket_are_told_apart(spark):
     assert told == sorted([(1, "n4"), (2, "n4"), (None, "n4"), (3, "n5"), (4, "n0"), (5, "n1"), (5, "n1")], key=repr)
     df = spark.createDataFrame([(1, "same"), (2, "SAME"), (3, "text"), (4, "abcd"), (5, "x"), (6, "y")], "doc_id long, text string")
     told = {r.id: r.fingerprint for r in digests.fingerprints(df, digest_of=short).collect()}
-    assert told == {4: "n4", 1: "n4+1", 2: "n4+1", 3: "n4+2", 5: "n1", 6: "n1+1"}
+    own = {i: x + "+" + hashlib.sha256(t).hexdigest() for i, x, t in [(1, "n4", b"same"), (2, "n4", b"same"), (3, "n4", b"text"), (4, "n4", b"abcd"), (5, "n1", b"x"), (6, "n1", b"y")]}
+    assert told == own
+    # through the query's own path: rows that repeat an id with other texts keep one row each
+    odd = spark.createDataFrame([(1, "same"), (1, "text"), (1, "SAME"), (2, "longer one"), (None, None)], "doc_id long, text string")
+    told = digests.exact_with_next(odd, digest_of=short).collect()
+    assert sorted(((r.doc_id, r.fingerprint) for r in told), key=repr) == sorted([(1, own[1]), (1, own[3]), (1, own[1]), (2, "n10"), (None, "n0")], key=repr)
+    assert all((r.fingerprint == r.edited_fingerprint) == (r.near_edited == 1.0) for r in told)
 
 
 def test_query(spark):
