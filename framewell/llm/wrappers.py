@@ -20,16 +20,21 @@ import re
 from bisect import bisect_left, bisect_right
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewell.plans.joins import small
 from framewell.session import materialise
 
-SALTS = 16
-#: Elements inside so many others are left to the text of these.
-DEEPEST = 150
+#: Streams of one host that a task aligns about, and merged parts that the next step aligns.
+PART, MERGED = 512, 16
+#: Of elements inside so many others only links and those that change where text stands have items of their own.
+DEEP = 150
+#: Bits of the table that an alignment keeps; longer runs are halved first.
+TABLE_BITS = 1 << 28
 #: Characters of all wrappers together that are broadcast at most; more are joined by host.
 BROADCAST_CHARS = 32_000_000
 #: Share of the pages with a slot on which one text makes it the template's, and share of the host's pages inside an article.
@@ -80,7 +85,7 @@ def host_of(url: str | None) -> str:
 def events(html: str):
     """("open", label), ("close", label), ("text", raw) in page order, with every element closed. A label is the tag
     and the words of its class, id and role; inline elements without any, and links apart, are left to the text."""
-    stack: list[tuple[str, str | None]] = []  # tag and the label that was told, None if none was
+    stack: list[tuple[str, str | None, int]] = []  # tag, the label that was told (None if none was), where text in it stands
 
     def close_to(k):
         while len(stack) > k:
@@ -116,13 +121,16 @@ def events(html: str):
                 elif tag not in INLINE:
                     yield "break", ""
                 continue
-            told = len(stack) < DEEPEST and (tag not in INLINE or tag == "a" or (words and not OUTSIDE_WORDS.isdisjoint(words.split())))
+            outer = stack[-1][2] if stack else 1
+            told = tag not in INLINE or tag == "a" or bool(words and not OUTSIDE_WORDS.isdisjoint(words.split()))
+            place = _place(tag, {*words.split()}, outer) if told else outer
+            told = told and (len(stack) < DEEP or tag == "a" or place != outer)
             if tag not in INLINE:
                 yield "break", ""
             label = f"{tag} {words}".strip() if told else None
             if told:
                 yield "open", label
-            stack.append((tag, label))
+            stack.append((tag, label, place))
     yield from close_to(0)
 
 
@@ -152,36 +160,60 @@ def _merge(a: tuple, b: tuple) -> tuple:
     return _signed(a, b[1])
 
 
+def _rows(ka: list, kb: list) -> list[int]:
+    """For each prefix of ka the longest common runs with all prefixes of kb: bit j is 0 where the run grows by kb[j]."""
+    whole, at = (1 << len(kb)) - 1, {}
+    for j, k in enumerate(kb):
+        at[k] = at.get(k, 0) | 1 << j
+    rows = [whole]
+    for k in ka:
+        v = rows[-1]
+        u = v & at.get(k, 0)
+        rows.append(((v + u) | (v - u)) & whole)
+    return rows
+
+
+def _lengths(ka: list, kb: list) -> np.ndarray:
+    """Length of the longest common run of ka with each prefix of kb."""
+    last, n = (1 << len(kb)) - 1, len(kb)
+    at: dict = {}
+    for j, k in enumerate(kb):
+        at[k] = at.get(k, 0) | 1 << j
+    for k in ka:
+        u = last & at.get(k, 0)
+        last = ((last + u) | (last - u)) & ((1 << n) - 1)
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(-(-n // 8) or 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
 def _common(ka: list, kb: list) -> list[tuple[int, int]]:
-    """Places of a common run of keys, the longest; very long runs are matched from left to right instead."""
-    n, m, out = len(ka), len(kb), []
-    if n * m > 100_000:
-        at: dict[tuple, list[int]] = {}
-        for j in reversed(range(m)):
-            at.setdefault(kb[j], []).append(j)
-        j = -1
-        for i, k in enumerate(ka):
-            later = at.get(k, [])
-            while later and later[-1] <= j:
-                later.pop()
-            if later:
-                j = later.pop()
-                out.append((i, j))
-        return out
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in reversed(range(n)):
-        for j in reversed(range(m)):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < n and j < m:
-        if ka[i] == kb[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    """Places of a longest common run of keys, at any length; memory is bounded by halving ka until a table fits."""
+    a, z = 0, 0
+    while a < min(len(ka), len(kb)) and ka[a] == kb[a]:
+        a += 1
+    while z < min(len(ka), len(kb)) - a and ka[-1 - z] == kb[-1 - z]:
+        z += 1
+    n, m = len(ka) - a - z, len(kb) - a - z
+    out = [(k, k) for k in range(a)]
+    if n and m:
+        mine, its = ka[a : a + n], kb[a : a + m]
+        if n > 1 and n * m > TABLE_BITS:
+            half = n // 2
+            cut = int((_lengths(mine[:half], its) + _lengths(mine[half:][::-1], its[::-1])[::-1]).argmax())
+            inner = _common(mine[:half], its[:cut]) + [(i + half, j + cut) for i, j in _common(mine[half:], its[cut:])]
         else:
-            j += 1
-    return out
+            rows, i, j, inner = _rows(mine, its), n, m, []
+            while i and j:
+                if rows[i] >> (j - 1) & 1:
+                    j -= 1
+                    continue
+                i -= 1
+                if rows[i] >> (j - 1) & 1:
+                    j -= 1
+                    inner.append((i, j))
+            inner.reverse()
+        out += [(i + a, j + a) for i, j in inner]
+    return out + [(len(ka) - k, len(kb) - k) for k in range(z, 0, -1)]
 
 
 def align(a: tuple, b: tuple) -> tuple:
@@ -418,10 +450,17 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string())], names=["host", "shape"])
 
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    told = rows.mapInArrow(shapes, "host string, shape string").distinct()
-    salted = told.select("host", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).cast("int").alias("salt"), "shape")
-    parts = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "shape").mapInArrow(_merged(["host", "salt"]), "host string, salt int, shape string")
-    return parts.select("host", "shape").repartition("host").sortWithinPartitions("host", "shape").mapInArrow(_merged(["host"]), "host string, shape string")
+    told = materialise(rows.mapInArrow(shapes, "host string, shape string").distinct(), "shapes")
+    sizes = materialise(told.groupBy(F.col("host").alias("_host")).agg(F.ceil(F.count("*") / PART).alias("parts")).filter("parts > 1"), "sizes")
+    salt = F.pmod(F.xxhash64("shape"), F.coalesce("parts", F.lit(1))).cast("int")
+    parts = told.join(small(sizes), F.col("host") == F.col("_host"), "left").select("host", salt.alias("salt"), "shape")
+    most = sizes.agg(F.max("parts")).first()[0] or 1
+    while True:  # parts of a host, then parts of these, until one is left
+        parts = parts.repartition("host", "salt").sortWithinPartitions("host", "salt", "shape").mapInArrow(_merged(["host", "salt"]), "host string, salt int, shape string")
+        if most <= 1:
+            return parts.select("host", "shape")
+        parts = materialise(parts, "parts").select("host", F.expr(f"salt div {MERGED}").cast("int").alias("salt"), "shape")
+        most = -(-most // MERGED)
 
 
 def slot_facts(pages: DataFrame, reading) -> DataFrame:

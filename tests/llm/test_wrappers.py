@@ -32,6 +32,8 @@ def test_pages_without_an_article():
     assert read(page) == "One text here."
     assert read("plain &lt;text&gt;") == "plain <text>" and read("") == "" and read("<p") == "" and read("a < b") == "a < b"
     assert read("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    deep = "<div>" * 400 + "<nav>menu</nav><aside>more</aside><p>body</p><form>x</form><div class=footer>y</div>" + "</div>" * 400
+    assert read(deep) == read(deep, deep.replace("body", "other")) == "body"
     assert read("<article>" + "<p>x</p>" * 50_000) == " ".join("x" * 50_000)
 
 
@@ -45,6 +47,32 @@ def test_inference_finds_groups_and_optionals():
     assert all(i < j for (i, _), (j, _) in zip(long, long[1:])) and len(long) >= 399
 
 
+def test_common_runs_are_longest_at_any_length(monkeypatch):
+    for bits in (1 << 28, 50, 1):
+        monkeypatch.setattr(w, "TABLE_BITS", bits)
+        for seed in range(60):
+            rng = random.Random(seed)
+            a, b = (rng.choices("abcd", k=rng.randint(0, 25)) for _ in range(2))
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+            got = w._common(a, b)
+            assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+
+
+def test_parts_of_a_host_are_merged_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(w, "PART", 3)
+    monkeypatch.setattr(w, "MERGED", 2)
+    pages = [(k, "http://big/" if k % 3 else "http://small/", f"<body>{'<p>a</p><h2>b</h2>' * (k % 7)}<div class=c{k % 50}x{'y' * (k % 40)}>x</div></body>") for k in range(200)]
+    got = {r.host: w.loads(r.shape) for r in w.wrappers(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert set(got) == {"big", "small"}
+    for _, url, html in pages:  # every page follows its host's wrapper: aligning it again adds nothing
+        wrapper = got[w.host_of(url)]
+        assert {x for x in json.dumps(w.align(wrapper, w.shape(html))).split('"')} == {x for x in json.dumps(wrapper).split('"')}
+
+
 def test_slots_do_not_depend_on_the_order(spark):
     random.seed(8)
     parts = ["<p>a</p>", "<h2>b</h2>", '<div class="ad">no</div>', "<ul><li>c</ul>", "<nav>no</nav>", "<blockquote><p>d</p></blockquote>", "x <a href=/>y</a> z"]
