@@ -203,8 +203,9 @@ def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 #: 64-bit words of a wide fingerprint, bits of a table's key, nodes of a shard that needs no tree.
 WIDE, KEY_BITS, FEW = 4, 16, 8
-#: Standard deviations beyond the expected distance up to which nodes are candidates.
-MARGIN = 3.0
+#: Words of a long fingerprint, which is told for nodes that have a candidate, and standard deviations beyond the expected
+#: distance up to which nodes are candidates by the wide and by the long one.
+LONG, MARGIN, LONG_MARGIN = 32, 3.0, 2.0
 #: Nodes of a shard from which on it first meets its middle alone, growth of what a round asks for a node, and sets
 #: that one task compares with a node's.
 MIDDLE, GROWTH, COMPARED = 512, 8, 500
@@ -223,13 +224,13 @@ def shingle_hashes(data: bytes, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(joined[i:j], 42) for i, j in zip(starts, stops, strict=True)], np.uint64))
 
 
-def wide_bits(hashes: np.ndarray) -> np.ndarray:
-    """256 bits: each set where over half of the distinct shingles' hashes, spread by four odd multipliers, have it.
+def wide_bits(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
+    """64 bits a word: each set where over half of the distinct shingles' hashes, spread by a multiplier a word, have it.
 
     Two texts whose shingle sets have similarity J differ in a share of acos(2J / (1 + J)) / pi of the bits, about.
     """
-    out = np.zeros(WIDE, np.uint64)
-    for k in range(WIDE if len(hashes) else 0):
+    out = np.zeros(words, np.uint64)
+    for k in range(words if len(hashes) else 0):
         spread = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1)
         spread = (spread ^ (spread >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         spread ^= spread >> np.uint64(29)
@@ -240,10 +241,10 @@ def wide_bits(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_radius(similarity: float, margin: float = 0.0) -> int:
-    """Differing bits of 256 that texts of this similarity have, about, and so many standard deviations more."""
+def wide_radius(similarity: float, margin: float = 0.0, words: int = WIDE) -> int:
+    """Differing bits that texts of this similarity have, about, and so many standard deviations more."""
     share = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
-    return round(64 * WIDE * share + margin * (64 * WIDE * share * (1 - share)) ** 0.5)
+    return round(64 * words * share + margin * (64 * words * share * (1 - share)) ** 0.5)
 
 
 def tables_for(similarity: float, rows: int, recall: float = 0.98) -> tuple[int, int]:
@@ -271,21 +272,28 @@ def _keys(tables: int, bits: int):
 
 
 class Shards:
-    """Nodes of shards in order: key, node, size of the shingle set, words, component, and the candidate (distance, node)
-    up to which a node has been compared."""
+    """Nodes of shards in order: key, node, size of the shingle set, words, component, the candidate (distance, node) up to
+    which a node has been compared, and, where it is known, the long fingerprint."""
 
     def __init__(self, columns: list[np.ndarray]) -> None:
         self.key, self.node, self.size = columns[:3]
         self.words = np.stack([c.view(np.uint64) for c in columns[3 : 3 + WIDE]], axis=1)
-        self.component, self.far, self.other = columns[3 + WIDE :]
+        self.component, self.far, self.other = columns[3 + WIDE : 6 + WIDE]
+        self.long = np.frombuffer(b"".join(columns[6 + WIDE]), np.uint64).reshape(len(self.key), LONG) if len(columns) > 6 + WIDE else None
 
     def distance(self, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
         return np.bitwise_count(self.words[i] ^ self.words[j]).sum(axis=-1, dtype=np.int64)
 
-    def fit(self, i: np.ndarray, j: np.ndarray | int, similarity: float) -> np.ndarray:
-        """Whether nodes of so large sets can be alike, and are not known to be in one component."""
+    def fit(self, i: np.ndarray, j: np.ndarray | int, near: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the near ones can be alike with sets of their size and by their long fingerprints, and are not known to
+        be in one component."""
         a, b = self.size[i], self.size[j]
-        return (np.minimum(a, b) >= similarity * np.maximum(a, b)) & (self.component[i] != self.component[j])
+        on = near & (np.minimum(a, b) >= similarity * np.maximum(a, b)) & (self.component[i] != self.component[j])
+        if self.long is not None:
+            k = np.flatnonzero(on)
+            far = np.bitwise_count(self.long[i[k]] ^ self.long[j if np.isscalar(j) else j[k]]).sum(axis=-1, dtype=np.int64)
+            on[k[far > wide_radius(similarity, LONG_MARGIN, LONG)]] = False
+        return on
 
 
 def tree_of(shards: Shards, places: np.ndarray) -> list:
@@ -339,7 +347,7 @@ def _candidates(radius: int, similarity: float, k: int, middles: bool):
         while todo:
             (place, children), some = todo.pop()
             far = s.distance(some, place)
-            on = (far <= radius) & s.fit(some, place, similarity)
+            on = s.fit(some, place, far <= radius, similarity)
             q, o, d = some[on], np.full(on.sum(), place), far[on]
             back = large[q - a]
             found.append((np.append(q, o[back]), np.append(o, q[back]), np.append(d, d[back])))
@@ -361,7 +369,7 @@ def _candidates(radius: int, similarity: float, k: int, middles: bool):
         places = np.arange(a, z)
         hub = a + int(np.bitwise_count(s.words[a:z] ^ middle).sum(axis=1, dtype=np.int64).argmin())
         far = s.distance(places, hub)
-        on = (far <= radius) & s.fit(places, hub, similarity)
+        on = s.fit(places, hub, far <= radius, similarity)
         return places[on], np.full(on.sum(), hub), far[on]
 
     def told(s: Shards):
@@ -372,7 +380,7 @@ def _candidates(radius: int, similarity: float, k: int, middles: bool):
         for step in range(1, FEW):
             i = np.flatnonzero(few[:-step] & (s.key[:-step] == s.key[step:])) if len(s.key) > step else np.empty(0, np.int64)
             far = s.distance(i, i + step)
-            on = (far <= radius) & s.fit(i, i + step, similarity)
+            on = s.fit(i, i + step, far <= radius, similarity)
             pairs += [(i[on], i[on] + step, far[on]), (i[on] + step, i[on], far[on])]
         out, more = [beyond(s, *(np.concatenate(x) for x in zip(*pairs, strict=True)))], []
         for n in np.flatnonzero(sizes > FEW).tolist():
@@ -403,21 +411,27 @@ def _candidates(radius: int, similarity: float, k: int, middles: bool):
     return run
 
 
-def _verified(pairs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _sets(docs: DataFrame, text_col: str, nodes: DataFrame, work, schema: str) -> DataFrame:
+    """(node, what work makes of its text's bytes) for nodes (node, text_a, text_b): each is told from one of its texts."""
+    keyed = docs.select(F.col(text_col).alias("text"), *_text_key(text_col)).join(small(nodes), ["text_a", "text_b"])
+
+    def run(batch):
+        yield {"node": batch.column(0), schema.split()[0]: pa.array([*map(work, as_bytes(batch.column(1)))], pa.binary())}
+
+    return map_arrow(keyed.groupBy("node").agg(F.min("text").alias("text")), run, f"node long, {schema}")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, sets_of, similarity: float) -> DataFrame:
     """(src, dst): the pairs (node, other) whose whole sets of shingles have the similarity.
 
-    Sets of the nodes that pairs name come from one text each (a node's texts have one set). The pairs of a node that
-    many others name are dealt to several tasks, each with its set.
+    Sets of the nodes that pairs name come from one text each (a node's texts have one set; texts: node, text_a, text_b).
+    The pairs of a node that many others name are dealt to several tasks, each with its set.
     """
     pairs = pairs.groupBy(F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high")).agg(F.min("node").alias("a"))
     pairs = materialise(pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")), "pairs")
-    need = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "named")
-    texts = own.join(small(need), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-
-    def sets(batch):
-        yield {"of": batch.column(0), "grams": pa.array([shingle_hashes(x, shingle).tobytes() for x in as_bytes(batch.column(1))], pa.binary())}
-
-    grams = materialise(map_arrow(texts, sets, "of long, grams binary"), "sets")
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    need = materialise(texts.join(need, "node"), "named")
+    grams = materialise(sets_of(need).withColumnRenamed("node", "of"), "sets")
     hot = materialise(pairs.groupBy(F.col("b").alias("_hot")).agg(F.count("*").alias("n")).filter(F.col("n") > COMPARED), "hubs")
     parts = F.coalesce(F.ceil(F.col("n") / COMPARED), F.lit(1))
     dealt = pairs.join(small(hot), F.col("b") == F.col("_hot"), "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
@@ -450,7 +464,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts with equal sets of word shingles are one node. Two nodes are linked if their sets have the similarity; that is
     told from the whole sets, and only for candidates. These are searched by wide fingerprints in tables whose keys are
     samples of the bits, each bucket a shard with a BK-tree of its own; tables are as many as find a link of just this
-    similarity with 98 per cent, closer ones more surely. In rounds, each node asks for its nearest candidates of other
+    similarity with 98 per cent, closer ones more surely. Nodes that have candidates get a long fingerprint, by which
+    most of those below the similarity fall away. In rounds, each node asks for its nearest candidates of other
     components, more from round to round, and leaves when it has been compared with all; so a group of copies is joined
     by few comparisons, and no candidate is left out. Null and empty texts are alike.
     """
@@ -458,23 +473,27 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = [f"w{k}" for k in range(WIDE)]
 
     def work(batch):
-        texts = batch.column(1)
-        found = [shingle_hashes(x, shingle) for x in as_bytes(texts)]
+        found = [shingle_hashes(x, shingle) for x in as_bytes(batch.column(1))]
         wide = np.stack([*map(wide_bits, found), np.zeros(WIDE, np.uint64)])[:-1]
         nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-        yield {"id": batch.column(0), "text": texts, "text_a": batch.column(2), "text_b": batch.column(3), "node": nodes, "size": np.array([*map(len, found)], np.int64), **{n: np.ascontiguousarray(wide[:, k]).view(np.int64) for k, n in enumerate(names)}}
+        yield {"id": batch.column(0), "text_a": batch.column(2), "text_b": batch.column(3), "node": nodes, "size": np.array([*map(len, found)], np.int64), **{n: np.ascontiguousarray(wide[:, k]).view(np.int64) for k, n in enumerate(names)}}
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *_text_key(text_col))
-    own = map_arrow(rows, work, "id long, text string, text_a long, text_b long, node long, size long, " + ", ".join(f"{n} long" for n in names))
+    own = map_arrow(rows, work, "id long, text_a long, text_b long, node long, size long, " + ", ".join(f"{n} long" for n in names))
     own = materialise(own, "wide")
-    known = materialise(own.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("rows"), *[F.first(n).alias(n) for n in ("size", *names)]), "nodes")
+    known = materialise(own.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("rows"), F.min(F.struct("text_a", "text_b")).alias("key"), *[F.first(n).alias(n) for n in ("size", *names)]), "nodes")
     tables, bits = tables_for(similarity, known.count())
     radius, columns = wide_radius(similarity, MARGIN), ["node", "size", *names]
-    more = ["component", "seen_far", "seen"]
+    more = ["component long", "seen_far long", "seen long", "long binary"]
+    texts, long = known.select("node", "key.text_a", "key.text_b"), None
+
+    def grams_of(nodes):
+        return _sets(docs, text_col, nodes, lambda x: shingle_hashes(x, shingle).tobytes(), "grams binary")
+
     live, edges, label, k = known.filter("size > 0").select(*columns), None, None, 1
     while True:
         first = edges is None
-        keyed = live.mapInArrow(_keys(tables, bits), ", ".join(f"{n} long" for n in ("key", *columns, *([] if first else more))))
+        keyed = live.mapInArrow(_keys(tables, bits), ", ".join([*[f"{n} long" for n in ("key", *columns)], *([] if first else more)]))
         dealt = keyed.repartition("key").sortWithinPartitions("key")
         if first:  # constant columns are not shuffled
             dealt = dealt.select("*", F.col("node").alias("component"), F.lit(-1).cast("long").alias("seen_far"), F.lit(0).cast("long").alias("seen"))
@@ -482,14 +501,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         pick = F.when(F.col("other").isNotNull(), F.struct("far", "other"))
         asked = found.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(pick)), 1, k).alias("picks"), F.max(F.col("other").isNull()).alias("open"))
         asked = materialise(asked, "asked")
-        links = materialise(_verified(asked.select("node", F.explode("picks").alias("p")).select("node", "p.other"), own, shingle, similarity), "links")
+        links = materialise(_verified(asked.select("node", F.explode("picks").alias("p")).select("node", "p.other"), texts, grams_of, similarity), "links")
         if edges is None or not links.isEmpty():
             edges = links if edges is None else edges.unionByName(links)
             label = materialise(connected_components(edges), "label")
         # one that got all it asked for asks on from there; one that met a large shard's middle alone asks anew
         last, anew = F.get("picks", F.lit(k - 1)), F.col("open")
         still = asked.filter(anew | (F.size("picks") == k)).select("node", F.when(anew, F.lit(-1)).otherwise(last["far"]).cast("long").alias("seen_far"), F.when(anew, F.lit(0)).otherwise(last["other"]).cast("long").alias("seen"))
-        live = live.select(*columns).join(still, "node").join(label, "node", "left").select(*columns, F.coalesce("component", "node").alias("component"), "seen_far", "seen")
+        if long is None:
+            asking = materialise(texts.join(still.select("node"), "node"), "asking")
+            long = materialise(_sets(docs, text_col, asking, lambda x: wide_bits(shingle_hashes(x, shingle), LONG).tobytes(), "long binary"), "long")
+        live = live.select(*columns).join(still, "node").join(long, "node").join(label, "node", "left").select(*columns, F.coalesce("component", "node").alias("component"), "seen_far", "seen", "long")
         live = materialise(live, "live")
         if live.isEmpty():
             break

@@ -142,6 +142,14 @@ def test_candidates_of_shards_against_brute_force(monkeypatch):
             near = sorted((int(np.bitwise_count(words[i] ^ words[j]).sum()), int(node[j])) for j in range(n) if key[i] == key[j] and component[i] != component[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]))
             want += [(int(node[i]), o, d) for d, o in near if d <= 2 and (d, o) > (far[i], other[i])][:k]
         assert sorted(got) == sorted(want) and want
+    # long fingerprints that tell odd nodes from even ones
+    apart = np.where(np.arange(n)[:, None] % 2 == 0, np.uint64(0), ~np.uint64(0)).repeat(simhash.LONG, axis=1)
+    import pyarrow as pa
+
+    both = pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in apart], pa.binary())], names=list("abcdefghijk"))
+    told = [tuple(r.values()) for b in simhash._candidates(2, 0.8, 10**6, False)([both]) for r in b.to_pylist()]
+    every = [tuple(r.values()) for b in simhash._candidates(2, 0.8, 10**6, False)([batch]) for r in b.to_pylist()]
+    assert sorted(told) == sorted(x for x in every if (place[x[0]] - place[x[1]]) % 2 == 0) != sorted(every)
     monkeypatch.setattr(simhash, "MIDDLE", 20)
     got = [tuple(r.values()) for b in simhash._candidates(2, 0.8, 1, True)([batch]) for r in b.to_pylist()]
     assert sorted(a for a, o, _ in got if o is None) == sorted(node[(key == 5) | (key == 8)].tolist())
