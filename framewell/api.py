@@ -67,7 +67,7 @@ def dedup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radius
     catalog.save_groups(materialise(duplicates.dedup_groups(hashes, images, radius), "groups"), incremental=False)
     groups = catalog.read("dedup_groups")
     if move_to:
-        transfer.totals(materialise(transfer.carried_out(materialise(duplicates.move_plan(groups, images, move_to), "plan"), move=True), "moved")).show()
+        transfer.totals(materialise(transfer.carried_out(materialise(duplicates.move_plan(groups, images, move_to, files.names_in(catalog.spark, move_to)), "plan"), move=True), "moved")).show()
     return duplicates.dedup_summary(groups, images, failed)
 
 

@@ -15,15 +15,15 @@ def _dct(n: int) -> np.ndarray:
     return 2 * np.cos(np.pi * k[:, None] * (2 * k[None, :] + 1) / (2 * n))
 
 
-def grey(pixels: np.ndarray) -> np.ndarray:
+def grey(raster: np.ndarray) -> np.ndarray:
     """Luma of BGR(A) rows, as stored by the picture source; one channel stays."""
-    if pixels.shape[2] < 3:
-        return pixels[:, :, 0].astype(float)
-    return np.floor(pixels[:, :, :3].astype(float) @ [0.114, 0.587, 0.299])
+    if raster.shape[2] < 3:
+        return raster[:, :, 0].astype(float)
+    return np.floor(raster[:, :, :3].astype(float) @ [0.114, 0.587, 0.299])
 
 
 def shrunk(image: np.ndarray, side: int = SIDE) -> np.ndarray:
-    """Mean over the area of each target pixel (the picture is stretched to a square)."""
+    """Mean over the area of each target point (the picture is stretched to a square)."""
 
     def weights(n: int) -> np.ndarray:
         edges = np.linspace(0, n, side + 1)
@@ -33,10 +33,10 @@ def shrunk(image: np.ndarray, side: int = SIDE) -> np.ndarray:
     return weights(image.shape[0]) @ image @ weights(image.shape[1]).T
 
 
-def phash(pixels: np.ndarray) -> int:
+def phash(raster: np.ndarray) -> int:
     """Signed 64-bit hash: bit set where a coefficient is over the median of the 64 lowest, the first the highest bit."""
     d = _dct(SIDE)
-    low = (d @ shrunk(grey(pixels)) @ d.T)[:LOW, :LOW]
+    low = (d @ shrunk(grey(raster)) @ d.T)[:LOW, :LOW]
     bits = (low > np.median(low)).ravel()
     value = int("".join("1" if b else "0" for b in bits), 2)
     return value - (1 << 64) if value >> 63 else value

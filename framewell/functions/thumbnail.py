@@ -13,7 +13,7 @@ from framewell.config import CONFIG
 
 
 def _resampled(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over each target pixel's area; nearest rows and columns where the picture grows."""
+    """Means over each target point's area; nearest rows and columns where the picture grows."""
 
     def weights(n: int, m: int) -> np.ndarray:
         if m >= n:
@@ -26,9 +26,9 @@ def _resampled(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.einsum("ab,bcd,ec->aed", rows, image.astype(float), columns)
 
 
-def squared(pixels: np.ndarray, side: int = CONFIG.thumb_side) -> np.ndarray:
+def squared(raster: np.ndarray, side: int = CONFIG.thumb_side) -> np.ndarray:
     """RGB of a BGR(A) or grey picture, no larger than the side, in the middle of a black square of its longer side."""
-    rgb = pixels[:, :, [2, 1, 0]] if pixels.shape[2] >= 3 else np.repeat(pixels[:, :, :1], 3, axis=2)
+    rgb = raster[:, :, [2, 1, 0]] if raster.shape[2] >= 3 else np.repeat(raster[:, :, :1], 3, axis=2)
     h, w = rgb.shape[:2]
     scale = min(1.0, side / max(h, w))
     nh, nw = max(1, round(h * scale)), max(1, round(w * scale))

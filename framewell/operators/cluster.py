@@ -1,8 +1,10 @@
 """Density clustering: core distances, a spanning tree by rounds, a hierarchy cut at levels, and the refinements.
 
-The hierarchy of the usual algorithm is walked edge by edge by one process. Here it is cut at LEVELS distances, the
-quantiles of the tree's edges, and the clusters of each level are components, so every step is a join or a grouping.
-Clusters are then chosen by the same rule, the excess of mass (or the leaves), among those levels.
+The hierarchy of the usual algorithm is walked edge by edge by one process. Here it is cut at distances of the tree's
+edges: after each of the longest ones first, and further on each time that a share more of them (STEP) has been cut, so
+levels grow with the logarithm of the rows and no cluster that a few long edges set apart is missed. The clusters of
+each level are components, so every step is a join or a grouping. Clusters are then chosen by the same rule, the excess
+of mass (or the leaves), among those levels.
 """
 
 from __future__ import annotations
@@ -19,7 +21,18 @@ from framewell.plans.components import connected_components
 from framewell.plans.numbering import row_numbers
 from framewell.session import materialise
 
-LEVELS = 8
+#: Growth of the number of edges cut from level to level.
+STEP = 1.25
+
+
+def cut_ranks(edges: int) -> list[int]:
+    """How many of the longest edges each level cuts: 1, 2, 3 ... and then by STEP."""
+    out = []
+    k = 1
+    while k < edges:
+        out.append(k)
+        k = max(k + 1, round(k * STEP))
+    return out
 
 
 def core_distances(vectors: DataFrame, k: int) -> DataFrame:
@@ -90,8 +103,9 @@ def density_labels(vectors: DataFrame, size: int, samples: int | None = None, le
     tree = materialise(spanning_tree(rows, materialise(core_distances(rows, samples or max(2, size // 5)), "cores")), "tree")
     if tree.isEmpty():
         return rows.select("image_id", F.lit(-1).alias("cluster_id"))
-    shares = [1 - (k + 1) / (LEVELS + 1) for k in range(LEVELS)]
-    cuts = sorted({float(x) for x in tree.agg(F.percentile("weight", F.array(*map(F.lit, shares)))).first()[0] if x > 0}, reverse=True)
+    ranks = cut_ranks(tree.count())
+    longest = row_numbers(tree, [F.desc("weight"), "a", "b"]).filter(F.col("number").isin(ranks))
+    cuts = sorted({float(r["weight"]) for r in longest.select("weight").collect() if r["weight"] > 0}, reverse=True)  # one a level
     if not cuts:
         return rows.select("image_id", F.lit(-1).alias("cluster_id"))
     # the components of all levels at once: an edge belongs to each level whose cut it does not pass

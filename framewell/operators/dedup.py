@@ -222,12 +222,12 @@ def pending_dedup(images: DataFrame, hashes: DataFrame, failed: DataFrame) -> Da
     return left.limit(1).agg((F.count("*") > 0).alias("pending"))
 
 
-def move_plan(groups: DataFrame, images: DataFrame, folder: str) -> DataFrame:
-    """(src, dst, size) for every duplicate, with names free of collisions in the folder."""
+def move_plan(groups: DataFrame, images: DataFrame, folder: str, taken: DataFrame | None = None) -> DataFrame:
+    """(src, dst, size) for every duplicate, with names free of collisions in the folder, which holds those in `taken`."""
     from framewell.operators.names import unique_names
 
     rows = duplicates(groups).join(images, "image_id").select("path", "size")
-    return unique_names(rows).select(F.col("path").alias("src"), F.concat(F.lit(folder.rstrip("/") + "/"), F.col("unique_name")).alias("dst"), "size")
+    return unique_names(rows, taken).select(F.col("path").alias("src"), F.concat(F.lit(folder.rstrip("/") + "/"), F.col("unique_name")).alias("dst"), "size")
 
 
 def incremental_groups(images: DataFrame, old_hashes: DataFrame, new_hashes: DataFrame, failed: DataFrame, radius: int = CONFIG.hash_radius) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framewell.plans.numbering import row_numbers
+from framewell.session import materialise
+
 
 def cluster_numbers(clusters: DataFrame, columns: int = 3) -> DataFrame:
     """(cluster_id, number, grid_column, grid_row): clusters in order of id, numbered from 1 and laid out in rows.
@@ -28,13 +31,16 @@ def members(clusters: DataFrame, images: DataFrame) -> DataFrame:
     return clusters.join(images, "image_id").select("cluster_id", "path")
 
 
-def member_lists(clusters: DataFrame, images: DataFrame, most: int | None = None) -> DataFrame:
-    """(cluster_id, n, paths): paths in order, the first `most` where given. For clusters that fit a screen."""
-    rows = members(clusters, images)
-    if most is not None:
-        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("path")))
-        return rows.groupBy("cluster_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.col("path")))).alias("paths"))
-    return rows.groupBy("cluster_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
+def _numbered(clusters: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their number in the order of all by cluster and path; the first and last number of each cluster)."""
+    rows = materialise(row_numbers(members(clusters, images), ["cluster_id", "path"]), "numbered")
+    return rows, rows.groupBy("cluster_id").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+
+
+def member_places(clusters: DataFrame, images: DataFrame) -> DataFrame:
+    """(cluster_id, place, path): members of each cluster in order of path, from 1."""
+    rows, ends = _numbered(clusters, images)
+    return rows.join(ends, "cluster_id").select("cluster_id", (F.col("number") - F.col("low") + 1).alias("place"), "path")
 
 
 def top_clusters(clusters: DataFrame, images: DataFrame, n: int = 10, most: int = 10) -> DataFrame:
@@ -75,19 +81,20 @@ def prewarm_order(clusters: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def with_neighbours(clusters: DataFrame, images: DataFrame) -> DataFrame:
-    """(cluster_id, path, previous_path, next_path) by path, around the ends of each cluster."""
-    order = Window.partitionBy("cluster_id").orderBy("path")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = members(clusters, images)
-    return rows.select(
-        "cluster_id", "path",
-        F.coalesce(F.lag("path").over(order), F.last("path").over(whole)).alias("previous_path"),
-        F.coalesce(F.lead("path").over(order), F.first("path").over(whole)).alias("next_path"),
-    )
+    """(cluster_id, path, previous_path, next_path) by path, around the ends of each cluster.
+
+    A member's neighbours are looked up by its number in the order of all, so no task holds a cluster.
+    """
+    rows, ends = _numbered(clusters, images)
+    told = rows.join(ends, "cluster_id")
+    before = F.when(F.col("number") == F.col("low"), F.col("high")).otherwise(F.col("number") - 1)
+    after = F.when(F.col("number") == F.col("high"), F.col("low")).otherwise(F.col("number") + 1)
+    told = told.select("cluster_id", "path", before.alias("_before"), after.alias("_after"))
+    one = rows.select(F.col("number").alias("_before"), F.col("path").alias("previous_path"))
+    two = rows.select(F.col("number").alias("_after"), F.col("path").alias("next_path"))
+    return told.join(one, "_before").join(two, "_after").select("cluster_id", "path", "previous_path", "next_path")
 
 
 def cached(df: DataFrame) -> DataFrame:
     """A read-through result that later calls share, until unpersist()."""
     return df.cache()
-
-

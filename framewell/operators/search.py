@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from framewell.config import CONFIG
 from framewell.functions.vectors import constant, dot, l2_normalised
+from framewell.plans.numbering import row_numbers
 
 
 def normalised_index(vectors: DataFrame) -> DataFrame:
@@ -31,8 +32,9 @@ def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
 def ranked(scores: DataFrame, top: int | None) -> DataFrame:
     """Scores in order, ties by id, with their rank; no more than top where it is above 0."""
     order = [F.desc("score"), "image_id"]
-    cut = scores.orderBy(*order).limit(top) if top and top > 0 else scores
-    return cut.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if top and top > 0:  # so few rows are ranked by one task
+        return scores.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return row_numbers(scores, order, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def cosine_top(vectors: DataFrame, query: list[float], top: int | None = CONFIG.search_top) -> DataFrame:

@@ -24,10 +24,12 @@ def fresh(asked: DataFrame, thumbs: DataFrame) -> DataFrame:
 
 
 def get_or_create(asked: DataFrame, thumbs: DataFrame, make) -> tuple[DataFrame, DataFrame]:
-    """(all thumbnails asked for, those made now). make(df of path, mtime, size) returns it with a blob; nulls failed."""
+    """(all thumbnails asked for, those made now). make(df of path, mtime, size) returns it with a blob and its kind, ext
+    (webp where it names none); null blobs failed."""
     there = fresh(asked, thumbs).select(*KEY, "ext", "blob")
     new = make(asked.select(*KEY).distinct().join(thumbs.select(*KEY), KEY, "left_anti"))
-    new = new.filter("blob is not null").select(*KEY, F.lit("webp").alias("ext"), "blob")
+    ext = F.col("ext") if "ext" in new.columns else F.lit("webp").alias("ext")
+    new = new.filter("blob is not null").select(*KEY, ext, "blob")
     return there.unionByName(new), new
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import errno
+import filecmp
 import os
 import shutil
 
@@ -19,22 +21,41 @@ def export_plan(selected: DataFrame, images: DataFrame, folder: str, taken: Data
 
 
 def carried_out(plan: DataFrame, move: bool = False) -> DataFrame:
-    """(src, dst, size, done) after each file is copied or moved. A task that runs again finds its work done: a file is
-    written under a name of its own and renamed, and a target that stands already with the source gone counts as moved."""
+    """(src, dst, size, done) after each file is copied or moved. No file is ever written over: a target that stands
+    already and holds something else is a failure, and its source stays. A task that runs again finds its work done: a file
+    is written under a name of its own and then given the target's, and a target that holds the source's bytes, or stands
+    with the source gone, counts as carried."""
+
+    def placed(part: str, dst: str) -> None:
+        try:
+            os.link(part, dst)  # fails where the target stands
+        except OSError as e:
+            if e.errno == errno.EEXIST:
+                raise
+            with open(part, "rb") as data, open(dst, "xb") as out:  # a file system without links
+                shutil.copyfileobj(data, out)
+            shutil.copystat(part, dst)
 
     def one(src: str, dst: str) -> bool:
+        part = f"{dst}.part{os.getpid()}"
         try:
             if move and not os.path.exists(src):
                 return os.path.exists(dst)
-            os.makedirs(os.path.dirname(dst), exist_ok=True)
-            part = f"{dst}.part{os.getpid()}"
-            shutil.copy2(src, part)
-            os.replace(part, dst)
+            if os.path.lexists(dst):
+                if os.path.samefile(src, dst) or not filecmp.cmp(src, dst, shallow=False):
+                    return False
+            else:
+                os.makedirs(os.path.dirname(dst), exist_ok=True)
+                shutil.copy2(src, part)
+                placed(part, dst)
             if move:
                 os.remove(src)
             return True
         except OSError:
             return False
+        finally:
+            if os.path.exists(part):
+                os.remove(part)
 
     def run(batches):
         for b in batches:

@@ -533,9 +533,9 @@ def cluster_names(spark, sf):
     return display.cluster_names(fx.clusters(spark, sf))
 
 
-@query("SELECT cluster_id, count(*) AS n, string_agg(path, ',' ORDER BY path) AS paths FROM members GROUP BY 1", "clusters_v", "images_v", members=_MEMBERS)
+@query("SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY path) AS place, path FROM members", "clusters_v", "images_v", members=_MEMBERS)
 def cluster_members(spark, sf):
-    return display.member_lists(fx.clusters(spark, sf), fx.images(spark, sf)).withColumn("paths", F.array_join("paths", ","))
+    return display.member_places(fx.clusters(spark, sf), fx.images(spark, sf))
 
 
 @query("SELECT i.path, c.cluster_id FROM images_v i LEFT JOIN clusters_v c USING (image_id)", "clusters_v", "images_v")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -37,11 +38,19 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-framewell-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results are written: it does so once nobody refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"

@@ -52,6 +52,15 @@ def pictures(spark: SparkSession, files: DataFrame) -> DataFrame:
     return files.withColumn("content", F.lit(None).cast("binary")) if content is None else files.join(content, "path", "left")
 
 
+def names_in(spark: SparkSession, folder: str) -> DataFrame:
+    """(name) of the files that stand in a folder; a missing folder has none."""
+    rows = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], "name string")
+    return rows.load(folder).select(F.regexp_extract(_path(), "([^/]*)$", 1).alias("name"))
+
+
 def decoded(spark: SparkSession, root: str) -> DataFrame:
     """(path, height, width, channels, mode, data) of the pictures under a folder that the JVM can decode."""
     rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root)

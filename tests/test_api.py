@@ -40,6 +40,31 @@ def test_plans_are_carried_out(spark, tmp_path):
     assert not any((tmp_path / f"d{k}" / "a.jpg").exists() for k in range(4))
 
 
+def test_nothing_is_written_over(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    for name, data in {"a.jpg": b"mine", "b.jpg": b"same", "out/a.jpg": b"other", "out/b.jpg": b"same"}.items():
+        (tmp_path / name).write_bytes(data)
+    plan = spark.createDataFrame([(f"{tmp_path}/{n}", f"{tmp_path}/out/{n}", 4) for n in ("a.jpg", "b.jpg")], "src string, dst string, size long")
+    assert sorted((r.src[-5:], r.done) for r in transfer.carried_out(plan, move=True).collect()) == [("a.jpg", False), ("b.jpg", True)]
+    assert (tmp_path / "a.jpg").read_bytes() == b"mine" and (tmp_path / "out/a.jpg").read_bytes() == b"other"
+    assert not (tmp_path / "b.jpg").exists() and sorted(f.name for f in (tmp_path / "out").iterdir()) == ["a.jpg", "b.jpg"]
+
+
+def test_moves_pass_over_names_in_the_folder(spark, tree, tmp_path):  # noqa: F811
+    import shutil
+
+    shutil.copytree(tree, tmp_path / "in")
+    (tmp_path / "moved").mkdir()
+    for name in ("a.bmp", "a.BMP", "a_1.bmp"):
+        (tmp_path / "moved" / name).write_bytes(b"there before")
+    cat = Catalog(spark, str(tmp_path / "catalog"))
+    api.scan(cat, [f"{tmp_path}/in"], min_size=1000)
+    for k in range(2):
+        api.dedup(cat, move_to=str(tmp_path / "moved"))
+        left = sorted(f.name for f in (tmp_path / "moved").iterdir())
+        assert len(left) == 4 and all((tmp_path / "moved" / n).read_bytes() == b"there before" for n in ("a.bmp", "a.BMP", "a_1.bmp"))
+
+
 def test_catalog_verbs(spark, tree, tmp_path, capsys):  # noqa: F811
     cat = Catalog(spark, str(tmp_path / "catalog"))
     api.main(["--catalog", cat.root, "scan", "--path", f"{tree},{tree}/sub", "--min-size", "1"], spark)

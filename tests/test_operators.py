@@ -16,10 +16,10 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
 
-def bmp(pixels):
-    h, w, _ = pixels.shape
+def bmp(raster):
+    h, w, _ = raster.shape
     pad = b"\0" * (-3 * w % 4)
-    body = b"".join(pixels[k].tobytes() + pad for k in reversed(range(h)))
+    body = b"".join(raster[k].tobytes() + pad for k in reversed(range(h)))
     return b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(body), 0, 0, 54, 40, w, h, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
 
 
@@ -232,6 +232,17 @@ def test_density_clusters_and_rescues(spark):
     assert cluster.density_labels(df.limit(0), 5).count() == 0
 
 
+def test_sparse_cluster_beside_dense_ones(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 0.02, (60, 2)), rng.normal(3, 0.02, (60, 2)), rng.normal((40, -40), 1.0, (12, 2))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "image_id long, vector array<double>")
+    got = {r.image_id: r.cluster_id for r in cluster.density_labels(df, 8).collect()}
+    parts = [[got[i] for i in part] for part in (range(60), range(60, 120), range(120, 132))]
+    names = [max(set(p) - {-1}, key=p.count, default=-1) for p in parts]
+    assert len(set(names)) == 3 and -1 not in names and parts[2].count(names[2]) >= 11
+    assert cluster.cut_ranks(1) == [] and cluster.cut_ranks(7) == [1, 2, 3, 4, 5, 6] and len(cluster.cut_ranks(10**9)) < 120
+
+
 def test_embedding_batches_and_failures(spark):
     def load():
         def encode(values):
