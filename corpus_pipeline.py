@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.llm import langid, mixing, packing, secrets, simhash
-from framewell.session import materialise, on_workers
+from framewell.session import materialise, on_workers, release
 
 #: A text that costs so many bits a byte in its best language is no text in any of them (even bytes cost 8).
 REJECT_BITS = 7.5
@@ -46,7 +46,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _ready(stage):
-    return lambda spark, docs, sf_dir: stage(on_workers(spark), docs, sf_dir)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)  # the stage before is written
+        return stage(on_workers(spark), docs, sf_dir)
+
+    return run_stage
 
 
 STAGES = [
