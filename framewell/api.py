@@ -1,9 +1,10 @@
-"""The verbs of the catalog as functions, and as a command: scan, run, dedup, embed, cluster, search, phash-search, stats, clear."""
+"""The verbs of the catalog as functions, and as a command: scan, run, dedup, embed, cluster, search, phash-search, thumbnails, report, stats, clear."""
 
 from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from framewell.operators import embed as embedding
 from framewell.operators import search as searching
 from framewell.operators import transfer
 from framewell.operators.catalog import Catalog
-from framewell.operators.scan import stale, without_nested_roots
-from framewell.operators.stats import db_stats
+from framewell.operators.scan import report_by_extension, stale, without_nested_roots
+from framewell.operators.stats import cluster_report, db_stats
 from framewell.session import materialise
 from framewell.sources import files
 
@@ -51,7 +52,7 @@ def dedup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radius
     if full or not todo.isEmpty():
         decoded = None
         for root in [r["source"] for r in todo.select("source").distinct().collect()]:
-            some = files.decoded(catalog.spark, root)
+            some = files.decoded(catalog.spark, root, todo.filter(F.col("source") == root))
             decoded = some if decoded is None else decoded.unionByName(some)
         if decoded is not None:
             told = materialise(with_reasons(files.pictures(catalog.spark, todo.select("path", "source", "mtime")), hashed(decoded)).drop("content"), "hashed")
@@ -71,14 +72,21 @@ def dedup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radius
     return duplicates.dedup_summary(groups, images, failed)
 
 
-def embed(catalog: Catalog, load: Callable, full: bool = False) -> None:
-    """Vectors of images that are neither duplicates nor failed; load() brings the model (contents to vectors)."""
+def embed(catalog: Catalog, load: Callable, full: bool = False, a_commit: int = 100_000) -> None:
+    """Vectors of images that are neither duplicates nor failed; load() brings the model (contents to vectors).
+
+    They are committed in parts of about a_commit images, so a run that breaks off goes on where it was.
+    """
     images, groups = catalog.read("images"), catalog.read("dedup_groups")
     gone = duplicates.duplicates(groups).join(images, "image_id").select("path")
     saved = catalog.read("embeddings").limit(0) if full else catalog.read("embeddings")
     todo = materialise(stale(images, saved, gone, catalog.read("failed_files")), "todo")
-    new = materialise(embedding.embed(files.pictures(catalog.spark, todo), load), "vectors")
-    (catalog.replace if full else catalog.upsert)("embeddings", new)
+    if full:
+        catalog.replace("embeddings", saved)
+    parts = max(1, -(-todo.count() // a_commit))
+    for k in range(parts):
+        part = todo.filter(F.pmod(F.xxhash64("image_id"), F.lit(parts)) == k)
+        catalog.upsert("embeddings", materialise(embedding.embed(files.pictures(catalog.spark, part), load), "vectors"))
 
 
 def cluster(catalog: Catalog) -> DataFrame:
@@ -89,7 +97,7 @@ def cluster(catalog: Catalog) -> DataFrame:
 
 def search(catalog: Catalog, query: list[float], top_k: int | None = None, threshold: float = CONFIG.search_slack) -> DataFrame:
     """(path, score, rank) for a query's vector."""
-    found = searching.semantic_search(catalog.embeddings_without_duplicates(), query, top_k, threshold)
+    found = searching.semantic_search(catalog.search_index(), query, top_k, threshold)
     return found.join(catalog.read("images").select("image_id", "path"), "image_id").select("path", "score", "rank").orderBy("rank")
 
 
@@ -104,11 +112,12 @@ def prewarm_thumbnails(catalog: Catalog, limit: int | None = None) -> int:
     todo = materialise(catalog.missing_thumbnails(limit).join(catalog.read("images").select("image_id", "source"), "image_id"), "todo")
     decoded = None
     for root in [r["source"] for r in todo.select("source").distinct().collect()]:
-        some = files.decoded(catalog.spark, root)
+        some = files.decoded(catalog.spark, root, todo.filter(F.col("source") == root))
         decoded = some if decoded is None else decoded.unionByName(some)
     if decoded is None:
         return 0
-    made = thumbnails(decoded.join(todo.select("path"), "path", "left_semi")).filter("blob is not null")
+    turns = files.orientations(files.pictures(catalog.spark, todo.select("path", "source")).filter("content is not null"))
+    made = thumbnails(decoded.join(turns, "path", "left")).filter("blob is not null")
     new = materialise(made.join(todo.select("path", "mtime", "size"), "path"), "thumbs")
     catalog.save_thumbnails(new)
     return new.count()
@@ -121,6 +130,27 @@ def stats(catalog: Catalog) -> DataFrame:
     return db_stats(images, catalog.read("dedup_groups"), catalog.read("clusters"), pending)
 
 
+def reports(catalog: Catalog, folder: str | None = None) -> dict[str, DataFrame]:
+    """The reports of scans, duplicates, failures and clusters; with a folder each is written there as JSON lines."""
+    images, groups = catalog.read("images"), catalog.read("dedup_groups")
+    out = {
+        "extensions": report_by_extension(images),
+        "duplicates": duplicates.dedup_report(groups, images),
+        "largest_groups": duplicates.top_groups(groups),
+        "failures": duplicates.failure_reasons(catalog.read("failed_files")),
+        "clusters": cluster_report(catalog.read("clusters")),
+    }
+    for name, rows in out.items() if folder else ():
+        rows.write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+    return out
+
+
+def loader(name: str) -> Callable:
+    """The model's load function, named as module:function; workers must find the module too (--py-files)."""
+    module, _, function = name.partition(":")
+    return getattr(import_module(module), function or "load")
+
+
 def run_pipeline(catalog: Catalog, roots: list[str], load: Callable | None = None, **options) -> DataFrame:
     """Scan, dedup, and, where there is a model, embed and cluster."""
     scan(catalog, roots, **options)
@@ -142,6 +172,17 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         verb.add_argument("--exclude", default="", help="more directories to pass over")
         verb.add_argument("--min-size", type=int, default=CONFIG.min_size // 1024, help="KB")
         verb.add_argument("--full", action="store_true")
+    verbs.choices["run"].add_argument("--model", help="module:function that loads the model; without one, nothing is embedded")
+    verb = verbs.add_parser("embed")
+    verb.add_argument("--model", required=True, help="module:function that loads the model")
+    verb.add_argument("--full", action="store_true")
+    verb = verbs.add_parser("search")
+    verb.add_argument("query")
+    verb.add_argument("--model", required=True, help="module:function that loads the model for texts")
+    verb.add_argument("--top-k", type=int)
+    verb.add_argument("--threshold", type=float, default=CONFIG.search_slack)
+    verbs.add_parser("report").add_argument("--to", help="folder for the reports")
+    verbs.add_parser("thumbnails").add_argument("--limit", type=int)
     verb = verbs.add_parser("dedup")
     verb.add_argument("--move")
     verb.add_argument("--full", action="store_true")
@@ -154,7 +195,20 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     catalog = Catalog(spark or SparkSession.builder.getOrCreate(), o.catalog)
     if o.verb in ("scan", "run"):
         options = {"extensions": split_list(o.ext) or None, "exclude": split_list(o.exclude), "min_size": o.min_size * 1024, "full": o.full}
-        (scan(catalog, split_list(o.path), **options).groupBy("status").count() if o.verb == "scan" else run_pipeline(catalog, split_list(o.path), **options)).show()
+        if o.verb == "scan":
+            scan(catalog, split_list(o.path), **options).groupBy("status").count().show()
+        else:
+            run_pipeline(catalog, split_list(o.path), loader(o.model) if o.model else None, **options).show()
+    elif o.verb == "embed":
+        embed(catalog, loader(o.model), o.full)
+    elif o.verb == "search":
+        search(catalog, embedding.query_vector(loader(o.model), o.query), o.top_k, o.threshold).show(truncate=False)
+    elif o.verb == "report":
+        for name, rows in reports(catalog, o.to).items():
+            print(name)
+            rows.show(truncate=False)
+    elif o.verb == "thumbnails":
+        print(prewarm_thumbnails(catalog, o.limit))
     elif o.verb == "dedup":
         dedup(catalog, o.full, move_to=o.move).show()
     elif o.verb == "phash-search":

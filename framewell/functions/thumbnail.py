@@ -8,8 +8,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from framewell.config import CONFIG
+from framewell.functions.exif import turned
 
 
 def _resampled(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -51,16 +53,17 @@ def png(rgb: np.ndarray) -> bytes:
 
 
 def thumbnails(decoded: DataFrame, side: int = CONFIG.thumb_side, encode=png, ext: str = "png") -> DataFrame:
-    """(path, ext, blob) of decoded pictures; those that can't be read have a null blob."""
+    """(path, ext, blob) of decoded pictures, upright where they bring their orientation; those that can't be read have a null blob."""
 
     def run(batches):
         for b in batches:
             out = []
-            for height, width, channels, data in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+            for height, width, channels, data, how in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 try:
-                    out.append(encode(squared(np.frombuffer(data, np.uint8).reshape(height, width, channels), side)))
+                    out.append(encode(squared(turned(np.frombuffer(data, np.uint8).reshape(height, width, channels), how), side)))
                 except (TypeError, ValueError, IndexError):
                     out.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ext] * len(out), pa.string()), pa.array(out, pa.binary())], names=["path", "ext", "blob"])
 
-    return decoded.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, ext string, blob binary")
+    how = F.col("orientation") if "orientation" in decoded.columns else F.lit(1).alias("orientation")
+    return decoded.select("path", "height", "width", "channels", "data", how).mapInArrow(run, "path string, ext string, blob binary")

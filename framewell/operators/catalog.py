@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.operators import display, scan, selection, thumbs
+from framewell.operators import display, scan, search, selection, thumbs
 from framewell.operators.dedup import merge_groups_keeping_flags
 from framewell.operators.stats import db_stats
 from framewell.schema import CHILDREN, KEYS, TABLES, conform
@@ -17,7 +17,7 @@ class Catalog:
     """One writer at a time. A table's current version is the last one written whole; readers of older ones go on."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._index = spark, root.rstrip("/"), (None, None)
 
     def _fs(self, path: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -55,6 +55,7 @@ class Catalog:
         self.replace(table, self.read(table).join(rows.select(*keys).distinct(), keys, "left_anti"))
 
     def clear(self) -> None:
+        self.drop_index()
         for table in TABLES:
             fs, path = self._fs(f"{self.root}/{table}")
             fs.delete(path, True)
@@ -106,6 +107,19 @@ class Catalog:
         gone = self.read("dedup_groups").filter("is_canonical = 0").select("image_id")
         return self.read("embeddings").join(self.read("images").select("image_id"), "image_id").join(gone, "image_id", "left_anti")
 
+    def search_index(self) -> DataFrame:
+        """The vectors that searches meet, at unit length and in memory; made anew once a table behind them has a new version."""
+        behind = [(t, self.versions(t)[-1:]) for t in ("embeddings", "images", "dedup_groups")]
+        if self._index[0] != behind:
+            self.drop_index()
+            self._index = (behind, search.normalised_index(self.embeddings_without_duplicates().select("image_id", "vector")))
+        return self._index[1]
+
+    def drop_index(self) -> None:
+        if self._index[1] is not None:
+            self._index[1].unpersist()
+        self._index = (None, None)
+
     def save_groups(self, groups: DataFrame, incremental: bool = True) -> None:
         self.replace("dedup_groups", merge_groups_keeping_flags(self.read("dedup_groups"), groups) if incremental else groups)
 

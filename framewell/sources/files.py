@@ -5,12 +5,21 @@ Spark's file sources pass over names that begin with a dot or an underscore, and
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.config import CONFIG, EXTENSIONS
+from framewell.functions.exif import orientation
 from framewell.operators.scan import select_files
 
+#: Up to so many files of a root are decoded one by one instead of with all others of the root.
+FEW_FILES = 10_000
+#: Bytes in which a file tells how its camera was held: segments before it take 64 KB each.
+HEAD_BYTES = 1 << 18
+
 LISTING = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -61,9 +70,40 @@ def names_in(spark: SparkSession, folder: str) -> DataFrame:
     return rows.load(folder).select(F.regexp_extract(_path(), "([^/]*)$", 1).alias("name"))
 
 
-def decoded(spark: SparkSession, root: str) -> DataFrame:
-    """(path, height, width, channels, mode, data) of the pictures under a folder that the JVM can decode."""
-    rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root)
+def _all_files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
+
+
+def decoded(spark: SparkSession, root: str, only: DataFrame | None = None) -> DataFrame:
+    """(path, height, width, channels, mode, data) of the pictures under a folder that the JVM can decode.
+
+    only: the paths that are asked for. The picture source decodes whatever it is given, so a few of them are given by
+    name, after a listing without contents; with more, the root is decoded and the others fall out.
+    """
+    reader = spark.read.format("image").option("dropInvalid", True)
+    if only is not None:
+        there = _all_files(spark, root).select(F.col("path").alias("_listed"), _path().alias("path")).join(only.select("path").distinct(), "path", "left_semi")
+        names = [r["_listed"] for r in there.limit(FEW_FILES + 1).select("_listed").collect()]
+        if not names:
+            return spark.createDataFrame([], "path string, height int, width int, channels int, mode int, data binary")
+        if len(names) <= FEW_FILES:
+            return _unpacked(reader.load([re.sub(r"([\\\[\]{}*?])", r"\\\1", n) for n in names]))
+    rows = _unpacked(reader.option("recursiveFileLookup", True).load(root))
+    return rows if only is None else rows.join(only.select("path").distinct(), "path", "left_semi")
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
     # the picture source escapes its paths, other than the listing
     origin = F.url_decode(F.regexp_replace(_path("image.origin"), r"\+", "%2B"))
     return rows.select(origin.alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.mode", "image.data")
+
+
+def orientations(files: DataFrame) -> DataFrame:
+    """(path, orientation) of files (path, content) whose camera was turned; the tag stands in a file's first bytes."""
+
+    def run(batches):
+        for b in batches:
+            found = [(p, k) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (k := orientation(c)) != 1]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([k for _, k in found], pa.int32())], names=["path", "orientation"])
+
+    return files.select("path", F.substring("content", 1, HEAD_BYTES).alias("content")).mapInArrow(run, "path string, orientation int")
