@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
@@ -19,6 +20,15 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _letters(part: str) -> bool:
+    """Whether the tokenizer sees letters alone: in lower case, where a letter can become one with a mark after it."""
+    return part.isalpha() and (part.isascii() or part.lower().isalpha())
+
+
+def _width(word: str) -> int:
+    return len(word) if word.isascii() else len(unicodedata.normalize("NFC", word).lower().encode())
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space, lower-cases, and ends each word with a marked id.
 
@@ -37,17 +47,20 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.width = np.zeros(len(self.ends_word), np.int64)  # bytes of text an id stands for
+        for word, i in vocabulary.items():
+            self.width[i] = len(word.removesuffix("</w>"))
         self.known: dict[str, bytes] = {}
 
     def _learn(self, parts: list[str]) -> None:
         """Adds parts to what is known: words of letters are encoded as one text and told apart by their marked ends."""
         known, words, signs, other = self.known, [], [], []
         for p in parts:
-            if p.isalpha():
+            if _letters(p):
                 words.append(p)
             else:
                 core = p.rstrip(SIGNS)
-                if core != p and core.isalpha():
+                if core != p and _letters(core):
                     signs.append((p, core, p[len(core) :]))
                 else:
                     other.append(p)
@@ -57,7 +70,8 @@ class WordIds:
         if words:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(words):
+            spans = np.diff(np.append(0, np.cumsum(self.width[ids])[ends - 1])).tolist()
+            if len(ends) == len(words) and spans == [_width(w) for w in words]:
                 data, at = ids.tobytes(), 0
                 for w, end in zip(words, (2 * ends).tolist(), strict=True):
                     known[w] = data[at:end]

@@ -45,6 +45,21 @@ def test_word_ids_are_the_tokenizers():
     assert 49407 not in np.frombuffer(word_ids(plain_specials=True).encode("a <|endoftext|> b"), "<u2")
 
 
+def test_word_ids_of_random_strings_are_the_tokenizers():
+    tok, coder, rng = Tokenizer.from_file(default_path()), word_ids(), np.random.default_rng(5)
+    letters = list("abzAZİIıßẞÉéñΣσςАяЖ日本ǅŉK0٣7½²")
+    signs = list("!#$%&()*+,-./:;?@[]^_`{|}~'\"'’“—…€\u0301\u0307\u200d\u00ad")
+    blanks = [" ", " ", " ", "\n", "\t", "\u00a0", "\u0085", "\u2028", "\u3000", "\x1c"]
+    whole = ["<|endoftext|>", "<|startoftext|>", "GAZETESİ, 12 Mayıs", "BİRLİĞİ!", "it's", "we'll", "'S"]
+    for _ in range(40):
+        texts = []
+        for _ in range(500):
+            kinds = rng.choice(4, int(rng.integers(1, 14)), p=[0.55, 0.2, 0.2, 0.05])
+            texts.append("".join(str(rng.choice((letters, signs, blanks, whole)[k])) for k in kinds))
+        for text, e in zip(texts, tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(coder.encode(text), "<u2").tolist() == e.ids, ascii(text)
+
+
 def test_tail_is_powers_of_two():
     assert packing.sequence_bounds(4096 * 3) == (3, [12288])
     assert packing.sequence_bounds(4096 + 7) == (1, [4096, 4100, 4102, 4103])
