@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewell.session import materialise
 
 
-def _settle(parent: DataFrame) -> DataFrame:
+def settle(parent: DataFrame) -> DataFrame:
     """Follow (node, root) pointers until every root points to itself; each pass halves the remaining depth."""
     while True:
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("_up"))
@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_low")).select("node", F.least("node", "_low").alias("root"))
-        parent = _settle(materialise(parent, "hooks"))
+        parent = settle(materialise(parent, "hooks"))
         if label is None:
             label = parent
         else:
