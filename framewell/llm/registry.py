@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from framewell.llm.bestfit import op12_best_fit
 from framewell.llm.digests import op6_fingerprints
 from framewell.llm.langid import op7_language_id
 from framewell.llm.media import op8_media_columns
 from framewell.llm.mixing import op5_mixing
 from framewell.llm.packing import op4_packing
+from framewell.llm.ranked import OP13_SQL, op13_ranked_search
 from framewell.llm.secrets import OP1_SQL, op1_secret_scan
 from framewell.llm.separators import op3_token_counts
 from framewell.llm.simhash import op2_simhash_near_dedup
 from framewell.llm.substrings import OP10_SQL, op10_substring_dedup
+from framewell.llm.variants import op11_spelling_variants
 from framewell.llm.wrappers import op9_html_extraction
 
 QUERIES = {
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_best_fit": op12_best_fit,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op10_substring_dedup": OP10_SQL, "op13_ranked_search": OP13_SQL}

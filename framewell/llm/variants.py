@@ -157,57 +157,135 @@ class FMIndex:
 
 
 def one_error(index: FMIndex, words: list[np.ndarray], to_left: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(asking, found): words of the index with one error against words[asking], in the half that is extended to.
+    """(asking, found): each word of the index that words[asking] becomes by one error outside the half that stands.
 
-    to_left: the second half stands, and the error is before it; else the first half, and the error is after it. The
-    word that is equal is not found.
+    to_left: the second half stands, and the error is before it; else the first half, and the error is after it.
     """
     lengths = np.array([len(w) for w in words], np.int64)
-    halves = lengths // 2
-    # in reading order: what stands exactly, then what may have the error, then the word's other end
-    width = int(lengths.max()) + 1
-    table = np.zeros((len(words), width), np.int64)
+    exact = lengths - lengths // 2 if to_left else lengths // 2
+    # in reading order, from the end of the word that stands; 0, the separator, past the other end
+    table = np.zeros((len(words), int(lengths.max()) + 2), np.int64)
     for k, w in enumerate(words):
         table[k, : len(w)] = w[::-1] if to_left else w
-    exact = lengths - halves if to_left else halves
-    at, alive = index.of_separator(len(words)), np.arange(len(words))
-    done: list[tuple] = []
-
-    def push(who, where, interval, live) -> None:
-        """Branches that have had their error: who asks, the next symbol's place, the interval."""
-        on = np.flatnonzero(live)
-        if len(on):
-            done.append((who[on], where[on], tuple(x[on] for x in interval)))
-
-    for k in range(width):
-        # every word that stands whole up to here; from its exact part's end on an error may come now
-        all_of = index.extend(at, to_left)
-        reading = table[alive, k]  # 0 past the end
-        may = exact[alive] <= k
-        before = np.where(k > 0, table[alive, k - 1], -1) if k else np.full(len(alive), -1)
-        inside = k < lengths[alive]
-        if may.any():
-            row, symbol = np.nonzero((all_of[2] > 0) & may[:, None])
-            fits = symbol > 0
-            row, symbol = row[fits], symbol[fits]
-            took = tuple(x[row, symbol] for x in all_of)
-            place = np.full(len(row), k)
-            other = symbol != reading[row]
-            push(alive[row], place + 1, took, other & inside[row])  # replaced
-            # one more: beside an equal one it is the same as on that one's far side
-            push(alive[row], place, took, other)
-            rows = np.arange(len(alive))
-            push(alive, np.full(len(alive), k + 1), tuple(x[rows] for x in at), may & inside & (reading != np.append(table, np.zeros((len(words), 1), np.int64), axis=1)[alive, k + 1]))  # one less, of equal ones the last
-        keep = np.flatnonzero((all_of[2][np.arange(len(alive)), reading] > 0) & inside)
-        at = tuple(x[keep, reading[keep]] for x in all_of)
-        alive = alive[keep]
-        # branches go on together
-        if done:
-            who, where, interval = (np.concatenate([d[j] for d in done]) for j in (0, 1)), None, None
-            who, where = who
-            interval = tuple(np.concatenate([d[2][j] for d in done]) for j in range(3))
-            done = []
-            yield_from.append(_finish(index, table, lengths, who, where, interval, to_left))
-        if not len(alive):
-            break
-    raise NotImplementedError
+    alive, at = np.arange(len(words)), index.of_separator(len(words))
+    who, place, since = np.empty(0, np.int64), np.empty(0, np.int64), tuple(np.empty(0, np.int64) for _ in range(3))
+    asking, found, k = [], [], 0
+    while len(alive) or len(who):
+        new = [(who, place, since)]
+        if len(alive):
+            every, reading = index.extend(at, to_left), table[alive, k]
+            open_ = exact[alive] <= k
+            row, symbol = np.nonzero((every[2] > 0) & open_[:, None] & (np.arange(index.kinds) != reading[:, None]))
+            row, symbol = row[symbol > 0], symbol[symbol > 0]
+            other = tuple(x[row, symbol] for x in every)
+            asks, inside = alive[row], reading[row] > 0
+            new.append((asks[inside], np.full(int(inside.sum()), k + 1), tuple(x[inside] for x in other)))  # replaced
+            new.append((asks, np.full(len(row), k), other))  # one more; an equal one is taken at the end of its run
+            less = open_ & (reading > 0) & (reading != table[alive, k + 1]) & (lengths[alive] > 1)  # one less, the last of its run
+            new.append((alive[less], np.full(int(less.sum()), k + 1), tuple(x[less] for x in at)))
+            going = np.flatnonzero((reading > 0) & (every[2][np.arange(len(alive)), reading] > 0))
+            at, alive = tuple(x[going, reading[going]] for x in every), alive[going]
+            k += 1
+        who, place = (np.concatenate([x[j] for x in new]) for j in (0, 1))
+        since = tuple(np.concatenate([x[2][j] for x in new]) for j in range(3))
+        if len(who):
+            since = index.step(since, table[who, place], to_left)
+            ended = (since[2] > 0) & (place == lengths[who])
+            asking.append(who[ended])
+            found.append(index.number[index.order[since[0][ended]]])
+            on = (since[2] > 0) & ~ended
+            who, place, since = who[on], place[on] + 1, tuple(x[on] for x in since)
+    return (np.concatenate(asking), np.concatenate(found)) if asking else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _chunks(words: list[np.ndarray], most: int = 1024, cells: int = 1 << 20):
+    """Places of the words, by length, in runs that fit a table."""
+    order, run, longest = sorted(range(len(words)), key=lambda k: len(words[k])), [], 0
+    for k in order:
+        longest = len(words[k]) + 2
+        if run and (len(run) >= most or longest * (len(run) + 1) > cells):
+            yield run
+            run = []
+        run.append(k)
+    if run:
+        yield run
+
+
+def _search(table: pa.Table) -> pa.Table:
+    """One shard: (word, n_near, best_n, best) of the words that ask and have near words in it."""
+    columns = {c: table.column(c).to_pylist() for c in ("word", "n", "to_left", "held", "asks")}
+    held = {w: n for w, n, h in zip(columns["word"], columns["n"], columns["held"], strict=True) if h}
+    known, counts = sorted(held), np.array([held[w] for w in sorted(held)], np.int64)
+    ask = [(w, left) for w, left, a in zip(columns["word"], columns["to_left"], columns["asks"], strict=True) if a]
+    out: list[list] = [[], [], [], []]
+    if known and ask:
+        letters = {c: k for k, c in enumerate(sorted({c for w in known for c in w} | {c for w, _ in ask for c in w}), 1)}
+        index = FMIndex([np.fromiter(map(letters.get, w), np.int64, len(w)) for w in known], len(letters) + 1)
+        for left in (False, True):
+            asking = [w for w, x in ask if x == left]
+            coded = [np.fromiter(map(letters.get, w), np.int64, len(w)) for w in asking]
+            for run in _chunks(coded):
+                who, found = one_error(index, [coded[k] for k in run], left)
+                who = np.array(run)[who]
+                if left:  # what has the first half as well was found from there
+                    apart = [known[v][: len(asking[u]) // 2] != asking[u][: len(asking[u]) // 2] for u, v in zip(who.tolist(), found.tolist(), strict=True)]
+                    who, found = who[np.array(apart, bool)], found[np.array(apart, bool)]
+                order = np.lexsort((found, -counts[found], who))  # known is in order of code points
+                who, found = who[order], found[order]
+                first = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.empty(0, np.int64)
+                for a, z in zip(first.tolist(), [*first[1:].tolist(), len(who)], strict=True) if len(first) else ():
+                    for column, x in zip(out, (asking[who[a]], z - a, int(counts[found[a]]), known[found[a]]), strict=True):
+                        column.append(x)
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["word", "n_near", "best_n", "best"])
+
+
+def near_words(words: DataFrame) -> DataFrame:
+    """(word, n_near, best_n, best) of each word with near ones: how many there are and which of them occurs most.
+
+    words: (word, n), each word once. Ties go to the smallest word in the order of code points. All near words of the
+    table count; words of any length are taken, an empty or null one is near to none.
+    """
+    keyed = words.filter("word <> ''").select(
+        "word", "n", F.char_length("word").alias("size"),
+        F.expr("array_distinct(flatten(transform(array(-1, 0, 1), d -> array("
+               "named_struct('to_left', false, 'key', left(word, (char_length(word) + d) div 2)),"
+               "named_struct('to_left', true, 'key', right(word, (char_length(word) + d + 1) div 2))))))").alias("keys"),
+    )
+    keyed = keyed.select("word", "n", "size", F.explode("keys").alias("k")).select("word", "n", "size", "k.to_left", "k.key")
+    asks = F.char_length("key") == F.when(F.col("to_left"), F.expr("(size + 1) div 2")).otherwise(F.expr("size div 2"))
+    rows = materialise(keyed.withColumn("asks", asks), "keyed")
+    sizes = materialise(rows.groupBy("to_left", "key").agg(F.sum("size").alias("chars")), "keys")
+    total = sizes.agg(F.sum("chars").alias("n")).first()["n"] or 0
+    hot = materialise(sizes.filter(F.col("chars") > SHARD).select("to_left", "key", F.ceil(F.col("chars") / SHARD).cast("int").alias("parts")), "hot")
+    told = rows.join(small(hot), ["to_left", "key"], "left")
+    cold = told.filter("parts is null").select(F.pmod(F.xxhash64("to_left", "key"), F.lit(max(1, -(-total // SHARD)))).alias("shard"), F.lit(None).cast("string").alias("key"), "to_left", "word", "n", F.lit(True).alias("held"), "asks")
+    many = told.filter("parts is not null")
+    own = F.pmod(F.xxhash64("word"), F.col("parts").cast("long"))
+    mine = many.select(own.alias("shard"), "key", "to_left", "word", "n", F.lit(True).alias("held"), F.lit(False).alias("asks"))
+    guests = many.filter("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("shard"), "key", "to_left", "word", "n", F.lit(False).alias("held"), "asks")
+    dealt = cold.unionByName(mine).unionByName(guests)
+    # words of one hot beginning and of one hot ending don't share a shard: a word would be found in two
+    side = F.when(F.col("key").isNotNull(), F.col("to_left")).alias("side")
+    found = dealt.groupBy("shard", "key", side).applyInArrow(lambda table: _search(table), "word string, n_near long, best_n long, best string")
+    best = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("less"), "best")).alias("b"))
+    return best.select("word", "n_near", (-F.col("b.less")).alias("best_n"), F.col("b.best").alias("best"))
+
+
+def spelling_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
+    """(word, form, root, n, n_near, form_n) for every row of words (word, n; each word once).
+
+    form: the near word that occurs most, if that is `ratio` times as often as the word or more, else null. root: where
+    the forms lead, the word itself where it has none. Counts rise along forms, so there is no circle.
+    """
+    words = materialise(words.select("word", "n"), "vocabulary")
+    near = near_words(words)
+    told = words.join(near, "word", "left")
+    is_form = F.col("best_n") >= F.col("n") * ratio
+    told = materialise(told.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, F.col("best")).alias("form"), F.when(is_form, F.col("best_n")).alias("form_n")), "near")
+    roots = settle(told.filter("form is not null").select(F.col("word").alias("node"), F.col("form").alias("root")))
+    return told.join(roots.withColumnRenamed("node", "word"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def op11_spelling_variants(spark, sf_dir: str) -> DataFrame:
+    return spelling_variants(vocabulary(spark.read.parquet(f"{sf_dir}/documents.parquet")))
