@@ -25,4 +25,4 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
 def test_one_query_for_each_operator():
     import re
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
