@@ -1,7 +1,9 @@
-"""Nearest neighbours by blocks, and the votes over them."""
+"""Nearest neighbours by a metric partition, and the votes over them."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,61 +11,110 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewell.config import CONFIG
+from framewell.plans.pivots import BLOCK, Blocks, choose_pivots, distances, partition, unpack
 from framewell.session import materialise
 
-#: Vectors in a block; a task holds two blocks and their distances.
-BLOCK = 2048
-
 
-def blocks(vectors: DataFrame, name: str, extra: list[str] | None = None) -> tuple[DataFrame, int]:
-    """(block number, arrays of ids, vectors and extras) of about BLOCK rows each, and the number of blocks."""
-    n = max(1, -(-vectors.count() // BLOCK))
-    fields = F.struct("image_id", F.col("vector").cast("array<double>").alias("vector"), *(extra or []))
-    grouped = vectors.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(n)).alias(name)).agg(F.collect_list(fields).alias(f"{name}_rows"))
-    return materialise(grouped, "blocks"), n
+@dataclass
+class Meetings:
+    """Which blocks of queries have to meet which blocks of training rows, with what each query knows by then."""
 
+    queries: DataFrame  # (block, rows, reach): reach, a number a query, is no less than its k-th distance
+    train: Blocks
+    pairs: DataFrame  # (block, other)
+    possible: int
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, row by row of a, from differences, so that equal vectors are at 0."""
-    out = np.empty((len(a), len(b)))
-    for k, row in enumerate(a):
-        out[k] = np.sqrt(((b - row) ** 2).sum(axis=1))
-    return out
+    def share(self) -> float:
+        """Share of all pairs of blocks that meet."""
+        return self.pairs.count() / self.possible if self.possible else 0.0
 
 
-def _matrix(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r["image_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64)
+def meetings(queries: DataFrame, train: DataFrame, k: int = CONFIG.knn, itself: bool = True, block: int = BLOCK) -> Meetings | None:
+    """Plan of an exact search; None if either side is empty.
 
+    Each block of queries first meets one block near to it, which bounds the k-th distance of each of its queries. Then
+    it has to meet the blocks that may hold a row no farther than that.
+    """
+    queries, train = queries.select("image_id", "vector"), train.select("image_id", "vector")
+    n_train, n_queries = train.count(), queries.count()
+    if not n_train or not n_queries:
+        return None
+    pivots = choose_pivots(train, n_train, block)
+    found = partition(train, pivots, n_train, block)
+    asked = found if queries.sameSemantics(train) else partition(queries, pivots, n_queries, block)
+    known, least = found.without_rows(), k if itself else k + 1
+
+    def home(batches):
+        full = np.flatnonzero(known.n >= least)
+        for b in batches:
+            out = []
+            for cell in b.column(1):
+                x = unpack(cell)["vector"]
+                far = known.bounds(distances(x[:: max(1, len(x) // 64)], pivots)).mean(axis=0)  # where to look first is a guess
+                out.append(int(known.numbers[full[far[full].argmin()] if len(full) else known.n.argmax()]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["block", "other"])
+
+    def reached(batches):
+        for b in batches:
+            out = []
+            for mine, theirs in zip(b.column(1), b.column(2), strict=True):
+                q, t = unpack(mine), unpack(theirs)
+                far = distances(q["vector"], t["vector"])
+                if not itself:
+                    far[q["image_id"][:, None] == t["image_id"][None, :]] = np.inf
+                out.append(np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] >= k else np.full(len(far), np.inf))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64()))], names=["block", "rows", "reach"])
 
-def knn_join(queries: DataFrame, train: DataFrame, k: int = CONFIG.knn, itself: bool = True) -> DataFrame:
+    def meet(batches):
+        for b in batches:
+            mine, other = [], []
+            for number, cell, reach in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                x, reach = unpack(cell)["vector"], reach.values.to_numpy()
+                on = np.zeros(len(known.numbers), bool)
+                step = max(1, (1 << 22) // len(on))
+                for at in range(0, len(x), step):
+                    on |= (known.bounds(distances(x[at : at + step], pivots)) <= reach[at : at + step, None]).any(axis=0)
+                other += known.numbers[on].tolist()
+                mine += [number] * int(on.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array(other, pa.int64())], names=["block", "other"])
+
+    theirs = found.rows.select(F.col("block").alias("other"), F.col("rows").alias("theirs"))
+    kind = asked.rows.schema["rows"].dataType.simpleString()
+    first = asked.rows.mapInArrow(home, "block long, other long").join(asked.rows, "block").join(theirs, "other").select("block", "rows", "theirs")
+    told = materialise(first.mapInArrow(reached, f"block long, rows {kind}, reach array<double>"), "reach")
+    pairs = materialise(told.mapInArrow(meet, "block long, other long"), "meetings")
+    return Meetings(told, found, pairs, len(asked.numbers) * len(found.numbers))
+
+
+def knn_join(queries: DataFrame, train: DataFrame, k: int = CONFIG.knn, itself: bool = True, block: int = BLOCK) -> DataFrame:
     """(query_id, image_id, distance, rank): the k nearest training rows of each query, ties by id; exact.
 
-    Both sides are cut into blocks; each query block meets each training block in one task by a join on the block's
-    number, and leaves k rows a query, so neither side is held whole anywhere. itself: whether a row may be its own
-    neighbour.
+    Blocks of queries meet the blocks of training rows that may hold one of the k, two at a time in a task, and leave k
+    rows a query at most, so neither side is held whole anywhere. itself: whether a row may be its own neighbour.
     """
-    left, _ = blocks(queries.select("image_id", "vector"), "q")
-    right, n = blocks(train.select("image_id", "vector"), "t")
-    met = left.select("q_rows", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t")).join(right, "t")
+    plan = meetings(queries, train, k, itself, block)
+    if plan is None:
+        return queries.sparkSession.createDataFrame([], "query_id long, image_id long, distance double, rank int")
+    theirs = plan.train.rows.select(F.col("block").alias("other"), F.col("rows").alias("theirs"))
+    met = plan.pairs.join(plan.queries, "block").join(theirs, "other")
 
     def run(batches):
         for b in batches:
             out: list[list] = [[], [], []]
-            for row in b.to_pylist():
-                qi, qv = _matrix(row["q_rows"])
-                ti, tv = _matrix(row["t_rows"])
-                far = distances(qv, tv)
+            for mine, reach, other in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                q, t, reach = unpack(mine), unpack(other), reach.values.to_numpy()
+                far = distances(q["vector"], t["vector"])
                 if not itself:
-                    far[qi[:, None] == ti[None, :]] = np.inf
-                for i, d in zip(qi, far, strict=True):
-                    near = np.lexsort((ti, d))[:k]
-                    near = near[np.isfinite(d[near])]
+                    far[q["image_id"][:, None] == t["image_id"][None, :]] = np.inf
+                for i, d, most in zip(q["image_id"], far, reach, strict=True):
+                    near = np.flatnonzero((d <= most) & np.isfinite(d))
+                    near = near[np.lexsort((t["image_id"][near], d[near]))[:k]]
                     out[0] += [i] * len(near)
-                    out[1] += ti[near].tolist()
+                    out[1] += t["image_id"][near].tolist()
                     out[2] += d[near].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "image_id", "distance"])
 
-    some = met.select("q_rows", "t_rows").repartition(max(1, n)).mapInArrow(run, "query_id long, image_id long, distance double")
+    some = met.select("rows", "reach", "theirs").mapInArrow(run, "query_id long, image_id long, distance double")
     turn = Window.partitionBy("query_id").orderBy("distance", "image_id")
     return some.withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= k)
 
