@@ -1,154 +1,36 @@
-"""Density clustering: core distances, a spanning tree by rounds, a hierarchy cut at levels, and the refinements.
-
-The hierarchy of the usual algorithm is walked edge by edge by one process. Here it is cut at distances of the tree's
-edges: after each of the longest ones first, and further on each time that a share more of them (STEP) has been cut, so
-levels grow with the logarithm of the rows and no cluster that a few long edges set apart is missed. The clusters of
-each level are components, so every step is a join or a grouping. Clusters are then chosen by the same rule, the excess
-of mass (or the leaves), among those levels.
-"""
+"""Density clustering: core distances, a spanning tree, its whole hierarchy, and the refinements."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewell.config import CONFIG, min_cluster_size, sub_min_cluster_size
 from framewell.functions.vectors import l2_normalised
-from framewell.operators.neighbours import _matrix, blocks, distances, knn_join, knn_rescue, noise_rescue
-from framewell.plans.components import connected_components
-from framewell.plans.numbering import row_numbers
+from framewell.operators import spanning
+from framewell.operators.hierarchy import hierarchy_labels
+from framewell.operators.neighbours import knn_join, knn_rescue, noise_rescue
+from framewell.operators.spanning import reachable as mutual_reachability  # noqa: F401
+from framewell.operators.spanning import spanning_tree
 from framewell.session import materialise
 
-#: Growth of the number of edges cut from level to level.
-STEP = 1.25
-
-
-def cut_ranks(edges: int) -> list[int]:
-    """How many of the longest edges each level cuts: 1, 2, 3 ... and then by STEP."""
-    out = []
-    k = 1
-    while k < edges:
-        out.append(k)
-        k = max(k + 1, round(k * STEP))
-    return out
-
 
 def core_distances(vectors: DataFrame, k: int) -> DataFrame:
     """(image_id, core): distance to the k-th nearest row, the row itself counted as the first."""
-    near = knn_join(vectors, vectors, k)
-    return near.groupBy(F.col("query_id").alias("image_id")).agg(F.max("distance").alias("core"))
-
-
-def mutual_reachability(near: DataFrame, cores: DataFrame) -> DataFrame:
-    """Pairs (query_id, image_id, distance) with `reach`: no less than the distance or either core distance."""
-    a, b = cores.select(F.col("image_id").alias("query_id"), F.col("core").alias("_a")), cores.select("image_id", F.col("core").alias("_b"))
-    return near.join(a, "query_id").join(b, "image_id").withColumn("reach", F.greatest("distance", "_a", "_b")).drop("_a", "_b")
-
-
-def spanning_tree(vectors: DataFrame, cores: DataFrame) -> DataFrame:
-    """(a, b, weight), a < b: a minimum spanning tree under mutual reachability, ties by (weight, a, b).
-
-    Rounds of joining each component to its nearest neighbour: blocks of rows meet blocks of rows, and each meeting
-    leaves one candidate a component. Components at least halve in number from round to round.
-    """
-    label = materialise(vectors.select("image_id", F.col("image_id").alias("component")), "label")
-    tree = None
-    while True:
-        told = vectors.join(cores, "image_id").join(label, "image_id")
-        left, _ = blocks(told, "q", ["core", "component"])
-        right, n = left.select(F.col("q").alias("t"), F.col("q_rows").alias("t_rows")), left.count()
-        met = left.join(F.broadcast(left.select(F.collect_list("q").alias("ts"))), F.lit(True)).select("q_rows", F.explode("ts").alias("t")).join(right, "t")
-
-        def run(batches):
-            for b in batches:
-                best: dict[int, tuple] = {}
-                for row in b.to_pylist():
-                    (qi, qv), (ti, tv) = _matrix(row["q_rows"]), _matrix(row["t_rows"])
-                    qc, tc = (np.array([r["core"] for r in row[x]]) for x in ("q_rows", "t_rows"))
-                    qk, tk = (np.array([r["component"] for r in row[x]], np.int64) for x in ("q_rows", "t_rows"))
-                    reach = np.maximum(distances(qv, tv), np.maximum(qc[:, None], tc[None, :]))
-                    reach[qk[:, None] == tk[None, :]] = np.inf
-                    for i in range(len(qi)):
-                        low = reach[i].min()
-                        if np.isfinite(low):
-                            for j in np.flatnonzero(reach[i] == low).tolist():
-                                edge = (float(low), int(min(qi[i], ti[j])), int(max(qi[i], ti[j])))
-                                if edge < best.get(int(qk[i]), (np.inf,)):
-                                    best[int(qk[i])] = edge
-                yield pa.RecordBatch.from_arrays([pa.array([*best], pa.int64()), *(pa.array([e[k] for e in best.values()], t) for k, t in enumerate((pa.float64(), pa.int64(), pa.int64())))], names=["component", "weight", "a", "b"])
-
-        found = met.select("q_rows", "t_rows").repartition(max(1, n)).mapInArrow(run, "component long, weight double, a long, b long")
-        new = materialise(found.groupBy("component").agg(F.min(F.struct("weight", "a", "b")).alias("e")).select("e.*").distinct(), "tree")
-        if new.isEmpty():
-            return tree if tree is not None else new.select("a", "b", "weight")
-        tree = new.select("a", "b", "weight") if tree is None else tree.unionByName(new.select("a", "b", "weight"))
-        ends = label.withColumnRenamed("component", "_c")
-        joined = new.join(ends.withColumnRenamed("image_id", "a").withColumnRenamed("_c", "src"), "a").join(ends.withColumnRenamed("image_id", "b").withColumnRenamed("_c", "dst"), "b")
-        merged = connected_components(joined.select("src", "dst")).select(F.col("node").alias("component"), F.col("component").alias("_to"))
-        label = materialise(label.join(merged, "component", "left").select("image_id", F.coalesce("_to", "component").alias("component")), "label")
+    return spanning.core_distances(knn_join(vectors, vectors, k), k)
 
 
 def density_labels(vectors: DataFrame, size: int, samples: int | None = None, leaf: bool = False) -> DataFrame:
     """(image_id, cluster_id): -1 for noise, clusters from 1 by their smallest member.
 
-    size: members that make a cluster. A cluster lives through the levels until it splits into several of that size or
-    falls below it; its mass is the sum over its levels of members times the gain in density (1 / distance). It is
-    chosen if its mass is no less than that of what it splits into; with `leaf` the last ones are chosen. The whole set is never one cluster.
+    size: members that make a cluster. Clusters are chosen from the whole hierarchy by excess of mass; with `leaf` the
+    ones that don't split are chosen. The whole set is never one cluster.
     """
     rows = materialise(vectors.select("image_id", "vector"), "vectors")
-    if rows.isEmpty():
-        return rows.select("image_id", F.lit(-1).alias("cluster_id"))
-    tree = materialise(spanning_tree(rows, materialise(core_distances(rows, samples or max(2, size // 5)), "cores")), "tree")
-    if tree.isEmpty():
-        return rows.select("image_id", F.lit(-1).alias("cluster_id"))
-    ranks = cut_ranks(tree.count())
-    longest = row_numbers(tree, [F.desc("weight"), "a", "b"]).filter(F.col("number").isin(ranks))
-    cuts = sorted({float(r["weight"]) for r in longest.select("weight").collect() if r["weight"] > 0}, reverse=True)  # one a level
-    if not cuts:
-        return rows.select("image_id", F.lit(-1).alias("cluster_id"))
-    # the components of all levels at once: an edge belongs to each level whose cut it does not pass
-    cut = F.array(*map(F.lit, cuts))
-    within = tree.select("a", "b", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(cuts) - 1)), lambda k: F.col("weight") <= F.element_at(cut, k + 1))).alias("level"))
-    label = connected_components(within.select(F.xxhash64("level", "a").alias("src"), F.xxhash64("level", "b").alias("dst")))
-    places = rows.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1))).alias("level")).withColumn("node", F.xxhash64("level", "image_id"))
-    levels = materialise(places.join(label, "node").select("level", "image_id", F.col("component").alias("cluster")), "levels")
-    sizes = levels.groupBy("level", "cluster").agg(F.count("*").alias("n"), F.min("image_id").alias("member")).filter(F.col("n") >= size)
-    levels = materialise(levels.join(sizes.select("level", "cluster"), ["level", "cluster"], "left_semi"), "levels")
-    above = levels.select((F.col("level") + 1).alias("level"), "image_id", F.col("cluster").alias("parent"))
-    nodes = materialise(sizes.join(levels.join(above, ["level", "image_id"]).groupBy("level", "cluster").agg(F.min("parent").alias("parent")), ["level", "cluster"], "left"), "nodes")
-    gain = {k: 1 / cuts[k] - (1 / cuts[k - 1] if k else 0) for k in range(len(cuts))}
-    below, done = None, []
-    for k in reversed(range(len(cuts))):
-        here = nodes.filter(F.col("level") == k).select("level", "cluster", "parent", "n", (F.col("n") * F.lit(gain[k])).alias("own"))
-        if below is None:
-            here = here.select("*", F.lit(0).alias("kids"), F.lit(0.0).alias("sub"), F.col("own").alias("keep"))
-        else:
-            kids = below.groupBy(F.col("parent").alias("cluster")).agg(F.count("*").alias("kids"), F.sum(F.greatest("keep", "sub")).alias("_best"), F.max("keep").alias("_keep"), F.max("sub").alias("_sub"))
-            one = F.coalesce("kids", F.lit(0)) == 1
-            here = here.join(kids, "cluster", "left").select(
-                "level", "cluster", "parent", "n", "own", F.coalesce("kids", F.lit(0)).alias("kids"),
-                F.when(one, F.col("_sub")).otherwise(F.coalesce("_best", F.lit(0.0))).alias("sub"),
-                F.when(one, F.col("own") + F.col("_keep")).otherwise(F.col("own")).alias("keep"),
-            )
-        below = materialise(here, "masses")
-        done.append(below)
-    masses, chosen, taken = done[::-1], None, None
-    whole = rows.count()
-    for k, here in enumerate(masses):
-        open_ = here if taken is None else here.join(taken.select(F.col("cluster").alias("parent")), "parent", "left_anti")
-        good = (F.col("sub") == 0.0) if leaf else F.col("keep") >= F.col("sub")
-        now = open_.filter(good & (F.col("n") < whole)).select("level", "cluster")
-        chosen = now if chosen is None else chosen.unionByName(now)
-        under = now if taken is None else now.unionByName(here.join(taken.select(F.col("cluster").alias("parent")), "parent", "left_semi").select("level", "cluster"))
-        taken = materialise(under, "taken")
-    members = levels.join(chosen, ["level", "cluster"]).groupBy("image_id").agg(F.min(F.struct("level", "cluster")).alias("c")).select("image_id", "c.*")
-    members = materialise(members, "members")
-    names = row_numbers(members.groupBy("level", "cluster").agg(F.min("image_id").alias("first")), ["first"])
-    names = names.select("level", "cluster", (F.col("number") + 1).cast("int").alias("cluster_id"))
-    told = members.join(names, ["level", "cluster"]).select("image_id", "cluster_id")
-    return rows.select("image_id").join(told, "image_id", "left").select("image_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+    k = samples or max(2, size // 5)
+    near = materialise(knn_join(rows, rows, max(k, spanning.NEAR)), "near")
+    tree = spanning_tree(rows, materialise(spanning.core_distances(near, k), "cores"), near)
+    return hierarchy_labels(materialise(tree, "tree"), rows, size, leaf)
 
 
 def reduced(vectors: DataFrame, components: int = CONFIG.reduce_to) -> DataFrame:
