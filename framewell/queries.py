@@ -490,16 +490,53 @@ def mutual_reachability(spark, sf):
     return cluster.mutual_reachability(near, cores).select("query_id", "image_id", F.round("reach", 6).alias("reach"))
 
 
-@query()
+def _tree_sql(core_rank: int) -> dict[str, str]:
+    """A spanning tree in SQL: pairs by (reach, a, b) have ranks, and rows are taken in one by one by the least of them."""
+    return {
+        "core": f"SELECT query_id AS image_id, max(distance) AS core FROM knn WHERE rank <= {core_rank} GROUP BY 1",
+        "pair AS MATERIALIZED": "SELECT p.a, p.b, greatest(p.d, x.core, y.core) AS weight, row_number() OVER (ORDER BY greatest(p.d, x.core, y.core), a, b) AS r FROM "
+        "(SELECT q.image_id AS a, t.image_id AS b, list_distance(q.vector, t.vector) AS d FROM vectors_v q JOIN vectors_v t ON q.image_id < t.image_id) p JOIN core x ON x.image_id = a JOIN core y ON y.image_id = b",
+        "ranks AS MATERIALIZED": "SELECT a AS i, b AS j, r FROM pair UNION ALL SELECT b, a, r FROM pair",
+        "prim": "SELECT 0::BIGINT AS step, j AS node, r AS best FROM ranks WHERE i = (SELECT min(image_id) FROM vectors_v) UNION ALL "
+        "SELECT step + 1, node, least(best, r) FROM (SELECT *, arg_min(node, best) OVER () AS new FROM prim) p JOIN ranks ON i = new AND j = node WHERE node <> new",
+        "tree AS MATERIALIZED": "SELECT pos, node, r, a, b, weight FROM (SELECT step + 1 AS pos, arg_min(node, best) AS node, min(best) AS r FROM prim GROUP BY step) JOIN pair USING (r)",
+    }
+
+
+# The rows in the order in which the tree took them in: components are runs without a longer edge, a merge is a place in
+# the order with the run around it.
+_HIERARCHY_SQL = {
+    "place AS MATERIALIZED": "SELECT 0::BIGINT AS pos, min(image_id) AS node FROM vectors_v UNION ALL SELECT pos, node FROM tree",
+    "highest AS MATERIALIZED": "SELECT f.pos AS i, t.pos AS j, max(t.r) OVER (PARTITION BY f.pos ORDER BY t.pos) AS r FROM place f JOIN tree t ON t.pos > f.pos",
+    "step AS MATERIALIZED": "SELECT t.pos, t.r, 1 / greatest(t.weight, (SELECT min(weight) FROM tree WHERE weight > 0)) AS density, coalesce((SELECT max(x.pos) FROM tree x WHERE x.pos < t.pos AND x.r > t.r), 0) AS lo, "
+    "coalesce((SELECT min(x.pos) FROM tree x WHERE x.pos > t.pos AND x.r > t.r), (SELECT count(*) FROM vectors_v)) AS hi FROM tree t",
+    "bottom AS MATERIALIZED": "SELECT *, pos - lo >= 10 AS split FROM step WHERE hi - lo >= 10 AND (pos - lo >= 10) = (hi - pos >= 10)",
+    "above AS MATERIALIZED": "SELECT c.pos AS cluster, arg_min(j.pos, j.r) AS parent FROM bottom c JOIN bottom j ON j.split AND j.r > c.r AND j.lo < c.pos AND c.pos < j.hi GROUP BY 1",
+    "born AS MATERIALIZED": "SELECT c.pos AS cluster, c.r, c.split, j.pos AS parent, coalesce(j.density, 0) AS since, CASE WHEN j.pos IS NULL THEN 0 WHEN c.pos < j.pos THEN j.lo ELSE j.pos END AS lo, "
+    "CASE WHEN j.pos IS NULL THEN (SELECT count(*) FROM vectors_v) WHEN c.pos < j.pos THEN j.pos ELSE j.hi END AS hi FROM bottom c LEFT JOIN above ON cluster = c.pos LEFT JOIN bottom j ON j.pos = parent",
+    "mass AS MATERIALIZED": "SELECT b.cluster, any_value(b.parent) AS parent, any_value(b.split) AS split, sum(s.density - b.since) AS mass FROM born b JOIN place p ON p.pos >= b.lo AND p.pos < b.hi "
+    "LEFT JOIN highest h ON h.i = least(p.pos, b.cluster) AND h.j = greatest(p.pos, b.cluster) JOIN step s ON s.r = greatest(b.r, coalesce(h.r, 0)) GROUP BY 1",
+    "best": "SELECT 0::BIGINT AS turn, cluster, parent, mass AS best, 0.0::DOUBLE AS below FROM mass UNION ALL SELECT turn + 1, c.cluster, any_value(c.parent), CASE WHEN any_value(c.split) THEN greatest(any_value(c.mass), sum(CASE WHEN b.parent = c.cluster THEN b.best ELSE 0 END)) ELSE any_value(c.mass) END, "
+    "sum(CASE WHEN b.parent = c.cluster THEN b.best ELSE 0 END) FROM best b JOIN mass c ON c.cluster = b.cluster OR c.cluster = b.parent WHERE turn < (SELECT count(*) FROM mass) GROUP BY turn, c.cluster",
+    "good AS MATERIALIZED": "SELECT b.* FROM born b JOIN mass m USING (cluster) JOIN best t USING (cluster) WHERE turn = (SELECT max(turn) FROM best) AND m.parent IS NOT NULL AND (NOT m.split OR m.mass >= t.below)",
+    "chosen AS MATERIALIZED": "SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM good o WHERE o.r > g.r AND o.lo <= g.lo AND g.hi <= o.hi)",
+    "named AS MATERIALIZED": "SELECT cluster, row_number() OVER (ORDER BY min(node))::INT AS cluster_id FROM chosen JOIN place ON pos >= lo AND pos < hi GROUP BY cluster",
+}
+
+
+@query("SELECT count(*) AS edges, round(sum(weight), 6) AS weight FROM tree", "vectors_v", knn=_ALL_KNN["knn"], **_tree_sql(5))
 def mst_weight(spark, sf):
     vectors = fx.vectors(spark, sf).select("image_id", "vector")
     tree = cluster.spanning_tree(vectors, cluster.core_distances(vectors, 5))
     return tree.agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@query()
+@query(
+    "SELECT p.node AS image_id, coalesce(n.cluster_id, -1)::INT AS cluster_id FROM place p LEFT JOIN chosen c ON p.pos >= c.lo AND p.pos < c.hi LEFT JOIN named n USING (cluster)",
+    "vectors_v", knn=_ALL_KNN["knn"], **_tree_sql(2), **_HIERARCHY_SQL,
+)
 def hdbscan_labels(spark, sf):
-    return cluster.density_labels(cluster.reduced(fx.vectors(spark, sf)), 10)
+    return cluster.density_labels(fx.vectors(spark, sf).select("image_id", "vector"), 10)
 
 
 @query()

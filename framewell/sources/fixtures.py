@@ -119,7 +119,7 @@ _NEEDS = {
 
 
 def with_views(query: str, *names: str, more: dict[str, str] | None = None) -> str:
-    """The query behind the views it names, each after those it needs; `more` are its own, in order."""
+    """The query behind the views it names, each after those it needs; `more` are its own, in order (`name AS MATERIALIZED` for one that is)."""
     order: list[str] = []
 
     def need(name: str) -> None:
@@ -131,5 +131,5 @@ def with_views(query: str, *names: str, more: dict[str, str] | None = None) -> s
     for n in names:
         need(n)
     parts = [f"{n} AS ({SQL[n]})" if n == "reach_v" else f"{n} AS MATERIALIZED ({SQL[n]})" for n in order]
-    parts += [f"{n} AS ({q})" for n, q in (more or {}).items()]
+    parts += [f"{n if ' AS ' in n else n + ' AS'} ({q})" for n, q in (more or {}).items()]
     return f"WITH RECURSIVE {', '.join(parts)} {query}" if parts else query
