@@ -72,9 +72,13 @@ def store(payload: bytes) -> bytes:
 
 
 def boxes(data: bytes, at: int = 0, end: int | None = None, path: tuple = ()):
-    """(path, first byte, start of the content, end) of every box, outer boxes first. Sizes that leave what holds them are an error."""
-    end = len(data) if end is None else end
-    while at < end:
+    """(path, first byte, start of the content, end) of every box, outer boxes first. Sizes that leave what holds them,
+    and boxes inside more than DEEPEST others, are an error."""
+    open_ = [(at, len(data) if end is None else end, path)]
+    while open_:
+        at, end, path = open_.pop()
+        if at >= end:
+            continue
         if end - at < 8:
             raise ValueError("a box is cut off")
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -87,10 +91,12 @@ def boxes(data: bytes, at: int = 0, end: int | None = None, path: tuple = ()):
             size = end - at
         if size < head or at + size > end:
             raise ValueError("a box leaves what holds it")
+        if len(path) >= DEEPEST:
+            raise ValueError("boxes inside each other without end")
         yield (*path, kind), at, at + head, at + size
+        open_.append((at + size, end, path))
         if kind in NESTED:
-            yield from boxes(data, at + head, at + size, (*path, kind))
-        at += size
+            open_.append((at + head, at + size, (*path, kind)))
 
 
 def walk(data: bytes):
@@ -100,9 +106,15 @@ def walk(data: bytes):
 
 
 def _numbers(data: bytes, at: int, kind: str, count: int) -> np.ndarray:
+    if count * np.dtype(kind).itemsize > len(data) - at:
+        raise ValueError("a table is longer than its file")
     return np.frombuffer(data, kind, count, at).astype(np.int64)
 
 
+#: Boxes inside each other at most; files of the standard nest a handful.
+DEEPEST = 64
+
+
 class Track:
     """One track's codec, timescale, duration and samples: offset and size of each, and which are keyframes.
 
@@ -117,12 +129,17 @@ class Track:
         self.timescale = u32(at[b"mdhd"] + (20 if long else 12))
         self.ticks = struct.unpack_from(">Q" if long else ">I", data, at[b"mdhd"] + (24 if long else 16))[0]
         same, n = u32(at[b"stsz"] + 4), u32(at[b"stsz"] + 8)
+        if same * n > len(data):
+            raise ValueError("samples are longer than their file")
         self.sizes = np.full(n, same, np.int64) if same else _numbers(data, at[b"stsz"] + 12, ">u4", n)
         wide = b"co64" in at
         where = at[b"co64" if wide else b"stco"]
         chunks = _numbers(data, where + 8, ">u8" if wide else ">u4", u32(where + 4))
         runs = _numbers(data, at[b"stsc"] + 8, ">u4", 3 * u32(at[b"stsc"] + 4)).reshape(-1, 3)
-        many = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
+        steps = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+        if len(runs) and (runs[0, 0] < 1 or (steps < 0).any() or int((runs[:, 1] * steps).sum()) > n):
+            raise ValueError("chunks don't hold the samples there are")
+        many = np.repeat(runs[:, 1], steps)
         begin = np.cumsum(self.sizes) - self.sizes
         first = np.cumsum(many) - many
         chunk = np.repeat(np.arange(len(chunks)), many)[:n]
@@ -156,6 +173,8 @@ class Track:
                 told, n, at = u32(run) & 0xFFFFFF, u32(run + 4), run + 8
                 if told & 1:
                     here, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+                if not told & 0x200 and n * size > len(data) or not told & 0xF00 and n > len(data):
+                    raise ValueError("samples are longer than their file")
                 first = None
                 if told & 4:
                     first, at = u32(at), at + 4
@@ -263,8 +282,8 @@ def op8_media_columns(spark, sf_dir: str) -> DataFrame:
     media = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
     def run(batches):
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "keyframe_ranges"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
         for b in batches:
             out = []
             for doc_id, n, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
@@ -272,8 +291,18 @@ def op8_media_columns(spark, sf_dir: str) -> DataFrame:
                 back = t.payload(data)
                 ranges = t.keyframe_ranges
                 feature = f"{t.codec};{t.ticks / t.timescale:.6f}s;{len(t.sizes)} samples;{len(ranges)} keyframes;ranges {zlib.crc32(ranges.astype('<i8').tobytes()):08x}"
-                out.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                out.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, t.codec, t.ticks / t.timescale, _told(ranges)))
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframe_ranges string")
+
+
+def _told(ranges: np.ndarray) -> str:
+    """Byte ranges as start-end, comma-joined; ranges that lie side by side and are equally long as start-endxlength."""
+    if not len(ranges):
+        return ""
+    size = ranges[:, 1] - ranges[:, 0]
+    cut = np.flatnonzero((ranges[1:, 0] != ranges[:-1, 1]) | (size[1:] != size[:-1])) + 1
+    firsts, lasts = np.append(0, cut), np.append(cut - 1, len(ranges) - 1)
+    return ",".join(f"{ranges[a, 0]}-{ranges[z, 1]}" + (f"x{size[a]}" if z > a else "") for a, z in zip(firsts, lasts, strict=True))

@@ -18,6 +18,7 @@ import html as html_lib
 import json
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -31,14 +32,15 @@ from framewell.session import materialise
 
 #: Streams of one host that a task aligns about, and merged parts that the next step aligns.
 PART, MERGED = 512, 16
-#: Of elements inside so many others only links and those that change where text stands have items of their own.
-DEEP = 150
+#: Inside so many elements that have items of their own only those that change where text stands have one, and so many
+#: of these: what is aligned and stored is no deeper.
+DEEP, PLACES = 150, 100
 #: Bits of the table that an alignment keeps; longer runs are halved first.
 TABLE_BITS = 1 << 28
 #: Characters of all wrappers together that are broadcast at most; more are joined by host.
 BROADCAST_CHARS = 32_000_000
-#: Share of the pages with a slot on which one text makes it the template's, and share of the host's pages inside an article.
-OFTEN, ALWAYS = 0.5, 0.9
+#: Share of the pages with a slot on which one text makes it the template's.
+OFTEN = 0.5
 #: Different pages that must bear a text at least before it is taken for the template's.
 LEAST_PAGES = 3
 
@@ -49,6 +51,7 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_NO_CDATA = re.compile(_TOKEN.pattern.replace(r"|<!\[CDATA\[.*?\]\]>", ""), re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -60,6 +63,9 @@ ENDS = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "head": frozenset(["body"]),
 }
+ENDS["a"] = frozenset("a")
+#: Which open elements a start tag can end.
+ENDED_BY = {tag: [t for t, by in ENDS.items() if tag in by] for tag in frozenset().union(*ENDS.values())}
 #: What an element must not be looked for beyond.
 FENCES = frozenset("article aside body div footer form header main nav section table td th ul ol dl".split())
 #: Tags and words of class, id or role whose content is not the article.
@@ -82,18 +88,35 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def _tokens(html: str):
+    """Matches of _TOKEN; after the last `]]>` no CDATA section is looked for, each of which would be sought to the end."""
+    last, at = html.rfind("]]>"), 0
+    if "<![CDATA[" in html:
+        while at < len(html):
+            m = (_TOKEN if at < last else _NO_CDATA).match(html, at)
+            yield m
+            at = m.end()
+    else:
+        yield from _TOKEN.finditer(html)
+
+
 def events(html: str):
     """("open", label), ("close", label), ("text", raw) in page order, with every element closed. A label is the tag
     and the words of its class, id and role; inline elements without any, and links apart, are left to the text."""
     stack: list[tuple[str, str | None, int]] = []  # tag, the label that was told (None if none was), where text in it stands
+    open_: Counter[str] = Counter()  # tags on the stack
+    deep = 0  # labels that were told
 
     def close_to(k):
+        nonlocal deep
         while len(stack) > k:
-            label = stack.pop()[1]
+            tag, label, _ = stack.pop()
+            open_[tag] -= 1
             if label is not None:
+                deep -= 1
                 yield "close", label
 
-    for m in _TOKEN.finditer(html):
+    for m in _tokens(html):
         text, tag = m["text"], m["tag"]
         if text is not None:
             yield "text", text
@@ -102,13 +125,13 @@ def events(html: str):
         else:
             tag = tag.lower()
             if m["end"]:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag or (tag in INLINE and stack[k][0] in FENCES)), -1)
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag or (tag in INLINE and stack[k][0] in FENCES)), -1) if open_[tag] else -1
                 if tag not in INLINE:
                     yield "break", ""
                 if k >= 0 and stack[k][0] == tag:
                     yield from close_to(k)
                 continue
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(open_[t] for t in ENDED_BY.get(tag, ())) else ():
                 if tag in ENDS.get(stack[k][0], ()):
                     yield from close_to(k)
                     break
@@ -124,13 +147,15 @@ def events(html: str):
             outer = stack[-1][2] if stack else 1
             told = tag not in INLINE or tag == "a" or bool(words and not OUTSIDE_WORDS.isdisjoint(words.split()))
             place = _place(tag, {*words.split()}, outer) if told else outer
-            told = told and (len(stack) < DEEP or tag == "a" or place != outer)
+            told = told and (deep < DEEP or place != outer and deep < DEEP + PLACES)
             if tag not in INLINE:
                 yield "break", ""
             label = f"{tag} {words}".strip() if told else None
             if told:
+                deep += 1
                 yield "open", label
             stack.append((tag, label, place))
+            open_[tag] += 1
     yield from close_to(0)
 
 
@@ -400,15 +425,15 @@ def text_hash(block: str) -> int:
 def extract(html: str, wrapper: Node) -> str:
     """The article's text of a page that follows the wrapper: blocks in page order, joined by one blank.
 
-    A text that its slot bears on at least half of the pages is the template's; inside an element that is named an
-    article only one on nearly all of the host's pages is. A page without any text in an article keeps its other text
+    A text that its slot bears on at least half of the pages is the template's, but nothing inside an element that is
+    named an article is: articles may be alike on all pages of a host, as mirrors and reprints are. A page without any text in an article keeps its other text
     outside menus and the like, but for blocks that are mostly links; one without that keeps what stands in slots whose
     texts are the pages' own, whatever they are named.
     """
     blocks: dict[int, list] = {0: [], 1: [], 2: []}
     for block, slot, linked in blocks_of(html, wrapper):
         share = slot.fixed.get(text_hash(block), 0) if slot.fixed else 0
-        if share < (ALWAYS if slot.place == 2 else OFTEN) and (slot.place > 0 or slot.own):
+        if slot.place == 2 or share < OFTEN and (slot.place > 0 or slot.own):
             blocks[max(0, slot.place)].append((block, linked))
     if blocks[2]:
         return " ".join(b for b, _ in blocks[2])
@@ -466,8 +491,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 def slot_facts(pages: DataFrame, reading) -> DataFrame:
     """(host, facts): what the different pages of a host have in their wrapper's slots, as JSON for `compiled`.
 
-    fixed has (slot, text's hash, share of pages) for texts on LEAST_PAGES or more and OFTEN of the slot's pages; the share
-    is of the slot's pages or, inside an article, of the host's. own has the slots most of whose pages' texts no other page
+    fixed has (slot, text's hash, share of pages) for texts on LEAST_PAGES or more and OFTEN of the slot's pages; own has the slots most of whose pages' texts no other page
     has. A host without such a slot on half of its pages tells no template from article, and has no facts. Counted are
     slots, texts and pages; copies of a page count once.
     """
@@ -495,8 +519,7 @@ def slot_facts(pages: DataFrame, reading) -> DataFrame:
     contrast = slots.groupBy("host").agg(F.max(F.col("own") & (2 * F.col("of_slot") >= F.col("of_host"))).alias("tells"), F.collect_list(F.when(F.col("own"), F.col("slot"))).alias("own")).filter("tells")
     often = counted.filter((F.col("slot") >= 0) & F.col("text").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(slots.select("host", "slot", "of_slot", "of_host"), ["host", "slot"])
     often = often.filter(F.col("n") >= OFTEN * F.col("of_slot"))
-    share = F.when(F.col("n") >= ALWAYS * F.col("of_host"), F.col("n") / F.col("of_host")).otherwise(F.lit(OFTEN))
-    fixed = often.groupBy("host").agg(F.collect_list(F.struct("slot", "text", share.alias("share"))).alias("fixed"))
+    fixed = often.groupBy("host").agg(F.collect_list(F.struct("slot", "text", (F.col("n") / F.col("of_slot")).alias("share"))).alias("fixed"))
     facts = contrast.select("host", "own").join(fixed, "host", "left")
     listed = F.transform("fixed", lambda x: F.concat(F.lit("["), x["slot"], F.lit(","), x["text"], F.lit(","), F.round(x["share"], 6), F.lit("]")))
     return facts.select("host", F.concat(F.lit('{"own":'), F.to_json("own"), F.lit(',"fixed":['), F.coalesce(F.array_join(listed, ","), F.lit("")), F.lit("]}")).alias("facts"))

@@ -90,3 +90,22 @@ def test_query(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert got[1].feature == got[6].feature != got[5].feature
+
+
+def test_broken_files_end_in_nulls_within_their_memory(spark):
+    good = media.store(b"\1" * 6400)
+    nested = b""
+    for _ in range(1500):
+        nested = struct.pack(">I4s", 8 + len(nested), b"udta") + nested
+    at = good.index(b"stsz") + 8
+    endless = good[:at] + struct.pack(">II", 64, 0xFFFFFFFF) + good[at + 8 :]
+    runs = good.index(b"stsc") + 12
+    crooked = good[:runs] + struct.pack(">I", 0xFFFFFFF0) + good[runs + 4 :]
+    rows = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(nested)), (3, bytearray(endless)), (4, bytearray(crooked)), (5, bytearray(good[:200]))], "id long, media binary")
+    got = {r.id: r.codec for r in media.media_columns(rows).collect()}
+    assert got.pop(1) and set(got.values()) == {None} and len(got) == 4
+
+
+def test_ranges_are_told_whole():
+    ranges = np.array([[10, 20], [20, 30], [30, 40], [50, 60], [60, 65]])
+    assert media._told(ranges) == "10-40x10,50-60,60-65" and media._told(ranges[:0]) == ""

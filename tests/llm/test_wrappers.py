@@ -122,5 +122,29 @@ def test_template_texts_are_told_by_the_host_s_pages(spark):
         w.BROADCAST_CHARS, saved = limit, w.BROADCAST_CHARS
         got = {r.url: r.text for r in w.main_text(df).collect()}
         w.BROADCAST_CHARS = saved
-        assert got == {f"http://{h}/{k}": make(k)[0] for h, make in hosts.items() for k in range(12)}
+        # what every named article bears is part of it
+        assert got == {f"http://{h}/{k}": make(k)[0] + (" Written for you." if h == "named" else "") for h, make in hosts.items() for k in range(12)}
     assert all(w.extract(html, w.compiled(())) != got[url] for _, url, html in rows)
+
+
+def test_articles_that_a_host_repeats_are_kept(spark):
+    """Near-copied pages of one host, a byline on all of them, and a counter outside that changes."""
+    page = "<html><body><div class='views'><p>Viewed {} times</p></div><article><h1>One title</h1><p class='by'>By Ann Author</p><p>The whole text stands here on every page.</p><p>Its second part does too.</p></article></body></html>"
+    rows = [(k, f"http://mirror.example/{k}", page.format(k * 7)) for k in range(12)]
+    got = {r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"One title By Ann Author The whole text stands here on every page. Its second part does too."}
+
+
+def test_odd_markup_takes_time_in_proportion(spark):
+    import time
+
+    pages = ["<a href=x>" * 5000 + "end", "<b>" * 150_000 + "</i>" * 150_000 + "end", "<![CDATA[ x" * 90_000 + "end", "<div class=a><nav>" * 3000 + "end", "<ul><li>" * 20_000 + "end", "<p>" * 100_000 + "</div>" * 100_000]
+    start = time.time()
+    for page in pages:
+        assert wrappers.loads(wrappers.dumps(wrappers.shape(page))) == wrappers.shape(page)
+        for _, _ in wrappers.events(page):
+            pass
+    assert time.time() - start < 60
+    rows = [(k, "http://odd.example/", p) for k, p in enumerate(pages)] + [(99, "http://odd.example/", "<article>" + "<a href=x>" * 3000 + "words</article>")]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[99] == "words" and len(got) == 7
