@@ -124,7 +124,7 @@ def test_template_texts_are_told_by_the_host_s_pages(spark):
         w.BROADCAST_CHARS = saved
         # what every named article bears is part of it
         assert got == {f"http://{h}/{k}": make(k)[0] + (" Written for you." if h == "named" else "") for h, make in hosts.items() for k in range(12)}
-    assert all(w.extract(html, w.compiled(())) != got[url] for _, url, html in rows)
+    assert all(w.extract(html, w.compiled(())) != got[url] for _, url, html in rows if "named" not in url)
 
 
 def test_articles_that_a_host_repeats_are_kept(spark):
