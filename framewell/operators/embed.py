@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +13,22 @@ from framewell.config import CONFIG
 from framewell.functions.vectors import l2_normalised
 from framewell.operators.scan import stale
 
-#: load() is called once a worker and returns encode(list of inputs) -> list of vectors.
-_MODELS: dict[str, Callable] = {}
+_MODELS: dict[bytes, Callable] = {}
 
 
-def embed(rows: DataFrame, load: Callable[[], Callable[[list], list]], column: str = "content", name: str = "model", batch: int = CONFIG.embed_batch) -> DataFrame:
+def loaded(model: bytes) -> Callable:
+    """The model that a pickled load() brings, made once in a worker: load() returns encode(inputs) -> vectors.
+
+    Tasks get load() pickled and find this function by its name, so all tasks of a worker share one cache. Models are
+    told apart by the bytes that load() pickles to.
+    """
+    if model not in _MODELS:
+        _MODELS.clear()  # a worker has room for one
+        _MODELS[model] = cloudpickle.loads(model)()
+    return _MODELS[model]
+
+
+def embed(rows: DataFrame, load: Callable[[], Callable[[list], list]], column: str = "content", batch: int = CONFIG.embed_batch) -> DataFrame:
     """(image_id, vector, mtime) of the rows; where a batch fails its rows are tried one by one, and those that fail are left out."""
 
     def encode(model, values: list) -> list:
@@ -27,12 +39,15 @@ def embed(rows: DataFrame, load: Callable[[], Callable[[list], list]], column: s
                 return [None]
             return [v for x in values for v in encode(model, [x])]
 
+    pickled = cloudpickle.dumps(load)
+
     def run(batches):
-        if name not in _MODELS:
-            _MODELS[name] = load()
+        from framewell.operators import embed as shared  # by name: the cache is the worker's, not the task's
+
+        model = shared.loaded(pickled)
         for b in batches:
             ids, mtimes, values = (c.to_pylist() for c in b.columns)
-            vectors = [v for k in range(0, len(values), batch) for v in encode(_MODELS[name], values[k : k + batch])]
+            vectors = [v for k in range(0, len(values), batch) for v in encode(model, values[k : k + batch])]
             kept = [k for k, v in enumerate(vectors) if v is not None]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[k] for k in kept], pa.int64()), pa.array([[float(x) for x in vectors[k]] for k in kept], pa.list_(pa.float32())), pa.array([mtimes[k] for k in kept], pa.float64())],
@@ -42,9 +57,9 @@ def embed(rows: DataFrame, load: Callable[[], Callable[[list], list]], column: s
     return rows.filter(F.col(column).isNotNull()).select("image_id", "mtime", column).mapInArrow(run, "image_id long, vector array<float>, mtime double")
 
 
-def embed_stale(images: DataFrame, saved: DataFrame, duplicates: DataFrame, failed: DataFrame, load, read, column: str = "content", name: str = "model") -> DataFrame:
+def embed_stale(images: DataFrame, saved: DataFrame, duplicates: DataFrame, failed: DataFrame, load, read, column: str = "content") -> DataFrame:
     """New vectors of images that need one; read(images) adds the model's input. Upsert the result."""
-    return embed(read(stale(images, saved, duplicates, failed)), load, column, name)
+    return embed(read(stale(images, saved, duplicates, failed)), load, column)
 
 
 def query_vector(load: Callable, text: str) -> list[float]:

@@ -14,7 +14,6 @@ def one(spark, row, schema, column):
 def test_sizes_and_limits():
     assert [config.min_cluster_size(n) for n in (10, 99, 100, 999, 1000, 4999, 5000)] == [3, 4, 5, 19, 10, 24, 15]
     assert [config.sub_min_cluster_size(n) for n in (10, 100, 1000)] == [5, 10, 20]
-    assert [config.reduce_neighbours(n) for n in (10, 49, 50, 12)] == [5, 9, 20, 5]
     assert [config.bands_for(r) for r in (0, 6, 7, 10, 64)] == [8, 8, 8, 11, 64] and config.min_shared_bands(6, 8) == 2
 
 

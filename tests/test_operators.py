@@ -257,6 +257,24 @@ def test_embedding_batches_and_failures(spark):
     assert embed.query_vector(lambda: lambda texts: [[3.0, 4.0] for _ in texts], "q") == [0.6, 0.8]
 
 
+def test_a_worker_loads_a_model_once(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda values: [[float(len(v))] for v in values]
+
+    df = spark.createDataFrame([(i, 0.0, b"x" * i) for i in range(1, 41)], "image_id long, mtime double, content binary").repartition(20)
+    assert embed.embed(df, load).count() == 40 and embed.embed(df, load).count() == 40
+    loads = open(log).read().split()
+    assert len(loads) == len(set(loads)) <= 8
+    twice = embed.embed(df, lambda: lambda values: [[-1.0] for _ in values]).select("vector").distinct().collect()  # another model
+    assert [r.vector for r in twice] == [[-1.0]]
+
+
 def test_thumbnails_are_made_once(spark):
     asked = spark.createDataFrame([("/a", 1.0, 5), ("/b", 1.0, 5), ("/c", 1.0, 5)], "path string, mtime double, size long")
     have = spark.createDataFrame([("/a", 1.0, 5, "webp", b"a"), ("/b", 0.5, 5, "webp", b"old")], "path string, mtime double, size long, ext string, blob binary")
