@@ -42,6 +42,16 @@ def band_values(h: Column, bands: int = 8) -> Column:
     return F.array(*[F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1).cast("long")) for shift, mask in band_layout(bands)])
 
 
+def _masks(bits: list[int], radius: int, bands: int) -> list[int]:
+    """Signed masks of all combinations of bands - radius bands of the bits: hashes within the radius agree under one."""
+    wide, left, parts = len(bits) // bands, len(bits) % bands, []
+    for k in range(bands):
+        at = k * wide + min(k, left)
+        parts.append(sum(1 << b for b in bits[at : at + wide + (k < left)]))
+    out = [sum(some) for some in combinations(parts, bands - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in out]
+
+
 def shared_band_keys(h: Column, radius: int = 6, bands: int = 8) -> Column:
     """Array of (combination, key): hashes within the radius agree in a key of at least one combination of bands.
 
@@ -50,12 +60,13 @@ def shared_band_keys(h: Column, radius: int = 6, bands: int = 8) -> Column:
     """
     if bands <= radius:
         raise ValueError("a radius needs more bands than bits")
+    return F.array(*[F.struct(F.lit(k).alias("combination"), h.bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(_masks([*reversed(range(64))], radius, bands))])
+
+
+def further_masks(radius: int = 6, bands: int = 8) -> list[list[int]]:
+    """For each combination of `shared_band_keys` the masks that do the same for the bits it leaves."""
     whole = (1 << 64) - 1
-    layout, keys = band_layout(bands), []
-    for k, some in enumerate(combinations(range(bands), bands - radius)):
-        mask = sum(layout[b][1] << layout[b][0] for b in some) & whole
-        keys.append(F.struct(F.lit(k).alias("combination"), h.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")).alias("key")))
-    return F.array(*keys)
+    return [_masks([b for b in reversed(range(64)) if not (m & whole) >> b & 1], radius, min(radius + 2, 64)) for m in _masks([*reversed(range(64))], radius, bands)]
 
 
 def token_simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewell.config import CONFIG, bands_for, min_shared_bands
-from framewell.functions.hashes import band_values, hamming, shared_band_keys
+from framewell.functions.hashes import band_values, further_masks, hamming, shared_band_keys
 from framewell.operators.scan import first_per
 from framewell.plans.components import connected_components
+from framewell.plans.joins import skew_join, small
 from framewell.plans.numbering import row_numbers
 from framewell.session import materialise
 
@@ -21,34 +24,106 @@ def band_index(hashes: DataFrame, bands: int = 8) -> DataFrame:
     return hashes.select("image_id", F.posexplode(band_values(F.col("phash"), bands)).alias("band", "value"))
 
 
+def hash_classes(hashes: DataFrame) -> DataFrame:
+    """(phash, image_id, n): each distinct hash with the smallest of its images and their number."""
+    return hashes.groupBy("phash").agg(F.min("image_id").alias("image_id"), F.count("*").alias("n"))
+
+
+def _of_images(pairs: DataFrame, hashes: DataFrame, extra: list, equal: list) -> DataFrame:
+    """Pairs (a, b) of images from pairs (phash, other) of their hashes, and those of equal hashes."""
+    a, b = hashes.select(F.col("image_id").alias("a"), "phash"), hashes.select(F.col("image_id").alias("b"), F.col("phash").alias("other"))
+    apart = pairs.join(a, "phash").join(b, "other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *extra)
+    same = a.join(b.withColumnRenamed("other", "phash"), "phash").filter("a < b").select("a", "b", *equal)
+    return apart.unionByName(same)
+
+
 def lsh_candidates(hashes: DataFrame, radius: int = CONFIG.hash_radius) -> DataFrame:
-    """(a, b, shared): pairs, a < b, that share enough equal bands to lie within the radius."""
+    """(a, b, shared): pairs, a < b, that share enough equal bands to lie within the radius.
+
+    Hashes that share so many bands share a key of as many bands together, so they meet by these longer keys.
+    """
+    bands = bands_for(radius)
+    least = max(2, min_shared_bands(radius, bands))
+    hashes = materialise(hashes.select("image_id", "phash"), "hashes")
+    keyed = hashes.select("phash").distinct().select("phash", F.explode(shared_band_keys(F.col("phash"), bands - least, bands)).alias("k")).select("phash", "k.combination", "k.key")
+    pairs = keyed.join(keyed.withColumnRenamed("phash", "other"), ["combination", "key"]).filter("phash < other").select("phash", "other").distinct()
+    shared = F.aggregate(F.zip_with(band_values(F.col("phash"), bands), band_values(F.col("other"), bands), lambda x, y: (x == y).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    return _of_images(pairs.withColumn("shared", shared), hashes, ["shared"], [F.lit(bands).cast("long").alias("shared")])
+
+
+#: Distinct hashes of a bucket on average and at most: keys get longer for the one, buckets are dealt again for the other.
+BUCKET, FULL_BUCKET = 64, 2048
+#: Keys of a hash at most.
+MOST_KEYS = 500
+
+
+def bands_for_count(n: int, radius: int) -> int:
+    """Bands whose keys leave BUCKET of n evenly spread hashes in a bucket or so: more hashes, longer keys, more of them."""
     bands = bands_for(radius)
-    index = band_index(hashes, bands)
-    left, right = index.select(F.col("image_id").alias("a"), "band", "value"), index.select(F.col("image_id").alias("b"), "band", "value")
-    pairs = left.join(right, ["band", "value"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return pairs.filter(F.col("shared") >= max(2, min_shared_bands(radius, bands)))
+    while comb(bands + 1, radius) <= MOST_KEYS and n >> (64 // bands * (bands - radius)) > BUCKET:
+        bands += 1
+    return bands
+
+
+def dealt_by_keys(known: DataFrame, radius: int, bands: int) -> DataFrame:
+    """(bucket, phash): any two of the distinct hashes within the radius meet in a bucket of FULL_BUCKET or so at most.
+
+    A bucket that is fuller is dealt again by keys of the bits that its own key leaves, and one that is still fuller is
+    cut into parts that meet two by two. Buckets are numbers by hash: should two be one, some hashes meet in vain.
+    """
+    keys = shared_band_keys(F.col("phash"), radius, bands)
+    keyed = materialise(known.select("phash", F.explode(keys).alias("k")).select("k.combination", "phash", F.xxhash64("k.combination", "k.key").alias("bucket")), "keyed")
+
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        full = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > FULL_BUCKET), "full")
+        told = rows.join(small(full), "bucket", "left")
+        return told.filter("n is null").select("bucket", "phash"), told.filter("n is not null")
+
+    cold, hot = split(keyed)
+    if hot.isEmpty():
+        return cold
+    more = [(c, k, m) for c, masks in enumerate(further_masks(radius, bands)) for k, m in enumerate(masks)]  # as many as keys, squared
+    more = known.sparkSession.createDataFrame(more, "combination int, k int, mask long")
+    again = hot.join(F.broadcast(more), "combination").select(F.xxhash64("bucket", "k", F.col("phash").bitwiseAND(F.col("mask"))).alias("bucket"), "phash")
+    warm, still = split(materialise(again, "keyed"))
+    parts = F.ceil(F.col("n") / (FULL_BUCKET // 2)).cast("long")
+    own = F.pmod(F.xxhash64("phash"), parts)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other")
+    met = still.select("bucket", "phash", own.alias("own"), other).select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "phash")
+    return cold.unionByName(warm).unionByName(met)
+
+
+def class_links(hashes: DataFrame, radius: int = CONFIG.hash_radius) -> DataFrame:
+    """(a, b, distance), a < b: links between distinct hashes within the radius, told by the smallest image of each.
+
+    With `hash_classes` these are all links: images of equal hashes are one class, and their pairs need not be listed.
+    """
+    known = materialise(hash_classes(hashes), "classes")
+    pairs = _hash_pairs(known, radius)
+    low = known.select("phash", "image_id")
+    told = pairs.join(low.withColumnRenamed("image_id", "x"), "phash").join(low.toDF("other", "y"), "other")
+    return told.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("phash"), F.col("other")).alias("distance"))
 
 
-def near_pairs(hashes: DataFrame, radius: int = CONFIG.hash_radius, bands: int = 8) -> DataFrame:
+def _hash_pairs(known: DataFrame, radius: int, bands: int | None = None) -> DataFrame:
+    dealt = dealt_by_keys(known.select("phash"), radius, bands or bands_for_count(known.count(), radius))
+    near = dealt.join(dealt.withColumnRenamed("phash", "other"), "bucket").filter(F.col("phash") < F.col("other")).filter(hamming(F.col("phash"), F.col("other")) <= radius)
+    return near.select("phash", "other").distinct()
+
+
+def near_pairs(hashes: DataFrame, radius: int = CONFIG.hash_radius, bands: int | None = None) -> DataFrame:
     """(a, b, distance) of all pairs of images, a < b, within the radius.
 
-    Pairs are searched between distinct hashes, by keys that such hashes surely share, and told apart by images last.
+    Pairs are searched between distinct hashes, by keys that such hashes surely share, and told apart by images last;
+    where a third of all images are equal, ask for `hash_classes` and `class_links` instead.
     """
     hashes = materialise(hashes.select("image_id", "phash"), "hashes")
-    distinct = hashes.select("phash").distinct()
-    keyed = distinct.select("phash", F.explode(shared_band_keys(F.col("phash"), radius, bands)).alias("k")).select("phash", "k.combination", "k.key")
-    other = keyed.withColumnRenamed("phash", "other")
-    near = keyed.join(other, ["combination", "key"]).filter(F.col("phash") < F.col("other")).filter(hamming(F.col("phash"), F.col("other")) <= radius)
-    near = near.select("phash", "other").distinct()
-    a, b = hashes.select(F.col("image_id").alias("a"), "phash"), hashes.select(F.col("image_id").alias("b"), F.col("phash").alias("other"))
-    apart = near.join(a, "phash").join(b, "other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), hamming(F.col("phash"), F.col("other")).alias("distance"))
-    same = a.join(b.withColumnRenamed("other", "phash"), "phash").filter("a < b").select("a", "b", F.lit(0).alias("distance"))
-    return apart.unionByName(same)
+    known = materialise(hashes.select("phash").distinct(), "nodes")
+    return _of_images(_hash_pairs(known, radius, bands), hashes, [hamming(F.col("phash"), F.col("other")).alias("distance")], [F.lit(0).alias("distance")])
 
 
 def _bucket_links(radius: int):
-    """mapInArrow work over hashes sorted by bucket: links from each hash to the first of its component in the bucket."""
+    """mapInArrow work over (bucket, phash) sorted by bucket: links from each hash to the first of its component in the bucket."""
 
     def links(points: np.ndarray) -> list[tuple[int, int]]:
         points = np.unique(points)
@@ -69,16 +144,15 @@ def _bucket_links(radius: int):
         held, hashes = None, []
         for b in batches:
             out = []
-            combination, key, value = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            bucket, value = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             if not len(value):
                 continue
-            cut = np.flatnonzero((np.diff(combination) != 0) | (np.diff(key) != 0)) + 1
+            cut = np.flatnonzero(np.diff(bucket) != 0) + 1
             for a, z in zip(np.append(0, cut), np.append(cut, len(value)), strict=True):
-                bucket = (combination[a], key[a])
-                if bucket != held:
+                if bucket[a] != held:
                     if len(hashes) > 1 or (hashes and len(hashes[0]) > 1):
                         out += links(np.concatenate(hashes))
-                    held, hashes = bucket, []
+                    held, hashes = bucket[a], []
                 hashes.append(value[a:z].view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["src", "dst"])
         if hashes:
@@ -88,20 +162,25 @@ def _bucket_links(radius: int):
     return run
 
 
-def components(hashes: DataFrame, radius: int = CONFIG.hash_radius, bands: int = 8) -> DataFrame:
+def hash_edges(known: DataFrame, radius: int = CONFIG.hash_radius) -> DataFrame:
+    """(src, dst): links within the radius that connect the distinct hashes as all such links do."""
+    dealt = dealt_by_keys(known.select("phash"), radius, bands_for_count(known.count(), radius))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(radius), "src long, dst long").distinct()
+
+
+def components(hashes: DataFrame, radius: int = CONFIG.hash_radius) -> DataFrame:
     """(image_id, component) of every image: the smallest id reachable over hashes within the radius of each other.
 
-    Equal hashes are one node. In each bucket only the links that connect it leave the task, never its pairs.
+    Equal hashes are one node. In each bucket only the links that connect it leave the task, never its pairs, and rows of
+    a hash that very many images have stay where they are when they are told their component.
     """
     own = materialise(hashes.select("image_id", "phash"), "hashes")
-    known = materialise(own.groupBy("phash").agg(F.min("image_id").alias("low")), "nodes")
-    keyed = known.select("phash", F.explode(shared_band_keys(F.col("phash"), radius, bands)).alias("k")).select("k.combination", "k.key", "phash")
-    dealt = keyed.repartition("combination", "key").sortWithinPartitions("combination", "key")
-    edges = dealt.mapInArrow(_bucket_links(radius), "src long, dst long").distinct()
-    label = connected_components(edges).select(F.col("node").alias("phash"), F.col("component").alias("rep"))
-    told = known.join(label, "phash", "left").select("phash", "low", F.coalesce("rep", "phash").alias("rep"))
-    least = told.groupBy("rep").agg(F.min("low").alias("component"))
-    return own.join(told.join(least, "rep").select("phash", "component"), "phash").select("image_id", "component")
+    known = materialise(hash_classes(own), "nodes")
+    label = connected_components(hash_edges(known, radius)).select(F.col("node").alias("phash"), F.col("component").alias("rep"))
+    told = materialise(known.join(label, "phash", "left").select("phash", "image_id", "n", F.coalesce("rep", "phash").alias("rep")), "told")
+    least = told.groupBy("rep").agg(F.min("image_id").alias("component"), F.count("*").alias("classes"))
+    of_hash = skew_join(told.select("phash", "n", "rep"), least, "rep", "classes").select("phash", "n", "component")
+    return skew_join(own, of_hash, "phash", "n").select("image_id", "component")
 
 
 def group_members(hashes: DataFrame, radius: int = CONFIG.hash_radius) -> DataFrame:

@@ -199,6 +199,19 @@ def hamming_pairs(spark, sf):
     return dedup.near_pairs(fx.hashes(spark, sf))
 
 
+@query(
+    "SELECT least(a.image_id, b.image_id) AS a, greatest(a.image_id, b.image_id) AS b, bit_count(xor(a.phash, b.phash))::INT AS distance FROM classes a JOIN classes b ON a.phash < b.phash WHERE bit_count(xor(a.phash, b.phash)) <= 6",
+    "hashes_v", classes="SELECT phash, min(image_id) AS image_id FROM hashes_v GROUP BY phash",
+)
+def hash_class_links(spark, sf):
+    return dedup.class_links(fx.hashes(spark, sf))
+
+
+@query("SELECT phash, min(image_id) AS image_id, count(*) AS n FROM hashes_v GROUP BY phash", "hashes_v")
+def hash_classes(spark, sf):
+    return dedup.hash_classes(fx.hashes(spark, sf))
+
+
 @query("SELECT image_id, component FROM component_v", "component_v")
 def dedup_components(spark, sf):
     return dedup.components(fx.hashes(spark, sf))

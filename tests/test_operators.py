@@ -242,6 +242,31 @@ def test_sparse_cluster_beside_dense_ones(spark):
     assert len(set(names)) == 3 and -1 not in names and parts[2].count(names[2]) >= 11
 
 
+def test_full_buckets_are_dealt_again(spark, monkeypatch):
+    """A third of all hashes equal, a third around them, in buckets far fuller than allowed: the same groups and links."""
+    rng = np.random.default_rng(8)
+    near = [int(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 8)), replace=False))) for _ in range(100)]
+    values = [0] * 100 + near + [int(x) for x in rng.integers(0, 1 << 63, 100)]
+    values = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame(list(enumerate(values)), "image_id long, phash long")
+    monkeypatch.setattr(dedup, "FULL_BUCKET", 12)
+    known = df.select("phash").distinct()
+    dealt = dedup.dealt_by_keys(known, 6, 8)
+    assert max(r["count"] for r in dealt.groupBy("bucket").count().collect()) <= 30
+    far = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    first = {}
+    for i, v in enumerate(values):
+        first.setdefault(v, i)
+    links = {(min(first[x], first[y]), max(first[x], first[y])) for x in first for y in first if x < y and far(x, y) <= 6}
+    assert {(r.a, r.b) for r in dedup.class_links(df).collect()} == links
+    root = list(range(300))
+    for a, b in [*links, *((first[v], i) for i, v in enumerate(values))]:
+        a, b = root[a], root[b]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    assert {r.image_id: r.component for r in dedup.components(df).collect()} == dict(enumerate(root))
+    assert [dedup.bands_for_count(n, 6) for n in (100, 1 << 22, 1 << 24, 1 << 40)] == [8, 8, 9, 11] and dedup.bands_for_count(1 << 50, 20) == 22
+
+
 def test_embedding_batches_and_failures(spark):
     def load():
         def encode(values):
