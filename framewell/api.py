@@ -16,6 +16,7 @@ from framewell.functions.thumbnail import thumbnails
 from framewell.operators import cluster as clustering
 from framewell.operators import dedup as duplicates
 from framewell.operators import embed as embedding
+from framewell.operators import incremental
 from framewell.operators import search as searching
 from framewell.operators import transfer
 from framewell.operators.catalog import Catalog
@@ -43,6 +44,41 @@ def scan(catalog: Catalog, roots: list[str], extensions: list[str] | None = None
     return out if out is not None else spark.createDataFrame([], "path string, status string")
 
 
+def regroup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radius) -> bool:
+    """Brings the groups up to date with the hashes; returns whether anything had to be done.
+
+    Nothing is read if images, hashes and failures have the versions they had at the last call. Else what has changed
+    since then updates the stored components, or all is grouped anew: with `full`, for another radius, or the first time.
+    """
+    spark, behind = catalog.spark, ("images", "image_hashes", "failed_files")
+    now = {"radius": radius, **{t: (catalog.versions(t) or [0])[-1] for t in behind}}
+    was = {r["name"]: r["value"] for r in catalog.read("group_state").collect()}  # a few rows
+    if not full and all(was.get(k) == v for k, v in now.items()):
+        return False
+    images = catalog.read("images")
+    there = images.join(catalog.read("failed_files").select("path"), "path", "left_anti").select("image_id")
+    hashes = materialise(catalog.read("image_hashes").join(there, "image_id", "left_semi").select("image_id", "phash"), "hashes")
+    if full or was.get("radius") != radius:
+        state = incremental.begin(hashes, radius)
+    else:
+        old = incremental.HashState(catalog.read("hash_members"), catalog.read("hash_keys"), was["bands"])
+        added = hashes.join(old.members.select("image_id", "phash"), ["image_id", "phash"], "left_anti")
+        removed = old.members.join(hashes, ["image_id", "phash"], "left_anti").select("image_id")
+        state = incremental.update(old, added, removed, radius)
+        if state is old:
+            state = None
+    if state is not None:
+        catalog.replace("hash_members", state.members)
+        catalog.replace("hash_keys", state.keys)
+        catalog.save_groups(materialise(duplicates.with_canonical(incremental.members_of_groups(state), images), "groups"), incremental=False)
+        now["bands"] = state.bands
+    else:
+        now["bands"] = was["bands"]
+        catalog.save_groups(materialise(duplicates.with_canonical(catalog.read("dedup_groups").select("group_id", "image_id"), images), "groups"), incremental=False)
+    catalog.replace("group_state", spark.createDataFrame([*now.items()], "name string, value long"))
+    return True
+
+
 def dedup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radius, move_to: str | None = None) -> DataFrame:
     """Hashes what needs it, groups all hashes, keeps failures; returns the summary. With a folder, duplicates are moved there."""
     images = catalog.read("images")
@@ -62,10 +98,8 @@ def dedup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radius
             if not full:
                 catalog.delete("failed_files", told, ["path"])
             catalog.save_failed(bad.select("path", "reason"), incremental=not full)
+    regroup(catalog, full, radius)
     failed, images = catalog.read("failed_files"), catalog.read("images")
-    there = images.join(failed.select("path"), "path", "left_anti").select("image_id")
-    hashes = catalog.read("image_hashes").join(there, "image_id", "left_semi")
-    catalog.save_groups(materialise(duplicates.dedup_groups(hashes, images, radius), "groups"), incremental=False)
     groups = catalog.read("dedup_groups")
     if move_to:
         transfer.totals(materialise(transfer.carried_out(materialise(duplicates.move_plan(groups, images, move_to, files.names_in(catalog.spark, move_to)), "plan"), move=True), "moved")).show()

@@ -32,9 +32,34 @@ class Catalog:
 
     def read(self, table: str) -> DataFrame:
         found = self.versions(table)
-        if not found:
-            return self.spark.createDataFrame([], TABLES[table])
-        return conform(self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{table}/v{found[-1]}"), table)
+        base = conform(self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{table}/v{found[-1]}"), table) if found else self.spark.createDataFrame([], TABLES[table])
+        fs, folder = self._fs(self._parts(table))
+        if not fs.exists(folder):
+            return base
+        done = [s.getPath().toString() for s in fs.listStatus(folder) if fs.exists(self._fs(f"{s.getPath().toString()}/_SUCCESS")[1])]
+        if not done:
+            return base
+        parts = self.spark.read.option("basePath", self._parts(table)).parquet(*done)
+        both = base.withColumn("part", F.lit(-1).cast("long")).unionByName(conform(parts, table, "part"))
+        return scan.first_per(both, KEYS[table], [F.desc("part")]).drop("part")
+
+    def _parts(self, table: str) -> str:
+        """Where parts lie that are newer than the current version."""
+        return f"{self.root}/{table}/parts-v{(self.versions(table) or [0])[-1]}"
+
+    def append(self, table: str, rows: DataFrame, part: int) -> None:
+        """Adds rows as a part: of rows with equal keys the one of the latest part counts, and `part` written again counts
+        once. The table itself is not written; `compact` does that."""
+        unique = scan.first_per(conform(rows, table), KEYS[table], KEYS[table])
+        unique.write.mode("overwrite").parquet(f"{self._parts(table)}/part={part}")
+
+    def compact(self, table: str) -> None:
+        """Writes the table with its parts as one version."""
+        folder = self._parts(table)
+        fs, path = self._fs(folder)
+        if fs.exists(path):
+            self.replace(table, self.read(table))
+            fs.delete(path, True)
 
     def replace(self, table: str, rows: DataFrame) -> None:
         """Writes the next version, then drops those before the last KEPT_VERSIONS."""
