@@ -24,6 +24,7 @@ from framewell.operators.scan import report_by_extension, stale, without_nested_
 from framewell.operators.stats import cluster_report, db_stats
 from framewell.session import materialise
 from framewell.sources import files
+from framewell.streaming import batches
 
 
 def scan(catalog: Catalog, roots: list[str], extensions: list[str] | None = None, exclude: list[str] | None = None, min_size: int = CONFIG.min_size, full: bool = False) -> DataFrame:
@@ -68,6 +69,8 @@ def regroup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radi
         if state is old:
             state = None
     if state is not None:
+        # a call that breaks off from here on leaves no state to go on from
+        catalog.replace("group_state", spark.createDataFrame([("radius", -1)], "name string, value long"))
         catalog.replace("hash_members", state.members)
         catalog.replace("hash_keys", state.keys)
         catalog.save_groups(materialise(duplicates.with_canonical(incremental.members_of_groups(state), images), "groups"), incremental=False)
@@ -109,18 +112,23 @@ def dedup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radius
 def embed(catalog: Catalog, load: Callable, full: bool = False, a_commit: int = 100_000) -> None:
     """Vectors of images that are neither duplicates nor failed; load() brings the model (contents to vectors).
 
-    They are committed in parts of about a_commit images, so a run that breaks off goes on where it was.
+    They are computed in batches of about a_commit images, each of which leaves a part of the table, so a run that
+    breaks off goes on where it was and nothing is written twice.
     """
+
+    def work(batch: DataFrame) -> DataFrame:
+        return embedding.embed(files.pictures(batch.sparkSession, batch), load)
+
+    if batches.pending(catalog, "embed"):
+        batches.in_batches(catalog, "embed", "embeddings", work, a_batch=a_commit)
     images, groups = catalog.read("images"), catalog.read("dedup_groups")
     gone = duplicates.duplicates(groups).join(images, "image_id").select("path")
     saved = catalog.read("embeddings").limit(0) if full else catalog.read("embeddings")
     todo = materialise(stale(images, saved, gone, catalog.read("failed_files")), "todo")
     if full:
         catalog.replace("embeddings", saved)
-    parts = max(1, -(-todo.count() // a_commit))
-    for k in range(parts):
-        part = todo.filter(F.pmod(F.xxhash64("image_id"), F.lit(parts)) == k)
-        catalog.upsert("embeddings", materialise(embedding.embed(files.pictures(catalog.spark, part), load), "vectors"))
+    if not todo.isEmpty():
+        batches.in_batches(catalog, "embed", "embeddings", work, todo, a_commit)
 
 
 def cluster(catalog: Catalog) -> DataFrame:

@@ -18,6 +18,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root, self._index = spark, root.rstrip("/"), (None, None)
+        self.runs = f"{self.root}/runs"  # of work in batches that is not done
 
     def _fs(self, path: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -81,8 +82,8 @@ class Catalog:
 
     def clear(self) -> None:
         self.drop_index()
-        for table in TABLES:
-            fs, path = self._fs(f"{self.root}/{table}")
+        for folder in [*(f"{self.root}/{table}" for table in TABLES), self.runs]:
+            fs, path = self._fs(folder)
             fs.delete(path, True)
 
     # images
