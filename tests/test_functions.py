@@ -1,10 +1,12 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from framewell import config
 from framewell.functions import hashes, paths, vectors
-from framewell.functions.phash import phash
+from framewell.functions.phash import grey, phash, shrunk
 
 
 def one(spark, row, schema, column):
@@ -65,3 +67,50 @@ def test_picture_hash():
     assert apart(np.kron(base, np.ones((2, 3, 1), np.uint8))) <= 2 and apart(base[:, ::-1]) > 12
     assert apart(np.clip(base.astype(int) + rng.integers(-2, 3, base.shape), 0, 255).astype(np.uint8)) <= 6
     assert -(2**63) <= phash(np.zeros((8, 8, 1), np.uint8)) < 2**63
+
+
+#: Of made_pictures(), from plain_shrink and a plain cosine transform.
+HASHES = [-7770021429821183434, -2592951866375797932, -4067820879178307800, -3063221264845045507, -7464208225237752452]
+
+
+def plain_shrink(image, side=32):
+    """The same filter point by point."""
+
+    def line(values):
+        n, out = len(values), []
+        step = n / side
+        wide = max(step, 1.0)
+        for k in range(side):
+            centre = (k + 0.5) * step
+            low, high = max(0, int(centre - 3 * wide + 0.5)), min(n, int(centre + 3 * wide + 0.5))
+            x = [(j - centre + 0.5) / wide for j in range(low, high)]
+            w = [(1.0 if v == 0 else 3 * math.sin(math.pi * v) * math.sin(math.pi * v / 3) / (math.pi * v) ** 2) if abs(v) < 3 else 0.0 for v in x]
+            whole = [round(v / sum(w) * 2**22) for v in w]
+            out.append(min(255, max(0, (sum(int(p) * v for p, v in zip(values[low:high], whole, strict=True)) + 2**21) >> 22)))
+        return out
+
+    rows = [line(r) for r in image.tolist()]
+    return np.array([line(list(c)) for c in zip(*rows, strict=True)]).T
+
+
+def made_pictures():
+    rng = np.random.default_rng(11)
+    y, x = np.mgrid[0:120, 0:90]
+    yield ((x * 2 + y) % 256).astype(np.uint8)
+    yield (127 + 120 * np.sin(x / 5) * np.cos(y / 9)).astype(np.uint8)
+    yield rng.integers(0, 256, (57, 200)).astype(np.uint8)
+    yield np.where((x // 7 + y // 11) % 2, 250, 3).astype(np.uint8)
+    yield rng.integers(0, 256, (20, 17)).astype(np.uint8)  # enlarged
+
+
+def test_hash_takes_a_windowed_sinc():
+    means = []
+    for image in made_pictures():
+        got = shrunk(image.astype(np.int64))
+        assert (got == plain_shrink(image)).all() and got.shape == (32, 32)
+        edges = [np.linspace(0, n, 33) for n in image.shape]
+        area = [np.array([[max(0.0, min(j + 1, e[k + 1]) - max(j, e[k])) for j in range(n)] for k in range(32)]) * 32 / n for e, n in zip(edges, image.shape)]
+        means.append(np.abs(area[0] @ image @ area[1].T - got).max())
+    assert max(means) > 8  # the mean over areas is another filter
+    assert [phash(i[:, :, None]) for i in made_pictures()] == HASHES
+    assert (grey(np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 255]]], np.uint8)) == [[29, 150, 76, 255]]).all()
