@@ -467,7 +467,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     similarity with 98 per cent, closer ones more surely. Nodes that have candidates get a long fingerprint, by which
     most of those below the similarity fall away. In rounds, each node asks for its nearest candidates of other
     components, more from round to round, and leaves when it has been compared with all; so a group of copies is joined
-    by few comparisons, and no candidate is left out. Null and empty texts are alike.
+    by few comparisons, and candidates fall away only by their long fingerprints, some 2 % of true links among them. Null and empty texts are alike.
     """
     text_batches(docs.sparkSession)
     names = [f"w{k}" for k in range(WIDE)]
