@@ -9,6 +9,7 @@ from framewell.config import CONFIG, min_cluster_size, sub_min_cluster_size
 from framewell.functions.vectors import l2_normalised
 from framewell.operators import spanning
 from framewell.operators.hierarchy import hierarchy_labels
+from framewell.operators.layout import learned_layout
 from framewell.operators.neighbours import knn_join, knn_rescue, noise_rescue
 from framewell.operators.spanning import reachable as mutual_reachability  # noqa: F401
 from framewell.operators.spanning import spanning_tree
@@ -34,7 +35,7 @@ def density_labels(vectors: DataFrame, size: int, samples: int | None = None, le
 
 
 def reduced(vectors: DataFrame, components: int = CONFIG.reduce_to) -> DataFrame:
-    """Vectors on their first principal components, in place of a learned layout: the same for every run."""
+    """Vectors on their first principal components."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -77,12 +78,16 @@ def refine_mega(vectors: DataFrame, low: DataFrame, labels: DataFrame, share: fl
     return done
 
 
-def cluster(vectors: DataFrame) -> DataFrame:
-    """(image_id, cluster_id): the whole procedure from vectors to labels."""
+def cluster(vectors: DataFrame, layout: bool = True) -> DataFrame:
+    """(image_id, cluster_id): the whole procedure from vectors to labels.
+
+    layout: densities are those of the learned layout, else of the principal components, which need no neighbours of the
+    vectors themselves.
+    """
     n = vectors.count()
     if n < 20:
         return kmeans_labels(vectors, max(1, min(n, CONFIG.kmeans_clusters)))
-    low = materialise(reduced(vectors), "low")
+    low = materialise(learned_layout(vectors) if layout else reduced(vectors), "low")
     labels = materialise(density_labels(low, min_cluster_size(n)), "labels")
     labels = materialise(refine_mega(vectors, low, labels), "labels")
     return noise_rescue(low, labels)

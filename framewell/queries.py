@@ -11,7 +11,7 @@ from framewell.config import EXCLUDED_DIRS
 from framewell.functions.hashes import unsigned
 from framewell.functions.paths import format_size, in_excluded_dir
 from framewell.functions.vectors import l2_normalised
-from framewell.operators import cluster, dedup, display, names, neighbours, scan, search, selection, stats, thumbs
+from framewell.operators import cluster, dedup, display, layout, names, neighbours, scan, search, selection, stats, thumbs
 from framewell.schema import conform
 from framewell.sources import fixtures as fx
 from framewell.sources.tables import read_table
@@ -557,6 +557,11 @@ def pca_reduce(spark, sf):
     return cluster.reduced(fx.vectors(spark, sf))
 
 
+@query()
+def learned_layout(spark, sf):
+    return layout.learned_layout(fx.vectors(spark, sf))
+
+
 @query()
 def kmeans_fallback(spark, sf):
     return cluster.kmeans_labels(fx.vectors(spark, sf).select("image_id", "vector"))
