@@ -23,7 +23,7 @@ from framewell.operators.catalog import Catalog
 from framewell.operators.scan import report_by_extension, stale, without_nested_roots
 from framewell.operators.stats import cluster_report, db_stats
 from framewell.session import materialise
-from framewell.sources import files
+from framewell.sources import files, rasters
 from framewell.streaming import batches
 
 
@@ -82,25 +82,24 @@ def regroup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radi
     return True
 
 
-def dedup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radius, move_to: str | None = None) -> DataFrame:
-    """Hashes what needs it, groups all hashes, keeps failures; returns the summary. With a folder, duplicates are moved there."""
+def dedup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radius, move_to: str | None = None, decoders: dict[str, Callable] | None = None) -> DataFrame:
+    """Hashes what needs it, groups all hashes, keeps failures; returns the summary. With a folder, duplicates are moved there.
+
+    decoders: by extension, for formats that the JVM can't read; images that failed for want of one are tried again.
+    """
     images = catalog.read("images")
     none = catalog.spark.createDataFrame([], "path string")
     todo = images if full else stale(images, catalog.read("image_hashes"), none, none)
     todo = materialise(todo, "todo")
     if full or not todo.isEmpty():
-        decoded = None
-        for root in [r["source"] for r in todo.select("source").distinct().collect()]:
-            some = files.decoded(catalog.spark, root, todo.filter(F.col("source") == root))
-            decoded = some if decoded is None else decoded.unionByName(some)
-        if decoded is not None:
-            told = materialise(with_reasons(files.pictures(catalog.spark, todo.select("path", "source", "mtime")), hashed(decoded)).drop("content"), "hashed")
-            good, bad = told.filter("reason is null"), told.filter("reason is not null")
-            catalog.update_dimensions(good.select("path", "width", "height"))
-            catalog.save_hashes(good.select("path", "phash", "mtime"), incremental=not full)
-            if not full:
-                catalog.delete("failed_files", told, ["path"])
-            catalog.save_failed(bad.select("path", "reason"), incremental=not full)
+        decoded = rasters.rasters(catalog.spark, todo, decoders)
+        told = materialise(with_reasons(files.pictures(catalog.spark, todo.select("path", "source", "mtime")), hashed(decoded)).drop("content"), "hashed")
+        good, bad = told.filter("reason is null"), told.filter("reason is not null")
+        catalog.update_dimensions(good.select("path", "width", "height"))
+        catalog.save_hashes(good.select("path", "phash", "mtime"), incremental=not full)
+        if not full:
+            catalog.delete("failed_files", told, ["path"])
+        catalog.save_failed(bad.select("path", "reason"), incremental=not full)
     regroup(catalog, full, radius)
     failed, images = catalog.read("failed_files"), catalog.read("images")
     groups = catalog.read("dedup_groups")
@@ -109,15 +108,22 @@ def dedup(catalog: Catalog, full: bool = False, radius: int = CONFIG.hash_radius
     return duplicates.dedup_summary(groups, images, failed)
 
 
-def embed(catalog: Catalog, load: Callable, full: bool = False, a_commit: int = 100_000) -> None:
+def embed(catalog: Catalog, load: Callable, full: bool = False, a_commit: int = 100_000, decoders: dict[str, Callable] | None = None) -> None:
     """Vectors of images that are neither duplicates nor failed; load() brings the model (contents to vectors).
 
+    With decoders, {} where the JVM's are enough, the model gets decoded pictures that stand upright in place of files.
+
     They are computed in batches of about a_commit images, each of which leaves a part of the table, so a run that
     breaks off goes on where it was and nothing is written twice.
     """
 
     def work(batch: DataFrame) -> DataFrame:
-        return embedding.embed(files.pictures(batch.sparkSession, batch), load)
+        if decoders is None:
+            return embedding.embed(files.pictures(batch.sparkSession, batch), load)
+        batch = materialise(batch, "batch")
+        read = rasters.rasters(batch.sparkSession, batch, decoders, turns=True)
+        picture = F.struct("height", "width", "channels", "data", "orientation").alias("picture")
+        return embedding.embed(batch.select("image_id", "mtime", "path").join(read.select("path", picture), "path"), load, "picture")
 
     if batches.pending(catalog, "embed"):
         batches.in_batches(catalog, "embed", "embeddings", work, a_batch=a_commit)
@@ -149,17 +155,12 @@ def phash_search(catalog: Catalog, query: int, radius: int = CONFIG.hash_radius,
     return found.join(catalog.read("images").select("image_id", "path"), "image_id").select("path", "distance", "rank").orderBy("rank")
 
 
-def prewarm_thumbnails(catalog: Catalog, limit: int | None = None) -> int:
-    """Makes thumbnails that are missing or stale; returns how many."""
-    todo = materialise(catalog.missing_thumbnails(limit).join(catalog.read("images").select("image_id", "source"), "image_id"), "todo")
-    decoded = None
-    for root in [r["source"] for r in todo.select("source").distinct().collect()]:
-        some = files.decoded(catalog.spark, root, todo.filter(F.col("source") == root))
-        decoded = some if decoded is None else decoded.unionByName(some)
-    if decoded is None:
+def prewarm_thumbnails(catalog: Catalog, limit: int | None = None, decoders: dict[str, Callable] | None = None) -> int:
+    """Makes thumbnails that are missing or stale, upright; returns how many. decoders: as for `dedup`."""
+    todo = materialise(catalog.missing_thumbnails(limit).join(catalog.read("images").select("image_id", "source", "ext"), "image_id"), "todo")
+    if todo.isEmpty():
         return 0
-    turns = files.orientations(files.pictures(catalog.spark, todo.select("path", "source")).filter("content is not null"))
-    made = thumbnails(decoded.join(turns, "path", "left")).filter("blob is not null")
+    made = thumbnails(rasters.rasters(catalog.spark, todo, decoders, turns=True)).filter("blob is not null")
     new = materialise(made.join(todo.select("path", "mtime", "size"), "path"), "thumbs")
     catalog.save_thumbnails(new)
     return new.count()
@@ -193,12 +194,17 @@ def loader(name: str) -> Callable:
     return getattr(import_module(module), function or "load")
 
 
-def run_pipeline(catalog: Catalog, roots: list[str], load: Callable | None = None, **options) -> DataFrame:
+def decoders_named(names: list[str] | None) -> dict[str, Callable] | None:
+    """Decoders by extension from ext=module:function; workers must find the modules too (--py-files)."""
+    return {ext.lower().lstrip("."): loader(name) for ext, _, name in (n.partition("=") for n in names)} if names else None
+
+
+def run_pipeline(catalog: Catalog, roots: list[str], load: Callable | None = None, decoders: dict[str, Callable] | None = None, **options) -> DataFrame:
     """Scan, dedup, and, where there is a model, embed and cluster."""
     scan(catalog, roots, **options)
-    dedup(catalog)
+    dedup(catalog, decoders=decoders)
     if load is not None:
-        embed(catalog, load)
+        embed(catalog, load, decoders=decoders)
         cluster(catalog)
     return stats(catalog)
 
@@ -233,6 +239,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     verb.add_argument("--top-k", type=int, default=CONFIG.search_top)
     for name in ("cluster", "stats", "clear"):
         verbs.add_parser(name)
+    for name in ("run", "dedup", "embed", "thumbnails"):
+        verbs.choices[name].add_argument("--decoder", action="append", help="ext=module:function that decodes files of this extension; with one, models get decoded pictures")
     o = parser.parse_args(arguments)
     catalog = Catalog(spark or SparkSession.builder.getOrCreate(), o.catalog)
     if o.verb in ("scan", "run"):
@@ -240,9 +248,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         if o.verb == "scan":
             scan(catalog, split_list(o.path), **options).groupBy("status").count().show()
         else:
-            run_pipeline(catalog, split_list(o.path), loader(o.model) if o.model else None, **options).show()
+            run_pipeline(catalog, split_list(o.path), loader(o.model) if o.model else None, decoders_named(o.decoder), **options).show()
     elif o.verb == "embed":
-        embed(catalog, loader(o.model), o.full)
+        embed(catalog, loader(o.model), o.full, decoders=decoders_named(o.decoder))
     elif o.verb == "search":
         search(catalog, embedding.query_vector(loader(o.model), o.query), o.top_k, o.threshold).show(truncate=False)
     elif o.verb == "report":
@@ -250,9 +258,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             print(name)
             rows.show(truncate=False)
     elif o.verb == "thumbnails":
-        print(prewarm_thumbnails(catalog, o.limit))
+        print(prewarm_thumbnails(catalog, o.limit, decoders_named(o.decoder)))
     elif o.verb == "dedup":
-        dedup(catalog, o.full, move_to=o.move).show()
+        dedup(catalog, o.full, move_to=o.move, decoders=decoders_named(o.decoder)).show()
     elif o.verb == "phash-search":
         value = o.hash - (1 << 64) if o.hash >= 1 << 63 else o.hash
         phash_search(catalog, value, top_k=o.top_k).show(truncate=False)

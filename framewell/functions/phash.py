@@ -81,10 +81,15 @@ def hashed(decoded: DataFrame) -> DataFrame:
 
 
 def with_reasons(files: DataFrame, hashes: DataFrame) -> DataFrame:
-    """files with phash, width, height and the reason of a failure: not_found without any content, corrupt without a hash."""
+    """files with phash, width, height and the reason of a failure: not_found without any content; without a hash,
+    unsupported if the bytes are of a format that the JVM has no decoder for, else corrupt."""
     from pyspark.sql import functions as F
 
+    from framewell.sources.rasters import picture_format
+
     told = hashes.select("path", "phash", "width", "height", F.lit(True).alias("_read"))
     rows = files.join(told, "path", "left")
     missing = F.col("content").isNull() if "content" in files.columns else F.lit(False)
-    return rows.withColumn("reason", F.when(missing, "not_found").when(F.col("phash").isNull(), "corrupt")).drop("_read")
+    foreign = picture_format(F.col("content")) == "webp" if "content" in files.columns else F.lit(False)
+    reason = F.when(missing, "not_found").when(F.col("phash").isNull() & foreign & F.col("_read").isNull(), "unsupported").when(F.col("phash").isNull(), "corrupt")
+    return rows.withColumn("reason", reason).drop("_read")

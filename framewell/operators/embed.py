@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewell.config import CONFIG
+from framewell.functions.exif import turned
 from framewell.functions.vectors import l2_normalised
 from framewell.operators.scan import stale
 
@@ -28,8 +30,23 @@ def loaded(model: bytes) -> Callable:
     return _MODELS[model]
 
 
+def seen(value):
+    """A model's input: a decoded picture (height, width, channels, data, orientation) as upright rows of points, anything
+    else as it is; None for a picture whose sizes and bytes disagree."""
+    if not isinstance(value, dict):
+        return value
+    try:
+        raster = np.frombuffer(value["data"], np.uint8).reshape(value["height"], value["width"], value["channels"])
+    except (TypeError, ValueError):
+        return None
+    return turned(raster, value["orientation"])
+
+
 def embed(rows: DataFrame, load: Callable[[], Callable[[list], list]], column: str = "content", batch: int = CONFIG.embed_batch) -> DataFrame:
-    """(image_id, vector, mtime) of the rows; where a batch fails its rows are tried one by one, and those that fail are left out."""
+    """(image_id, vector, mtime) of the rows; where a batch fails its rows are tried one by one, and those that fail are left out.
+
+    A column of decoded pictures reaches the model as upright arrays.
+    """
 
     def encode(model, values: list) -> list:
         try:
@@ -46,8 +63,9 @@ def embed(rows: DataFrame, load: Callable[[], Callable[[list], list]], column: s
 
         model = shared.loaded(pickled)
         for b in batches:
-            ids, mtimes, values = (c.to_pylist() for c in b.columns)
-            vectors = [v for k in range(0, len(values), batch) for v in encode(model, values[k : k + batch])]
+            rows_in = [(i, m, x) for i, m, v in zip(*(c.to_pylist() for c in b.columns), strict=True) if (x := shared.seen(v)) is not None]
+            ids, mtimes, values = zip(*rows_in, strict=True) if rows_in else ((), (), ())
+            vectors = [v for k in range(0, len(values), batch) for v in encode(model, list(values[k : k + batch]))]
             kept = [k for k, v in enumerate(vectors) if v is not None]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[k] for k in kept], pa.int64()), pa.array([[float(x) for x in vectors[k]] for k in kept], pa.list_(pa.float32())), pa.array([mtimes[k] for k in kept], pa.float64())],
