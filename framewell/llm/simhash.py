@@ -10,7 +10,7 @@ together grow with the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -206,9 +206,9 @@ WIDE, KEY_BITS, FEW = 4, 16, 8
 #: Words of a long fingerprint, which is told for nodes that have a candidate, and standard deviations beyond the expected
 #: distance up to which nodes are candidates by the wide and by the long one.
 LONG, MARGIN, LONG_MARGIN = 32, 3.0, 2.0
-#: Nodes of a shard from which on it first meets its middle alone, growth of what a round asks for a node, and sets
-#: that one task compares with a node's.
-MIDDLE, GROWTH, COMPARED = 512, 8, 500
+#: Nodes of a shard from which on it first meets its middle alone, sets that one task compares with a node's, and
+#: shingles of a part of a shard that is cut in parts, which are 4,096 at most.
+MIDDLE, COMPARED, HELD, PARTS = 512, 500, 4_000_000, 1 << 12
 
 
 def shingle_hashes(data: bytes, shingle: int = 5) -> np.ndarray:
@@ -254,11 +254,16 @@ def tables_for(similarity: float, rows: int, recall: float = 0.98) -> tuple[int,
     return int(np.ceil(np.log(1 - recall) / np.log(1 - same))), bits
 
 
+def _places(tables: int, bits: int) -> np.ndarray:
+    """The bits that each table's key samples."""
+    rng = np.random.default_rng(20)
+    return np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)])
+
+
 def _keys(tables: int, bits: int):
     """mapInArrow work: the row with its key in each table before it; a key is a sample of the bits, after the table's
     number. The row's first columns are node, size and the words."""
-    rng = np.random.default_rng(20)
-    places = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)])
+    places = _places(tables, bits)
 
     def run(batches):
         for b in batches:
@@ -273,13 +278,20 @@ def _keys(tables: int, bits: int):
 
 class Shards:
     """Nodes of shards in order: key, node, size of the shingle set, words, component, the candidate (distance, node) up to
-    which a node has been compared, and, where it is known, the long fingerprint."""
+    which a node has been compared, and, where they are known, the long fingerprint, and the side on which a node stands
+    where two parts of a shard meet (0: all of one part meet each other)."""
 
     def __init__(self, columns: list[np.ndarray]) -> None:
         self.key, self.node, self.size = columns[:3]
         self.words = np.stack([c.view(np.uint64) for c in columns[3 : 3 + WIDE]], axis=1)
         self.component, self.far, self.other = columns[3 + WIDE : 6 + WIDE]
         self.long = np.frombuffer(b"".join(columns[6 + WIDE]), np.uint64).reshape(len(self.key), LONG) if len(columns) > 6 + WIDE else None
+        self.side = columns[7 + WIDE] if len(columns) > 7 + WIDE else None
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shards begin, and their sizes."""
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(self.key)) + 1)) if len(self.key) else np.empty(0, np.int64)
+        return starts, np.diff(np.append(starts, len(self.key)))
 
     def distance(self, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
         return np.bitwise_count(self.words[i] ^ self.words[j]).sum(axis=-1, dtype=np.int64)
@@ -289,6 +301,8 @@ class Shards:
         be in one component."""
         a, b = self.size[i], self.size[j]
         on = near & (np.minimum(a, b) >= similarity * np.maximum(a, b)) & (self.component[i] != self.component[j])
+        if self.side is not None:
+            on &= (self.side[i] == 0) | (self.side[i] != self.side[j])
         if self.long is not None:
             k = np.flatnonzero(on)
             far = np.bitwise_count(self.long[i[k]] ^ self.long[j if np.isscalar(j) else j[k]]).sum(axis=-1, dtype=np.int64)
@@ -320,6 +334,57 @@ def nearest(q: np.ndarray, far: np.ndarray, other: np.ndarray, k: int) -> np.nda
     return order[rank < k]
 
 
+def _few_pairs(s: Shards, sizes: np.ndarray, radius: int, similarity: float) -> Iterator[tuple]:
+    """(i, j, distance), i first, of near nodes in shards of few: a tree prunes nothing there, so they are compared side by side, all at once."""
+    few = np.repeat((sizes > 1) & (sizes <= FEW), sizes)
+    for step in range(1, FEW):
+        i = np.flatnonzero(few[:-step] & (s.key[:-step] == s.key[step:])) if len(s.key) > step else np.empty(0, np.int64)
+        far = s.distance(i, i + step)
+        on = s.fit(i, i + step, far <= radius, similarity)
+        yield i[on], i[on] + step, far[on]
+
+
+def _tree_pairs(s: Shards, a: int, z: int, radius: int, similarity: float) -> Iterator[tuple]:
+    """(i, j, distance), each pair both ways, of near nodes in [a, z), by a BK-tree of all nodes but those of the largest
+    component, which need no comparison with each other."""
+    places = np.arange(a, z)
+    names, of, many = np.unique(s.component[a:z], return_inverse=True, return_counts=True)
+    large = of == many.argmax()
+    todo = [] if len(names) == 1 else [(tree_of(s, places[~large]), places)]
+    while todo:
+        (place, children), some = todo.pop()
+        far = s.distance(some, place)
+        on = s.fit(some, place, far <= radius, similarity)
+        q, o, d = some[on], np.full(on.sum(), place), far[on]
+        back = large[q - a]
+        yield np.append(q, o[back]), np.append(o, q[back]), np.append(d, d[back])
+        for d, child in children.items():
+            on = some[np.abs(far - d) <= radius]
+            if len(on):
+                todo.append((child, on))
+
+
+def _whole_shards(batches) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that are sorted by the first one, cut between its values only."""
+    held: list[list] = []
+
+    def joined(parts):
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not held or columns[0][-1] != held[-1][0][-1]:
+            end = int(np.searchsorted(columns[0], columns[0][-1]))
+            if held or end:
+                yield joined([*held, [c[:end] for c in columns]])
+            held, columns = [], [c[end:] for c in columns]
+        held.append(columns)
+    if held:
+        yield joined(held)
+
+
 def _candidates(radius: int, similarity: float, k: int, middles: bool):
     """mapInArrow work over rows sorted by key: (node, other, far), for each node of a shard the k nearest of other
     components beyond those it has been compared with. With `middles` the nodes of a large shard get the node nearest
@@ -332,34 +397,14 @@ def _candidates(radius: int, similarity: float, k: int, middles: bool):
         return q[best], o[best], far[best]
 
     def by_tree(s: Shards, a: int, z: int):
-        """Pairs of [a, z) by a BK-tree of all nodes but those of the largest component, which need no comparison with each other."""
-        places = np.arange(a, z)
-        names, of, many = np.unique(s.component[a:z], return_inverse=True, return_counts=True)
-        large = of == many.argmax()
-        if len(names) == 1:
-            return [places[:0]] * 3
-        found, held, todo = [], 0, [(tree_of(s, places[~large]), places)]
-
-        def settle():
-            q, o, far = (np.concatenate(x) for x in zip(*found, strict=True))
-            return [beyond(s, q, o, far)]
-
-        while todo:
-            (place, children), some = todo.pop()
-            far = s.distance(some, place)
-            on = s.fit(some, place, far <= radius, similarity)
-            q, o, d = some[on], np.full(on.sum(), place), far[on]
-            back = large[q - a]
-            found.append((np.append(q, o[back]), np.append(o, q[back]), np.append(d, d[back])))
-            held += len(found[-1][0])
+        found, held = [(np.empty(0, np.int64),) * 3], 0
+        for pairs in _tree_pairs(s, a, z, radius, similarity):
+            found.append(pairs)
+            held += len(pairs[0])
             if held > 1_000_000:  # the nearest stay as pairs come, so a dense shard holds few of them
-                found = settle()
+                found = [beyond(s, *(np.concatenate(x) for x in zip(*found, strict=True)))]
                 held = len(found[0][0]) - 1_000_000
-            for d, child in children.items():
-                on = some[np.abs(far - d) <= radius]
-                if len(on):
-                    todo.append((child, on))
-        return settle()[0]
+        return beyond(s, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     def by_middle(s: Shards, a: int, z: int):
         ones = np.zeros(64 * WIDE, np.int64)
@@ -373,15 +418,8 @@ def _candidates(radius: int, similarity: float, k: int, middles: bool):
         return places[on], np.full(on.sum(), hub), far[on]
 
     def told(s: Shards):
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(s.key)) + 1)) if len(s.key) else np.empty(0, np.int64)
-        sizes = np.diff(np.append(starts, len(s.key)))
-        # a tree of so few nodes prunes nothing: such shards are compared side by side, all at once
-        few, pairs = np.repeat((sizes > 1) & (sizes <= FEW), sizes), []
-        for step in range(1, FEW):
-            i = np.flatnonzero(few[:-step] & (s.key[:-step] == s.key[step:])) if len(s.key) > step else np.empty(0, np.int64)
-            far = s.distance(i, i + step)
-            on = s.fit(i, i + step, far <= radius, similarity)
-            pairs += [(i[on], i[on] + step, far[on]), (i[on] + step, i[on], far[on])]
+        starts, sizes = s.runs()
+        pairs = [x for i, j, far in _few_pairs(s, sizes, radius, similarity) for x in ((i, j, far), (j, i, far))]
         out, more = [beyond(s, *(np.concatenate(x) for x in zip(*pairs, strict=True)))], []
         for n in np.flatnonzero(sizes > FEW).tolist():
             a, z = int(starts[n]), int(starts[n] + sizes[n])
@@ -397,20 +435,118 @@ def _candidates(radius: int, similarity: float, k: int, middles: bool):
         return pa.RecordBatch.from_arrays(columns, names=["node", "other", "far"])
 
     def run(batches):
-        held = None
-        for b in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            held = columns if held is None else [np.append(x, y) for x, y in zip(held, columns, strict=True)]
-            end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if end:
-                yield told(Shards([x[:end] for x in held]))
-                held = [x[end:] for x in held]
-        if held is not None and len(held[0]):
-            yield told(Shards(held))
+        for columns in _whole_shards(batches):
+            yield told(Shards(columns))
+
+    return run
+
+
+def _cells(keyed: DataFrame, live: DataFrame, tables: int, bits: int) -> DataFrame:
+    """The keyed rows with their cell and side: a shard, or where it has much to compare, two of its parts that meet.
+
+    What a shard compares are the pairs of different components, so one that is a single group stays whole.
+    """
+    thin = live.select("node", "size", *[f"w{k}" for k in range(WIDE)], "component")
+    thin = thin.mapInArrow(_keys(tables, bits), ", ".join(f"{n} long" for n in ("key", *thin.columns))).groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    of = thin.groupBy("key").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"), F.sum("held").alias("held"), F.count("*").alias("many"))
+    parts = F.greatest(F.ceil(F.sqrt(F.col("n") * F.col("n") - F.col("same")) / COMPARED), F.ceil(F.col("held") / HELD))
+    crowded = materialise(of.filter("many > 1").select(F.col("key").alias("_key"), F.least(parts, F.lit(PARTS)).cast("int").alias("parts")).filter("parts > 1"), "crowded")
+    own = keyed.join(small(crowded), F.col("key") == F.col("_key"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    met = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    cell = (F.col("key") * PARTS + F.least("part", "with")) * PARTS + F.greatest("part", "with")
+    side = F.when(F.col("part") == F.col("with"), 0).when(F.col("part") < F.col("with"), 1).otherwise(2)
+    return met.select(cell.alias("cell"), *[c for c in keyed.columns if c != "key"], side.cast("long").alias("side"))
+
+
+def _undecided(s: Shards, radius: int, similarity: float, sampled: np.ndarray, bits: int) -> Iterator[tuple]:
+    """(i, j) of near nodes that have not been compared yet, nearest first in some thousand pairs, each pair in the first
+    table alone where both have one key (sampled: a row a table, 1 at the bits of its key)."""
+    starts, sizes = s.runs()
+    large = np.flatnonzero(sizes > FEW).tolist()
+    trees = (x for n in large for x in _tree_pairs(s, int(starts[n]), int(starts[n] + sizes[n]), radius, similarity))
+
+    def asked(i, j, far):
+        return (far < s.far[i]) | ((far == s.far[i]) & (s.node[j] <= s.other[i]))
+
+    def settled(found):
+        i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
+        on = ~asked(i, j, far) & ~asked(j, i, far)
+        i, j, far = i[on], j[on], far[on]
+        differ = np.unpackbits((s.words[i] ^ s.words[j]).view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little").astype(np.float32)
+        on = (differ @ sampled.T == 0).argmax(axis=1) == s.key[i] // (PARTS * PARTS) >> bits
+        order = np.argsort(far[on], kind="stable")
+        return i[on][order], j[on][order]
+
+    found, held = [], 0
+    for i, j, far in chain(_few_pairs(s, sizes, radius, similarity), trees):
+        on = i < j
+        if on.any():
+            found.append((i[on], j[on], far[on]))
+            held += len(found[-1][0])
+        if held > 1 << 14:
+            yield settled(found)
+            found, held = [], 0
+    if found:
+        yield settled(found)
+
+
+def _sampled(tables: int, bits: int) -> np.ndarray:
+    out = np.zeros((tables, 64 * WIDE), np.float32)
+    np.put_along_axis(out, _places(tables, bits), 1, axis=1)
+    return out
+
+
+def _pending(radius: int, similarity: float, tables: int, bits: int):
+    """mapInArrow work over rows sorted by cell: (cell, node, side) of the nodes that have something to compare there, a row each."""
+    sampled = _sampled(tables, bits)
+
+    def run(batches):
+        for columns in _whole_shards(batches):
+            s = Shards(columns)
+            on = np.zeros(len(s.key), bool)
+            for i, j in _undecided(s, radius, similarity, sampled, bits):
+                on[i] = on[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (s.key, s.node, s.side)], names=["cell", "node", "side"])
+
+    return run
+
+
+def _joined(radius: int, similarity: float, tables: int, bits: int):
+    """mapInArrow work over rows sorted by cell, with the nodes' whole sets at the end: (src, dst), links that join
+    components. Pairs that links of the task have joined already are not compared, so there are fewer links than nodes."""
+    sampled = _sampled(tables, bits)
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        for columns in _whole_shards(batches):
+            s, sets = Shards(columns[:-1]), columns[-1]
+            out: list[list] = [[], []]
+            for i, j in _undecided(s, radius, similarity, sampled, bits):
+                before = len(out[0])
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    a, b = find(int(s.component[x])), find(int(s.component[y]))
+                    if a != b and similar(np.frombuffer(sets[x], np.uint64), np.frombuffer(sets[y], np.uint64), similarity):
+                        root[a] = b
+                        out[0].append(int(s.node[x]))
+                        out[1].append(int(s.node[y]))
+                if len(out[0]) > before:
+                    s.component = np.array([find(c) for c in s.component.tolist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["src", "dst"])
 
     return run
 
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
 def _sets(docs: DataFrame, text_col: str, nodes: DataFrame, work, schema: str) -> DataFrame:
     """(node, what work makes of its text's bytes) for nodes (node, text_a, text_b): each is told from one of its texts."""
     keyed = docs.select(F.col(text_col).alias("text"), *_text_key(text_col)).join(small(nodes), ["text_a", "text_b"])
@@ -448,8 +584,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sets_of, similarity: float) ->
                 if a is None:
                     held = some
                     continue
-                both = len(np.intersect1d(held, some, assume_unique=True))
-                if both >= similarity * (len(held) + len(some) - both) - 1e-9:
+                if similar(held, some, similarity):
                     out[0].append(a)
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["src", "dst"])
@@ -465,9 +600,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     told from the whole sets, and only for candidates. These are searched by wide fingerprints in tables whose keys are
     samples of the bits, each bucket a shard with a BK-tree of its own; tables are as many as find a link of just this
     similarity with 98 per cent, closer ones more surely. Nodes that have candidates get a long fingerprint, by which
-    most of those below the similarity fall away. In rounds, each node asks for its nearest candidates of other
-    components, more from round to round, and leaves when it has been compared with all; so a group of copies is joined
-    by few comparisons, and candidates fall away only by their long fingerprints, some 2 % of true links among them. Null and empty texts are alike.
+    most of those below the similarity fall away, some 2 % of true links among them. First each node is compared with its
+    nearest candidate, which joins a group of copies by few comparisons. Then the nodes that have candidates in other
+    components come to the buckets where these are, with their whole sets, and are compared there: rows are nodes of
+    buckets and links that join components, never pairs. Null and empty texts are alike.
     """
     text_batches(docs.sparkSession)
     names = [f"w{k}" for k in range(WIDE)]
@@ -485,37 +621,34 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tables, bits = tables_for(similarity, known.count())
     radius, columns = wide_radius(similarity, MARGIN), ["node", "size", *names]
     more = ["component long", "seen_far long", "seen long", "long binary"]
-    texts, long = known.select("node", "key.text_a", "key.text_b"), None
+    texts = known.select("node", "key.text_a", "key.text_b")
 
     def grams_of(nodes):
         return _sets(docs, text_col, nodes, lambda x: shingle_hashes(x, shingle).tobytes(), "grams binary")
 
-    live, edges, label, k = known.filter("size > 0").select(*columns), None, None, 1
-    while True:
-        first = edges is None
-        keyed = live.mapInArrow(_keys(tables, bits), ", ".join([*[f"{n} long" for n in ("key", *columns)], *([] if first else more)]))
-        dealt = keyed.repartition("key").sortWithinPartitions("key")
-        if first:  # constant columns are not shuffled
-            dealt = dealt.select("*", F.col("node").alias("component"), F.lit(-1).cast("long").alias("seen_far"), F.lit(0).cast("long").alias("seen"))
-        found = dealt.mapInArrow(_candidates(radius, similarity, k, first), "node long, other long, far long")
-        pick = F.when(F.col("other").isNotNull(), F.struct("far", "other"))
-        asked = found.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(pick)), 1, k).alias("picks"), F.max(F.col("other").isNull()).alias("open"))
-        asked = materialise(asked, "asked")
-        links = materialise(_verified(asked.select("node", F.explode("picks").alias("p")).select("node", "p.other"), texts, grams_of, similarity), "links")
-        if edges is None or not links.isEmpty():
-            edges = links if edges is None else edges.unionByName(links)
-            label = materialise(connected_components(edges), "label")
-        # one that got all it asked for asks on from there; one that met a large shard's middle alone asks anew
-        last, anew = F.get("picks", F.lit(k - 1)), F.col("open")
-        still = asked.filter(anew | (F.size("picks") == k)).select("node", F.when(anew, F.lit(-1)).otherwise(last["far"]).cast("long").alias("seen_far"), F.when(anew, F.lit(0)).otherwise(last["other"]).cast("long").alias("seen"))
-        if long is None:
-            asking = materialise(texts.join(still.select("node"), "node"), "asking")
-            long = materialise(_sets(docs, text_col, asking, lambda x: wide_bits(shingle_hashes(x, shingle), LONG).tobytes(), "long binary"), "long")
-        live = live.select(*columns).join(still, "node").join(long, "node").join(label, "node", "left").select(*columns, F.coalesce("component", "node").alias("component"), "seen_far", "seen", "long")
-        live = materialise(live, "live")
-        if live.isEmpty():
-            break
-        k *= GROWTH
+    nodes = known.filter("size > 0").select(*columns)
+    keyed = nodes.mapInArrow(_keys(tables, bits), ", ".join(f"{n} long" for n in ("key", *columns)))
+    dealt = keyed.repartition("key").sortWithinPartitions("key")  # constant columns are not shuffled
+    dealt = dealt.select("*", F.col("node").alias("component"), F.lit(-1).cast("long").alias("seen_far"), F.lit(0).cast("long").alias("seen"))
+    found = dealt.mapInArrow(_candidates(radius, similarity, 1, True), "node long, other long, far long")
+    pick = F.min(F.when(F.col("other").isNotNull(), F.struct("far", "other")))
+    asked = materialise(found.groupBy("node").agg(pick.alias("p"), F.max(F.col("other").isNull()).alias("open")), "asked")
+    edges = materialise(_verified(asked.filter("p is not null").select("node", "p.other"), texts, grams_of, similarity), "links")
+    label = materialise(connected_components(edges), "label")
+
+    # what else is near is compared where it meets; one that met a large shard's middle alone may have nearer ones
+    long = materialise(_sets(docs, text_col, materialise(texts.join(asked.select("node"), "node"), "asking"), lambda x: wide_bits(shingle_hashes(x, shingle), LONG).tobytes(), "long binary"), "long")
+    seen = asked.select("node", F.when(F.col("open"), -1).otherwise(F.col("p.far")).cast("long").alias("seen_far"), F.when(F.col("open"), 0).otherwise(F.col("p.other")).cast("long").alias("seen"))
+    live = nodes.join(seen, "node").join(long, "node").join(label, "node", "left").select(*columns, F.coalesce("component", "node").alias("component"), "seen_far", "seen", "long")
+    live = materialise(live, "live")
+    keyed = live.mapInArrow(_keys(tables, bits), ", ".join([*[f"{n} long" for n in ("key", *columns)], *more]))
+    cells = _cells(keyed, live, tables, bits).select("cell", *live.columns, "side").repartition("cell").sortWithinPartitions("cell")
+    pending = materialise(cells.mapInArrow(_pending(radius, similarity, tables, bits), "cell long, node long, side long"), "pending")
+    sets = materialise(grams_of(materialise(texts.join(pending.select("node").distinct(), "node"), "named")), "sets")
+    met = pending.join(live, "node").join(sets, "node").select("cell", *live.columns, "side", "grams").repartition("cell").sortWithinPartitions("cell")
+    joined = materialise(met.mapInArrow(_joined(radius, similarity, tables, bits), "src long, dst long"), "joined")
+    if not joined.isEmpty():
+        label = materialise(connected_components(edges.unionByName(joined)), "label")
     told = known.select("node", "low", "rows").join(label.withColumnRenamed("component", "rep"), "node", "left").select("node", "low", "rows", F.coalesce("rep", "node").alias("rep"))
     told = materialise(told, "known")
     least = told.groupBy("rep").agg(F.min("low").alias("component"), F.count("*").alias("nodes"))

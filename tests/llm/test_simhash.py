@@ -206,3 +206,33 @@ def test_each_group_keeps_one_row_whatever_its_ids(spark):
         kept = keep_first(docs, similar_documents(docs))
         want = [(None, words[0], "x"), (None, words[1], "w"), (7, words[2], "x"), (2, words[3], "x"), (1, words[4], "y"), (None, None, "x")]
         assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want)) and kept.columns == docs.columns
+
+
+def test_rows_grow_with_the_nodes_of_a_group_and_not_with_its_pairs(spark, monkeypatch):
+    """Near copies of one text, all pairs of them just below 0.8, and one copy of the first that is above."""
+    rng, words = random.Random(5), [f"w{k}" for k in range(1500)]
+    texts = []
+    for _ in range(160):
+        copy = list(words)
+        for k in rng.sample(range(1500), 21):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    made, write = {}, simhash.materialise
+
+    def counted(df, tag):
+        out = write(df, tag)
+        made[-1] = made.get(-1, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    got = {}
+    for n, compared in ((80, 500), (160, 500), (80, 20)):
+        made[-1] = 0
+        monkeypatch.setattr(simhash, "COMPARED", compared)
+        rows = [*enumerate(texts[:n]), (1000, texts[0] + " more")]
+        got[n, compared] = sorted((r.id, r.component) for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        made[n, compared] = made[-1]
+    assert made[160, 500] < 2.6 * made[80, 500], made
+    assert got[80, 20] == got[80, 500] and (1000, 0) in got[160, 500]
+    pairs = alike(dict(enumerate(texts[:80])))
+    assert max(pairs.values()) < 0.8 and [c for i, c in got[80, 500] if i < 1000] == [*range(80)]
