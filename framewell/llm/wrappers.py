@@ -52,6 +52,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NO_CDATA = re.compile(_TOKEN.pattern.replace(r"|<!\[CDATA\[.*?\]\]>", ""), re.S | re.I)
+_NO_MARK = re.compile(_NO_CDATA.pattern.replace("|<[!?][^>]*>", ""), re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -89,11 +90,12 @@ def host_of(url: str | None) -> str:
 
 
 def _tokens(html: str):
-    """Matches of _TOKEN; after the last `]]>` no CDATA section is looked for, each of which would be sought to the end."""
-    last, at = html.rfind("]]>"), 0
-    if "<![CDATA[" in html:
+    """Matches of _TOKEN; after the last `]]>` no CDATA section is looked for, and after the last `>` no declaration, each
+    of which would be sought to the end."""
+    last, end, at = html.rfind("]]>"), html.rfind(">"), 0
+    if "<![CDATA[" in html or html.find("<!", end + 1) >= 0 or html.find("<?", end + 1) >= 0:
         while at < len(html):
-            m = (_TOKEN if at < last else _NO_CDATA).match(html, at)
+            m = (_TOKEN if at < last else _NO_CDATA if at < end else _NO_MARK).match(html, at)
             yield m
             at = m.end()
     else:

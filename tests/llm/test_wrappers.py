@@ -2,6 +2,7 @@ import json
 import random
 import re
 
+from framewell.llm import wrappers
 from framewell.llm import wrappers as w
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><script>var t="</p><article>no";</script><style>p{}</style></head><body class="has-sidebar">
