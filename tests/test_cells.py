@@ -42,7 +42,7 @@ def test_candidates_are_each_told_once_and_never_shuffled(spark, monkeypatch, va
 def test_pairs_of_images_are_each_told_once_and_never_shuffled(spark, monkeypatch, values, cell, step, bands):
     monkeypatch.setattr(cells, "CELL", cell)
     monkeypatch.setattr(cells, "STEP", step)
-    n, far = len(values), np.bitwise_count(values[:, None] ^ values[None])
+    n, far = len(values), np.bitwise_count((values[:, None] ^ values[None]).view(np.uint64))
     found = dedup.near_pairs(frame(spark, values), 6, bands)
     assert sorted(map(tuple, found.collect())) == [(i, j, int(far[i, j])) for i in range(n) for j in range(i + 1, n) if far[i, j] <= 6]
     assert shuffles(found)[0] == 0
