@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewell.config import CONFIG
-from framewell.plans.pivots import BLOCK, Blocks, choose_pivots, distances, partition, unpack
+from framewell.plans.pivots import BLOCK, SLACK, Blocks, all_with_all, choose_pivots, distances, pair_distances, partition, squared, unpack, within
 from framewell.session import materialise
 
 
@@ -19,10 +19,11 @@ from framewell.session import materialise
 class Meetings:
     """Which blocks of queries have to meet which blocks of training rows, with what each query knows by then."""
 
-    queries: DataFrame  # (block, rows, reach): reach, a number a query, is no less than its k-th distance
+    queries: DataFrame  # (block, rows, reach, others): reach, a number a query, is no less than its k-th distance
     train: Blocks
     pairs: DataFrame  # (block, other)
     possible: int
+    size: int  # bytes of the training rows
 
     def share(self) -> float:
         """Share of all pairs of blocks that meet."""
@@ -54,67 +55,99 @@ def meetings(queries: DataFrame, train: DataFrame, k: int = CONFIG.knn, itself:
                 out.append(int(known.numbers[full[far[full].argmin()] if len(full) else known.n.argmax()]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["block", "other"])
 
+    def farthest(q: dict, t: dict) -> np.ndarray:
+        """No less than the k-th distance of each query among t."""
+        if len(t["vector"]) < k:
+            return np.full(len(q["vector"]), np.inf)
+        table = squared(q["vector"], t["vector"])
+        far = distances(q["vector"], t["vector"]) if table is None else table[0]
+        if not itself:
+            far[q["image_id"][:, None] == t["image_id"][None, :]] = np.inf
+        low = np.partition(far, k - 1, axis=1)[:, k - 1]
+        return low if table is None else np.sqrt(np.maximum(low.astype(np.float64) + table[1], 0)) * table[2] * (1 + SLACK)
+
+    def wanted(x: np.ndarray, reach: np.ndarray) -> list[int]:
+        """The blocks that may hold a row no farther than a query's reach."""
+        on = np.zeros(len(known.numbers), bool)
+        step = max(1, (1 << 22) // len(on))
+        for at in range(0, len(x), step):
+            on |= (known.bounds(distances(x[at : at + step], pivots)) <= reach[at : at + step, None]).any(axis=0)
+        return known.numbers[on].tolist()
+
     def reached(batches):
         for b in batches:
-            out = []
+            out, others = [], []
             for mine, theirs in zip(b.column(1), b.column(2), strict=True):
-                q, t = unpack(mine), unpack(theirs)
-                far = distances(q["vector"], t["vector"])
-                if not itself:
-                    far[q["image_id"][:, None] == t["image_id"][None, :]] = np.inf
-                out.append(np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] >= k else np.full(len(far), np.inf))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64()))], names=["block", "rows", "reach"])
-
-    def meet(batches):
-        for b in batches:
-            mine, other = [], []
-            for number, cell, reach in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                x, reach = unpack(cell)["vector"], reach.values.to_numpy()
-                on = np.zeros(len(known.numbers), bool)
-                step = max(1, (1 << 22) // len(on))
-                for at in range(0, len(x), step):
-                    on |= (known.bounds(distances(x[at : at + step], pivots)) <= reach[at : at + step, None]).any(axis=0)
-                other += known.numbers[on].tolist()
-                mine += [number] * int(on.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array(other, pa.int64())], names=["block", "other"])
+                q = unpack(mine)
+                out.append(farthest(q, unpack(theirs)))
+                others.append(wanted(q["vector"], out[-1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64())), pa.array(others, pa.list_(pa.int64()))], names=["block", "rows", "reach", "others"])
 
     theirs = found.rows.select(F.col("block").alias("other"), F.col("rows").alias("theirs"))
     kind = asked.rows.schema["rows"].dataType.simpleString()
     first = asked.rows.mapInArrow(home, "block long, other long").join(asked.rows, "block").join(theirs, "other").select("block", "rows", "theirs")
-    told = materialise(first.mapInArrow(reached, f"block long, rows {kind}, reach array<double>"), "reach")
-    pairs = materialise(told.mapInArrow(meet, "block long, other long"), "meetings")
-    return Meetings(told, found, pairs, len(asked.numbers) * len(found.numbers))
+    told = materialise(first.mapInArrow(reached, f"block long, rows {kind}, reach array<double>, others array<long>"), "reach")
+    pairs = told.select("block", F.explode("others").alias("other"))
+    return Meetings(told, found, pairs, len(asked.numbers) * len(found.numbers), n_train * (pivots.shape[1] + 8) * 8)
+
+
+class _Nearest:
+    """The k nearest rows of each query of a block, of those met so far: by (distance, id)."""
+
+    def __init__(self, q: dict, reach: np.ndarray, k: int, itself: bool):
+        self.q, self.most, self.k, self.itself = q, reach.copy(), k, itself
+        self.far, self.ids = np.full((len(reach), k), np.inf), np.full((len(reach), k), np.iinfo(np.int64).max)
+
+    def meet(self, t: dict) -> None:
+        q, k = self.q, self.k
+        table = squared(q["vector"], t["vector"])
+        hit = distances(q["vector"], t["vector"]) <= self.most[:, None] if table is None else within(table, self.most)
+        if not self.itself:
+            hit &= q["image_id"][:, None] != t["image_id"][None, :]
+        i, j = np.divmod(np.flatnonzero(hit), hit.shape[1])
+        far = pair_distances(q["vector"], t["vector"], i, j)
+        near = (far <= self.most[i]) & np.isfinite(far)
+        i, far, ids = i[near], far[near], t["image_id"][j[near]]
+        if not len(i):
+            return
+        rows = np.unique(i)
+        i, far, ids = (np.concatenate(c) for c in ((i, np.repeat(rows, k)), (far, self.far[rows].ravel()), (ids, self.ids[rows].ravel())))
+        order = np.lexsort((ids, far, i))
+        first = order[np.searchsorted(i[order], rows)[:, None] + np.arange(k)]
+        self.far[rows], self.ids[rows] = far[first], ids[first]
+        self.most = np.minimum(self.most, self.far[:, -1])
+
+    def found(self) -> pa.RecordBatch:
+        row, place = np.nonzero(np.isfinite(self.far))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (self.q["image_id"][row], self.ids[row, place], self.far[row, place])], names=["query_id", "image_id", "distance"])
 
 
 def knn_join(queries: DataFrame, train: DataFrame, k: int = CONFIG.knn, itself: bool = True, block: int = BLOCK) -> DataFrame:
     """(query_id, image_id, distance, rank): the k nearest training rows of each query, ties by id; exact.
 
     Blocks of queries meet the blocks of training rows that may hold one of the k, two at a time in a task, and leave k
-    rows a query at most, so neither side is held whole anywhere. itself: whether a row may be its own neighbour.
+    rows a query and part of the training rows at most, so neither side is held whole anywhere, nor copied for each block
+    it meets. itself: whether a row may be its own neighbour.
     """
     plan = meetings(queries, train, k, itself, block)
     if plan is None:
         return queries.sparkSession.createDataFrame([], "query_id long, image_id long, distance double, rank int")
     theirs = plan.train.rows.select(F.col("block").alias("other"), F.col("rows").alias("theirs"))
-    met = plan.pairs.join(plan.queries, "block").join(theirs, "other")
+    met = all_with_all(plan.queries, theirs, plan.size, F.array_contains("others", F.col("other")))
 
     def run(batches):
+        held, block = None, None
         for b in batches:
-            out: list[list] = [[], [], []]
-            for mine, reach, other in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                q, t, reach = unpack(mine), unpack(other), reach.values.to_numpy()
-                far = distances(q["vector"], t["vector"])
-                if not itself:
-                    far[q["image_id"][:, None] == t["image_id"][None, :]] = np.inf
-                for i, d, most in zip(q["image_id"], far, reach, strict=True):
-                    near = np.flatnonzero((d <= most) & np.isfinite(d))
-                    near = near[np.lexsort((t["image_id"][near], d[near]))[:k]]
-                    out[0] += [i] * len(near)
-                    out[1] += t["image_id"][near].tolist()
-                    out[2] += d[near].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "image_id", "distance"])
-
-    some = met.select("rows", "reach", "theirs").mapInArrow(run, "query_id long, image_id long, distance double")
+            for number, mine, reach, other in zip(b.column(0).to_pylist(), *b.columns[1:], strict=True):
+                if number != block:
+                    if held is not None:
+                        yield held.found()
+                    held, block = _Nearest(unpack(mine), reach.values.to_numpy(), k, itself), number
+                held.meet(unpack(other))
+        if held is not None:
+            yield held.found()
+
+    some = met.select("block", "rows", "reach", "theirs").mapInArrow(run, "query_id long, image_id long, distance double")
     turn = Window.partitionBy("query_id").orderBy("distance", "image_id")
     return some.withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= k)
 

@@ -24,6 +24,8 @@ BLOCK = 2048
 PIVOTS, BLOCKS = 4096, 65_536
 #: Share of a distance that a bound may be off by rounding.
 SLACK = 1e-6
+#: Pairs whose distances are told in one step; bytes of a side that a task holds.
+PAIRS, PART = 1 << 15, 48 << 20
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -34,6 +36,52 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def squared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """(distances, off, scale): squared distances in units of scale squared, row by row of a, by one product of matrices
+    in single precision, and how far those of each row may be off. None where a number is not finite."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        centre = b.mean(axis=0)
+        x, y = a - centre, b - centre
+        scale = float(max(np.abs(x).max(initial=0), np.abs(y).max(initial=0))) or 1.0
+    if not np.isfinite(scale):
+        return None
+    x, y = (x / scale).astype(np.float32), (y / scale).astype(np.float32)
+    xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    out = x @ y.T
+    out *= -2
+    out += xx[:, None]
+    out += yy
+    # four times what rounding of products of so many terms, and of the numbers themselves, can make of it
+    return out, 4 * (a.shape[1] + 16) * 2.0**-23 * (xx.astype(np.float64) + yy.max(initial=0)) + 1e-30, scale
+
+
+def pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of rows i of a to rows j of b, the same as `distances` gives."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        some = slice(at, at + PAIRS)
+        out[some] = np.sqrt(((b[j[some]] - a[i[some]]) ** 2).sum(axis=1))
+    return out
+
+
+def within(table: tuple[np.ndarray, np.ndarray, float], most: np.ndarray) -> np.ndarray:
+    """Which pairs of the table that `squared` gave may be no farther than `most`, a number a row."""
+    far, off, scale = table
+    limit = ((most / scale) ** 2 * (1 + SLACK) + off).astype(np.float32)
+    return far <= np.nextafter(limit, np.float32(np.inf))[:, None]
+
+
+def all_with_all(left: DataFrame, right: DataFrame, size: int, condition) -> DataFrame:
+    """left and right joined on a condition that is no equality, neither of them copied for the other.
+
+    Each task reads one part of either side, a row of left with all of right's part before the next one. size: bytes of
+    right; a task holds a part of PART of them.
+    """
+    parts = max(1, -(-size // PART))
+    tasks = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // parts)
+    return left.repartition(tasks).hint("shuffle_replicate_nl").join(right.repartition(parts), condition)
+
+
 def unpack(cell: pa.ListScalar) -> dict[str, np.ndarray]:
     """A block's rows as arrays by field; lists of numbers of one length become matrices."""
     rows, out = cell.values, {}
@@ -63,7 +111,7 @@ class Blocks:
         to = to_pivots[:, self.pivot]
         near = to_pivots.min(axis=1, keepdims=True)
         bound = np.maximum(np.maximum(to - self.high, self.low - to), (to - near) / 2)
-        return np.maximum(bound - SLACK * (to + self.high), 0)
+        return np.nan_to_num(np.maximum(bound - SLACK * (to + self.high), 0), nan=0, posinf=np.inf)  # a row that isn't finite bounds nothing
 
     def without_rows(self) -> Blocks:
         return Blocks(None, self.numbers, self.pivot, self.low, self.high, self.n)
@@ -72,7 +120,9 @@ class Blocks:
 def choose_pivots(vectors: DataFrame, n: int, block: int = BLOCK) -> np.ndarray:
     """About one pivot a block, PIVOTS at most: the rows whose ids have the smallest hashes."""
     rows = vectors.select("vector").orderBy(F.xxhash64("image_id"), "image_id").limit(min(PIVOTS, max(1, n // block)))
-    return np.unique(np.array([r["vector"] for r in rows.collect()], np.float64), axis=0)
+    some = np.unique(np.array([r["vector"] for r in rows.collect()], np.float64), axis=0)
+    finite = some[np.isfinite(some).all(axis=1)]
+    return finite if len(finite) else some
 
 
 def partition(vectors: DataFrame, pivots: np.ndarray, n: int, block: int = BLOCK, more: tuple[str, ...] = ()) -> Blocks:

@@ -55,3 +55,37 @@ def test_no_block_is_larger_and_bounds_hold(spark):
     bound = blocks.bounds(pivots.distances(x, chosen))
     for k, number in enumerate(blocks.numbers):
         assert (bound[:, k] <= pivots.distances(x, x[rows[int(number)]]).min(axis=1)).all()
+
+
+def test_no_block_is_copied_for_those_it_meets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (600, 12))  # without structure: all blocks meet
+    x[500:510], x[510] = x[3], np.nan
+    df = frame(spark, x)
+    for part in (pivots.PART, 9000):
+        monkeypatch.setattr(pivots, "PART", part)
+        found = neighbours.knn_join(df, df, 5, block=32)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "HashJoin" not in plan
+        got = {(r.query_id, r["rank"]): (r.image_id, r.distance) for r in found.collect()}
+        for i in [*range(0, 510, 7), 599]:
+            far = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+            far[510] = np.inf
+            assert [got[i, r + 1] for r in range(5)] == [(int(j), far[j]) for j in np.lexsort((np.arange(600), far))[:5]]
+        assert not any(q == 510 or j == 510 for (q, _), (j, _) in got.items())
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e30])
+def test_the_table_of_a_product_is_off_by_no_more_than_it_says(scale):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(0, 1, (80, 64)) * scale + 50 * scale, rng.normal(0, 1, (90, 64)) * scale + 50 * scale
+    b[:9] = a[:9]
+    far, off, unit = pivots.squared(a, b)
+    exact = pivots.distances(a, b)
+    assert (np.abs(far - (exact / unit) ** 2) <= off[:, None]).all()
+    most = np.partition(exact, 4, axis=1)[:, 4]
+    hit = pivots.within((far, off, unit), most)
+    assert hit[exact <= most[:, None]].all() and hit.sum() < 600
+    i, j = np.nonzero(hit)
+    assert (pivots.pair_distances(a, b, i, j) == exact[i, j]).all()
+    assert pivots.squared(np.array([[np.nan]]), np.zeros((1, 1))) is None
