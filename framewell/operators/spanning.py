@@ -18,14 +18,54 @@ from pyspark.sql import functions as F
 from framewell.operators.neighbours import knn_join
 from framewell.plans.components import connected_components
 from framewell.plans.joins import small
-from framewell.plans.pivots import BLOCK, choose_pivots, distances, partition, unpack
+from framewell.plans.pivots import BLOCK, SLACK, all_with_all, choose_pivots, distances, pair_distances, partition, squared, unpack, within
 from framewell.session import materialise
 
 #: Neighbours of a row that are candidates at first.
 NEAR = 12
+#: Rows whose components are broadcast at most in a search; those of more are joined.
+BROADCAST = 1 << 20
 EDGE = ("weight", "a", "b")
 
 
+class _NearestOfOthers:
+    """The least edge of each row of a block's border to another component, of those met so far."""
+
+    def __init__(self, q: dict):
+        self.q, self.most, self.lost = q, q["most"].copy(), np.iinfo(np.int64).max
+        self.weight = np.full(len(self.most), np.inf)
+        self.a, self.b = np.full(len(self.most), self.lost), np.full(len(self.most), self.lost)
+
+    def meet(self, t: dict, component: np.ndarray) -> None:
+        q = self.q
+        apart = (q["component"][:, None] != component[None, :]) & (t["core"][None, :] <= self.most[:, None])
+        table = squared(q["vector"], t["vector"])
+        if table is not None:
+            far, off, scale = table
+            up = np.sqrt(np.maximum(far + off[:, None], 0)) * (scale * (1 + SLACK))  # no less than the distance
+            np.maximum(up, t["core"][None, :], out=up)
+            np.maximum(up, q["core"][:, None], out=up)
+            up[~apart] = np.inf
+            most = np.minimum(self.most, up.min(axis=1, initial=np.inf))
+            apart &= within(table, most)
+        else:
+            most = self.most
+        i, j = np.divmod(np.flatnonzero(apart), apart.shape[1])
+        weight = np.maximum(pair_distances(q["vector"], t["vector"], i, j), np.maximum(q["core"][i], t["core"][j]))
+        near = (weight <= most[i]) & np.isfinite(weight)
+        i, j, weight = i[near], j[near], weight[near]
+        a, b = np.minimum(q["image_id"][i], t["image_id"][j]), np.maximum(q["image_id"][i], t["image_id"][j])
+        i, weight, a, b = (np.concatenate(c) for c in ((i, np.arange(len(most))), (weight, self.weight), (a, self.a), (b, self.b)))
+        order = np.lexsort((b, a, weight, i))
+        first = order[np.searchsorted(i[order], np.arange(len(most)))]
+        self.weight, self.a, self.b = weight[first], a[first], b[first]
+        self.most = np.minimum(self.most, self.weight)
+
+    def found(self) -> pa.RecordBatch:
+        on = np.isfinite(self.weight)
+        return pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (self.q["image_id"], self.q["component"], self.weight, self.a, self.b)], names=["image_id", "component", *EDGE])
+
+
 def core_distances(near: DataFrame, k: int) -> DataFrame:
     """(image_id, core) from neighbours of all rows, each row being its own first: the distance to the k-th."""
     return near.filter(F.col("rank") <= k).groupBy(F.col("query_id").alias("image_id")).agg(F.max("distance").alias("core"))
@@ -74,7 +114,7 @@ def spanning_tree(vectors: DataFrame, cores: DataFrame, near: DataFrame | None =
         told = label.filter(F.col("component") != largest["component"]).join(small(best), "component", "left")
         most = F.coalesce(F.col("e.weight"), F.lit(float("inf")))
         border = materialise(told.filter(F.col("floor") <= most).select("image_id", "block", "number", "component", most.alias("most")), "border")
-        found, met = _search(index, known, numbers, least_core, pivots, label, border, reps)
+        found, met = _search(index, known, numbers, least_core, pivots, label, border, reps, n)
         if rounds is not None:
             rounds.append({"components": sizes.count(), "candidates": between.count(), "searching": border.count(), "blocks_met": met.count() if met is not None else 0, "blocks": len(numbers)})
         if found is not None:
@@ -90,7 +130,7 @@ def spanning_tree(vectors: DataFrame, cores: DataFrame, near: DataFrame | None =
         edges = between.select("a", "b", "weight")
 
 
-def _search(index, known, numbers, least_core, pivots, label, border, reps) -> tuple[DataFrame | None, DataFrame | None]:
+def _search(index, known, numbers, least_core, pivots, label, border, reps, n) -> tuple[DataFrame | None, DataFrame | None]:
     """(image_id, component, weight, a, b): the nearest row of another component of each row of the border, if it is no
     farther than `most`; and the pairs of blocks that met."""
     if border.isEmpty():
@@ -107,8 +147,8 @@ def _search(index, known, numbers, least_core, pivots, label, border, reps) -> t
 
     def plan(batches):
         for b in batches:
-            out = [], []
-            for cell, state_cell in zip(b.column(1), b.column(2), strict=True):
+            blocks, rows, others = [], [], []
+            for number, cell, state_cell in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 q, s = unpack(cell), unpack(state_cell)
                 most, on = s["most"].copy(), np.flatnonzero(s["most"] >= 0)
                 wanted = np.zeros(len(numbers), bool)
@@ -122,33 +162,36 @@ def _search(index, known, numbers, least_core, pivots, label, border, reps) -> t
                     bound = np.maximum(known.bounds(distances(q["vector"][some], pivots)), np.maximum(q["core"][some][:, None], least_core[None, :]))
                     own = single[None, :] & (alone[None, :] == s["component"][some][:, None])
                     wanted |= ((bound <= most[some][:, None]) & ~own).any(axis=0)
-                out[0].append(most)
-                out[1].append(known.numbers[wanted])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.list_(pa.float64())), pa.array(out[1], pa.list_(pa.int64()))], names=["block", "most", "others"])
+                blocks.append(number)
+                rows.append([q["image_id"][on], s["component"][on], most[on], q["core"][on], q["vector"][on]])
+                others.append(known.numbers[wanted])
+            if not blocks:
+                continue
+            *columns, vectors = (np.concatenate(c) for c in zip(*rows, strict=True))
+            ends = np.arange(len(vectors) + 1, dtype=np.int32)
+            columns = [*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(ends * vectors.shape[1]), pa.array(vectors.ravel()))]
+            asked = pa.StructArray.from_arrays(columns, names=["image_id", "component", "most", "core", "vector"])
+            starts = np.cumsum([0, *(len(r[0]) for r in rows)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.ListArray.from_arrays(pa.array(starts), asked), pa.array(others, pa.list_(pa.int64()))], names=["block", "asked", "others"])
 
     def meet(batches):
+        held, block = None, None
         for b in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for mine, state_cell, most_cell, theirs, other_cell in zip(*b.columns, strict=True):
-                q, s, t, o = unpack(mine), unpack(state_cell), unpack(theirs), unpack(other_cell)
-                most = most_cell.values.to_numpy()
-                on = np.flatnonzero(most >= 0)
-                reach = np.maximum(distances(q["vector"][on], t["vector"]), np.maximum(q["core"][on][:, None], t["core"][None, :]))
-                reach[s["component"][on][:, None] == o["component"][None, :]] = np.inf
-                low = reach.min(axis=1)
-                for k in np.flatnonzero(np.isfinite(low) & (low <= most[on])):
-                    i = int(q["image_id"][on[k]])
-                    a, z = min((min(i, j), max(i, j)) for j in t["image_id"][reach[k] == low[k]].tolist())
-                    for column, x in zip(out, (i, int(s["component"][on[k]]), float(low[k]), a, z), strict=True):
-                        column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["image_id", "component", "weight", "a", "b"])
-
-    asking = border.select("block").distinct()
-    plans = materialise(index.rows.join(state, "block").join(asking, "block", "left_semi").select("block", "rows", "state").mapInArrow(plan, "block long, most array<double>, others array<long>"), "plans")
-    pairs = plans.select("block", "most", F.explode("others").alias("other"))
-    theirs = index.rows.join(state, "block").select(F.col("block").alias("other"), F.col("rows").alias("theirs"), F.col("state").alias("their_state"))
-    met = pairs.join(index.rows.join(state, "block"), "block").join(theirs, "other").select("rows", "state", "most", "theirs", "their_state")
-    near = met.mapInArrow(meet, "image_id long, component long, weight double, a long, b long")
+            for number, mine, theirs, other_cell in zip(b.column(0).to_pylist(), *b.columns[1:], strict=True):
+                if number != block:
+                    if held is not None:
+                        yield held.found()
+                    held, block = _NearestOfOthers(unpack(mine)), number
+                held.meet(unpack(theirs), other_cell.values.to_numpy())
+        if held is not None:
+            yield held.found()
+
+    asking = small(materialise(border.select("block").distinct(), "asking"))
+    told = F.broadcast(state) if n <= BROADCAST else state
+    asked = "asked array<struct<image_id:long,component:long,most:double,core:double,vector:array<double>>>"
+    plans = materialise(index.rows.join(asking, "block", "left_semi").join(told, "block").select("block", "rows", "state").mapInArrow(plan, f"block long, {asked}, others array<long>"), "plans")
+    theirs = index.rows.join(told, "block").select(F.col("block").alias("other"), F.col("rows").alias("theirs"), F.col("state.component").alias("their_component"))
+    met = all_with_all(plans, theirs, n * (pivots.shape[1] + 8) * 8, F.array_contains("others", F.col("other")))
+    near = met.select("block", "asked", "theirs", "their_component").mapInArrow(meet, "image_id long, component long, weight double, a long, b long")
     found = near.groupBy("image_id", "component").agg(F.min(F.struct(*EDGE)).alias("e")).select("image_id", "component", "e.*")
-    return materialise(found, "found"), pairs.select("block", "other")
+    return materialise(found, "found"), plans.select("block", F.explode("others").alias("other"))

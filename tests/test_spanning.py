@@ -3,6 +3,7 @@ import pytest
 from test_pivots import clustered, frame
 
 from framewell.operators import neighbours, spanning
+from framewell.plans import pivots
 
 
 def brute_tree(x, k):
@@ -42,3 +43,23 @@ def test_few_rows(spark):
     tree = spanning.spanning_tree(df, spanning.core_distances(near, 2), near).collect()
     assert sorted((r.a, r.b, r.weight) for r in tree) == [(0, 1, 0.0), (0, 2, 0.0)]
     assert spanning.spanning_tree(df.limit(1), spanning.core_distances(near, 2)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [spanning.BROADCAST, 0])
+def test_searches_copy_no_block_for_those_it_meets(spark, monkeypatch, broadcast):
+    plans = []
+
+    def met(*args):
+        out = pivots.all_with_all(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(spanning, "all_with_all", met)
+    monkeypatch.setattr(spanning, "BROADCAST", broadcast)
+    monkeypatch.setattr(pivots, "PART", 3000)
+    x = clustered(np.random.default_rng(7), 160, 5)
+    df = frame(spark, x)
+    near = neighbours.knn_join(df, df, 4, block=16)
+    tree = spanning.spanning_tree(df, spanning.core_distances(near, 3), near, 16)
+    assert sorted((r.weight, r.a, r.b) for r in tree.collect()) == brute_tree(x, 3)
+    assert plans and all("CartesianProduct" in p for p in plans)
