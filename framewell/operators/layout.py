@@ -18,7 +18,7 @@ from framewell.config import CONFIG
 from framewell.functions.vectors import l2_normalised
 from framewell.operators.neighbours import knn_join
 from framewell.plans.joins import skew_join
-from framewell.session import materialise
+from framewell.session import materialise, release
 
 #: Neighbours of a row, columns of the block beyond those asked for, and steps.
 NEAR, SPARE, STEPS = 20, 5, 10
@@ -129,6 +129,8 @@ def learned_layout(vectors: DataFrame, components: int = CONFIG.reduce_to, k: in
     state = degree.join(start, "image_id").select("image_id", "edges", F.col("root").alias("y0"), *[c.alias(f"y{j + 1}") for j, c in enumerate(first)])
     for _ in range(steps):
         state = _stepped(walk, state, columns, n <= BROADCAST)
+        if n > BROADCAST:  # each step is written before the next one reads it
+            release(rows.sparkSession)
     state = materialise(state, "stepped")
     after = _stepped(walk, state, columns, n <= BROADCAST).drop("edges")
     both = state.join(after.toDF("image_id", *[f"_{c}" for c in columns]), "image_id")
